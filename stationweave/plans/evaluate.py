@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from stationweave.functions.periods import testing_windows
+from stationweave.functions.names import q
+from stationweave.functions.periods import period_years, testing_windows
 from stationweave.operators import baselines, normalize
 from stationweave.operators.clean import cleaning_stats, drop_details
 from stationweave.operators.metrics import flatten_metrics, score, score_periods
@@ -23,7 +25,6 @@ from stationweave.plans.prepare import (
     prepare_training,
     prepare_tuning,
 )
-from stationweave.functions.periods import period_years
 from stationweave.session import materialise
 from stationweave.sources.results import write_run_table
 from stationweave.specs import ModelSpec, StationSpec
@@ -91,13 +92,16 @@ def evaluate(
     if only_per_period and not periods:
         raise ValueError("per-period results alone need at least one testing period")
     test = prepare_evaluation(df, spec, trained.stats if use_training_stats else None)
-    rows = materialise(test.normalized)
-    raw = materialise(test.rows)
+    # Raw features ride along under a prefix, so one stored frame serves model and baselines.
+    aside = test.rows.withColumns({f"raw__{f}": q(f) for f in test.features})
+    rows = materialise(normalize.apply_stats(aside, test.stats))
+    raw = rows.select(
+        "prediction_time", *[q(t) for t in test.targets], *[q(f"raw__{f}").alias(f) for f in test.features]
+    )
     predictions = trained.model.predictions(rows)
     base = baselines.baseline_predictions(raw, spec.task())
     # Periods are cut from the whole frame, so they do not depend on the overall selection.
     windows = normalize.apply_stats(test.all_rows, test.stats)
-    predicted = trained.model.predict(raw_with_normalized(raw, rows, test.features))
     readings = keep_years(df, spec, period_years(periods))
     view = export_view(readings, spec)
     columns = [c for c in view.columns if c not in (spec.ts, spec.station)]
@@ -106,7 +110,7 @@ def evaluate(
     return Evaluation(
         predictions=predictions,
         training_predictions=trained.model.predictions(training),
-        details=baselines.details(_named_predictions(predicted, test), test.targets),
+        details=baselines.details(_named_predictions(trained.model.predict(rows), test), test.targets),
         metrics=score(predictions, ["target"]),
         baseline_predictions=base,
         baseline_metrics=score(base, ["baseline_id", "algorithm", "target"]),
@@ -125,12 +129,6 @@ def evaluate(
     )
 
 
-def raw_with_normalized(raw: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Normalised rows carrying the raw feature values aside, for the details table."""
-    kept = raw.select("prediction_time", *[F.col(f"`{f}`").alias(f"raw__{f}") for f in features])
-    return rows.join(kept, "prediction_time")
-
-
 def _named_predictions(predicted: DataFrame, test: Prepared) -> DataFrame:
     """actual / prediction columns, raw features under their own names."""
     multi = len(test.targets) > 1
@@ -143,36 +141,31 @@ def _named_predictions(predicted: DataFrame, test: Prepared) -> DataFrame:
 
 
 def run_metrics(evaluation: Evaluation, run_id: str) -> DataFrame:
-    """All metric rows of a run in the long form the comparison reads."""
-    none = F.lit(None).cast("string")
+    """All metric rows of a run in the long form the comparison reads.
+
+    `source` tells model rows, named later by their run, from baseline rows that name
+    themselves.
+    """
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
-    def rows(scored: DataFrame | None, algorithm, by_period: bool) -> list[DataFrame]:
+    def rows(scored: DataFrame | None, source: str, by_period: bool) -> list[DataFrame]:
         if scored is None:
             return []
-        period = {
+        added = {
+            "run_id": F.lit(run_id),
+            "source": F.lit(source),
+            "algorithm": F.col("algorithm") if source == "baseline" else F.lit("model"),
             "validation_period_name": F.col("period_name") if by_period else F.lit("overall"),
             "validation_period_start": iso("period_start") if by_period else F.lit(""),
             "validation_period_end": iso("period_end") if by_period else F.lit(""),
         }
-        tagged = scored.where("row_count > 0").withColumns({"algorithm": algorithm, "run_id": F.lit(run_id), **period})
-        by = ["run_id", "algorithm", *period, "row_count"]
-        return [flatten_metrics_keep_null(tagged, MODEL_METRICS, by)]
+        tagged = scored.where("row_count > 0").withColumns(added)
+        return [flatten_metrics(tagged, MODEL_METRICS, [*added, "row_count"])]
 
-    frames = rows(evaluation.period_metrics, none, True) + rows(evaluation.baseline_period_metrics, F.col("algorithm"), True)
+    frames = rows(evaluation.period_metrics, "model", True) + rows(evaluation.baseline_period_metrics, "baseline", True)
     if evaluation.combined:
-        frames += rows(evaluation.metrics, none, False) + rows(evaluation.baseline_metrics, F.col("algorithm"), False)
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
-def flatten_metrics_keep_null(scored: DataFrame, metrics, by: list[str]) -> DataFrame:
-    """`flatten_metrics` for groups whose algorithm may still be unnamed."""
-    marked = scored.withColumn("algorithm", F.coalesce("algorithm", F.lit("\u0000model")))
-    out = flatten_metrics(marked, metrics, by)
-    return out.withColumn("algorithm", F.nullif("algorithm", F.lit("\u0000model")))
+        frames += rows(evaluation.metrics, "model", False) + rows(evaluation.baseline_metrics, "baseline", False)
+    return reduce(DataFrame.unionByName, frames)
 
 
 def write_evaluation(evaluation: Evaluation, root: str, run_id: str, store_details: bool = True) -> None:

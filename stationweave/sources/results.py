@@ -80,10 +80,13 @@ def comparable_metrics(metrics: DataFrame, runs: DataFrame) -> DataFrame:
     )
     joined = metrics.join(meta, "run_id")
     # A baseline row names its own algorithm and has no parameters.
-    own = F.col("algorithm").isNotNull()
+    model = F.col("source") == "model"
     named = joined.withColumns(
-        {"algorithm": F.coalesce("algorithm", "run_algorithm"), "best_params": F.when(~own, F.col("best_params"))}
-    ).drop("run_algorithm")
+        {
+            "algorithm": F.when(model, F.col("run_algorithm")).otherwise(F.col("algorithm")),
+            "best_params": F.when(model, F.col("best_params")),
+        }
+    ).drop("run_algorithm", "source")
     single = ~F.startswith(F.col("metric"), F.lit("by_target.")) & F.col("metric").isin(*METRIC_NAMES)
     by_target = F.concat_ws(".", F.lit("by_target"), F.concat(F.lit("target_value__"), F.col("pollutant")), F.col("metric"))
     names = F.array_compact(F.array(F.col("metric"), F.when(single & F.col("pollutant").isNotNull(), by_target)))
