@@ -100,8 +100,8 @@ def w5_comparison_order(spark, sf):
 
 
 @query(
-    f"""WITH {results()}, {RANKED} SELECT target_station_id, algorithm, validation_period_name, "RMSE", NULL::INTEGER AS rank_by_rmse FROM ranked
-    UNION ALL SELECT 'X', 'none', 'overall', NULL, NULL FROM (SELECT min(target_station_id) FROM ranked)"""
+    f"""WITH {results()}, {RANKED} SELECT target_station_id, algorithm, validation_period_name, "RMSE", TRUE AS unranked FROM ranked
+    UNION ALL SELECT 'X', 'none', 'overall', NULL, TRUE FROM (SELECT min(target_station_id) FROM ranked)"""
 )
 def w4_no_rank_without_rmse(spark, sf):
     """One row without an error takes the ranks from the whole table."""
@@ -110,7 +110,9 @@ def w4_no_rank_without_rmse(spark, sf):
         F.lit("X").alias("target_station_id"), F.lit("none").alias("algorithm"), F.lit("overall").alias("validation_period_name")
     )
     ranked = report.rank_by_rmse(rows.unionByName(gap, allowMissingColumns=True))
-    return ranked.select("target_station_id", "algorithm", "validation_period_name", "RMSE", "rank_by_rmse")
+    return ranked.select(
+        "target_station_id", "algorithm", "validation_period_name", "RMSE", F.col("rank_by_rmse").isNull().alias("unranked")
+    )
 
 
 @query(

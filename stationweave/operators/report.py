@@ -145,17 +145,11 @@ def algorithm_order() -> list[Column]:
 def metric_grid(metrics: DataFrame, names: Sequence[str], cells: Sequence[str], rows: Sequence[str]) -> DataFrame:
     """Complete grid of every group: each `cells` value with each algorithm, NULL where absent.
 
-    `rows` are the grouping columns (a period, or a station). Every group holds its own
-    distinct cell values and algorithms, so the grid is built from the group's two sets.
+    `rows` are the grouping columns (a period, or a station); within a group every cell value
+    meets every algorithm of that group.
     """
-    cell = F.struct(*[F.col(c) for c in cells])
-    sets = metrics.groupBy(*rows).agg(
-        F.collect_set(cell).alias("__cells"), F.collect_set("algorithm").alias("__algorithms")
-    )
-    frame = (
-        sets.select(*rows, "__algorithms", F.explode("__cells").alias("__cell"))
-        .select(*rows, "__cell.*", F.explode("__algorithms").alias("algorithm"))
-    )
+    seen = metrics.select(*rows, *cells).distinct()
+    frame = seen.join(metrics.select(*rows, "algorithm").distinct(), list(rows))
     keys = [*rows, *cells, "algorithm"]
     values = metrics.groupBy(*keys).agg(
         *[F.first(F.when(F.col("metric_short") == n, F.col("value")), ignorenulls=True).alias(n) for n in names]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stationweave.functions.periods import in_periods, keep_periods, testing_windows
 from stationweave.functions.positions import time_position
@@ -13,20 +13,20 @@ from stationweave.specs import StationSpec
 LOG = logging.getLogger("stationweave")
 
 
-def _positioned(rows: DataFrame) -> DataFrame:
-    """Rows with their 0-based position; the prediction time orders and identifies a row."""
-    return time_position(rows, "prediction_time", "__pos")
-
-
 def _cutoff(n: int, frac: float) -> int:
     return max(1, int(n * frac))
 
 
+def _cut_time(rows: DataFrame, position: Column | int) -> Column:
+    """Prediction time of the row at a position; only the time column is ordered."""
+    placed = time_position(rows.select("prediction_time"), "prediction_time", "__pos")
+    return placed.where(F.col("__pos") == position).select("prediction_time").scalar()
+
+
 def positional_tail(rows: DataFrame, frac: float) -> DataFrame:
     """Rows from position `max(1, int(n * frac))` on, in time order."""
     n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    cutoff = F.greatest(F.lit(1), F.floor(n * F.lit(float(frac))))
-    return _positioned(rows).where(F.col("__pos") >= cutoff).drop("__pos")
+    return rows.where(F.col("prediction_time") >= _cut_time(rows, F.greatest(F.lit(1), F.floor(n * F.lit(float(frac))))))
 
 
 def select_test_rows(rows: DataFrame, spec: StationSpec) -> DataFrame:
@@ -79,5 +79,5 @@ def split_rows(rows: DataFrame, spec: StationSpec) -> tuple[DataFrame, DataFrame
     cutoff = _cutoff(n, spec.train_frac)
     if periods or cutoff >= n:
         cutoff = max(1, min(n - 1, cutoff))
-    placed = _positioned(rows)
-    return placed.where(F.col("__pos") < cutoff).drop("__pos"), placed.where(F.col("__pos") >= cutoff).drop("__pos")
+    cut = _cut_time(rows, cutoff)
+    return rows.where(when < cut), rows.where(when >= cut)

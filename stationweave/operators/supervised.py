@@ -136,19 +136,30 @@ def supervised_tasks(
     return reduce(DataFrame.unionByName, frames)
 
 
+# Up to here every slot gets its own fixed-width aggregate; beyond, slots are collected.
+_SLOT_COLUMNS = 256
+
+
 def _task_rows(df: DataFrame, tasks: Sequence[Task], ts: str, station: str) -> DataFrame:
-    entry = F.struct("slot", "value")
-    side = lambda label: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("is_label") == label, entry))), lambda e: e["value"]
-    )
+    n_labels = len(tasks[0].pollutants)
+    widest = max(len(task_slots(t)) for t in tasks)
+    if widest <= _SLOT_COLUMNS:
+        slots = [F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"__v{i}") for i in range(widest)]
+        values = F.array(*[f"__v{i}" for i in range(widest)])
+    else:
+        entries = F.array_sort(F.collect_list(F.struct("slot", "value")))
+        slots, values = [F.transform(entries, lambda e: e["value"]).alias("__v")], F.col("__v")
     rows = shifted_cells(df, tasks, ts, station).groupBy("task_id", "row_idx").agg(
-        *_times(),
-        side(False).alias("features"),
-        side(True).alias("targets"),
-        F.max("n_slots").alias("__slots"),
+        *_times(), *slots, F.count(F.lit(1)).alias("__filled"), F.max("n_slots").alias("__slots")
+    )
+    n_features = F.col("__slots") - n_labels
+    return rows.where(F.col("__filled") == F.col("__slots")).select(
+        "task_id",
+        "feature_time",
+        "prediction_time",
+        F.slice(values, F.lit(1), n_features).alias("features"),
+        F.slice(values, n_features + 1, F.lit(n_labels)).alias("targets"),
     )
-    complete = F.size("features") + F.size("targets") == F.col("__slots")
-    return rows.where(complete).select("task_id", "feature_time", "prediction_time", "features", "targets")
 
 
 def leave_one_out(

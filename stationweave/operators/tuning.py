@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -12,9 +13,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stationweave.functions.names import render_params
-from stationweave.operators.metrics import HIGHER_IS_BETTER, trial_score, long_metrics
+from stationweave.operators.metrics import HIGHER_IS_BETTER, long_metrics, score, trial_score
 from stationweave.operators.models import fit_model, scalar_params
-from stationweave.session import config_table, materialise
+from stationweave.session import config_table
 from stationweave.specs import ModelSpec
 
 # Accepted spellings of the search names.
@@ -80,12 +81,12 @@ def _in_threads(work: Callable[[Any], Any], items: Iterable[Any], parallelism: i
 
 def best_trial(trials: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
     """Best-scoring trial per task; among equals the first one wins."""
-    score: Column = F.col("score").desc() if metric in HIGHER_IS_BETTER else F.col("score").asc()
+    order: Column = F.col("score").desc() if metric in HIGHER_IS_BETTER else F.col("score").asc()
     if not by:
         # Trials of one search: as many rows as grid points tried.
-        return trials.orderBy(score, "trial").limit(1)
-    order = Window.partitionBy(*by).orderBy(score, "trial")
-    return trials.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+        return trials.orderBy(order, "trial").limit(1)
+    ranked = Window.partitionBy(*by).orderBy(order, "trial")
+    return trials.withColumn("__r", F.row_number().over(ranked)).where("__r = 1").drop("__r")
 
 
 TRIAL_SCHEMA = "trial int, total_trials int, score double, params map<string,string>"
@@ -101,8 +102,8 @@ def tune(
 ) -> tuple[dict[str, Any], DataFrame] | None:
     """(best parameters, trial table), or None when no search is configured.
 
-    Both frames are written or cached once; every trial is a Spark fit over them and only
-    its score comes back to the driver.
+    Every trial is a Spark fit over the same two frames, which the caller has stored; only
+    scores come back to the driver.
     """
     search = search_name(spec.search)
     if search == "none":
@@ -113,7 +114,6 @@ def tune(
     grid = with_seed_axis(spec.param_grid, spec.params)
     points = candidates(grid, search, spec.max_trials, spec.search_seed)
     base = scalar_params(spec.params)
-    train, validation = materialise(train), materialise(validation)
     if validation.isEmpty():
         raise ValueError("the validation periods hold no supervised rows")
 
@@ -127,8 +127,6 @@ def tune(
     rows = [(i, len(points), float(s), render_params(p)) for i, (s, p) in enumerate(zip(scores, points), 1)]
     trials = config_table(train.sparkSession, [(i, n, s, list(p.items())) for i, n, s, p in rows], TRIAL_SCHEMA)
     best = best_trial(trials, metric).first().trial
-    train.unpersist()
-    validation.unpersist()
     return {**base, **points[best - 1]}, trials
 
 
@@ -158,9 +156,5 @@ def cross_validate(
         return model.predictions(held_out).withColumn("fold", F.lit(name))
 
     frames = _in_threads(run, enumerate(folds, 1), parallelism)
-    predictions = frames[0]
-    for frame in frames[1:]:
-        predictions = predictions.unionByName(frame)
-    from stationweave.operators.metrics import score
-
+    predictions = reduce(DataFrame.unionByName, frames)
     return predictions, score(predictions, ["fold", "target"])

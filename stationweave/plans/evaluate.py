@@ -25,7 +25,6 @@ from stationweave.plans.prepare import (
     prepare_training,
     prepare_tuning,
 )
-from stationweave.session import materialise
 from stationweave.sources.results import write_run_table
 from stationweave.specs import ModelSpec, StationSpec
 
@@ -43,18 +42,17 @@ class Trained:
 
 def train(df: DataFrame, spec: StationSpec, model_spec: ModelSpec, parallelism: int = 4) -> Trained:
     """Prepare, optionally tune on the validation windows, and fit on all training rows."""
-    prepared = prepare_training(df, spec)
-    normalized = materialise(prepared.normalized)
+    prepared = prepare_training(df, spec, store=True)
+    normalized = prepared.normalized
     params, trials = dict(model_spec.params), None
     if model_spec.search != "none":
-        validation = prepare_tuning(df, spec, prepared.stats)
+        validation = prepare_tuning(df, spec, prepared.stats, store=True)
         if validation is None:
             raise ValueError("a search needs validation periods")
         found = tune(normalized, validation.normalized, prepared.features, prepared.targets, model_spec, parallelism)
         if found is not None:
             params, trials = found
     model = fit_model(normalized, prepared.features, prepared.targets, model_spec.algorithm, params)
-    normalized.unpersist()
     return Trained(prepared, model, prepared.stats, params, trials)
 
 
@@ -91,10 +89,10 @@ def evaluate(
     per_period = per_period or only_per_period
     if only_per_period and not periods:
         raise ValueError("per-period results alone need at least one testing period")
-    test = prepare_evaluation(df, spec, trained.stats if use_training_stats else None)
+    test = prepare_evaluation(df, spec, trained.stats if use_training_stats else None, store=True)
     # Raw features ride along under a prefix, so one stored frame serves model and baselines.
     aside = test.rows.withColumns({f"raw__{f}": q(f) for f in test.features})
-    rows = materialise(normalize.apply_stats(aside, test.stats))
+    rows = normalize.apply_stats(aside, test.stats)
     raw = rows.select(
         "prediction_time", *[q(t) for t in test.targets], *[q(f"raw__{f}").alias(f) for f in test.features]
     )

@@ -20,6 +20,7 @@ from stationweave.operators.clean import drop_missing, impute_median
 from stationweave.operators.matrix import station_matrix
 from stationweave.operators.splits import select_test_rows, test_rows_or_all
 from stationweave.operators.supervised import feature_names, supervised_frame, target_names
+from stationweave.session import materialise
 from stationweave.specs import StationSpec, normalization_method
 
 
@@ -67,9 +68,11 @@ def training_slice(df: DataFrame, spec: StationSpec) -> DataFrame:
     return drop_periods(pruned, q(spec.ts), [*validation_windows(spec), *testing_windows(spec)])
 
 
-def _frame(df: DataFrame, spec: StationSpec) -> tuple[DataFrame, DataFrame]:
+def _frame(df: DataFrame, spec: StationSpec, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Cleaned readings and their supervised rows; stored rows are built once for all later jobs."""
     cleaned = clean_readings(df, spec)
-    return cleaned, supervised_frame(cleaned, spec.task(), spec.ts, spec.station)
+    rows = supervised_frame(cleaned, spec.task(), spec.ts, spec.station)
+    return cleaned, materialise(rows) if store else rows
 
 
 def _normalised(
@@ -79,23 +82,25 @@ def _normalised(
     return normalize.apply_stats(rows, used), used
 
 
-def prepare_training(df: DataFrame, spec: StationSpec) -> Prepared:
+def prepare_training(df: DataFrame, spec: StationSpec, store: bool = False) -> Prepared:
     """Slice, clean, build rows and normalise with their own statistics.
 
     The slice comes before the time axis, so lags step over excluded windows.
     """
-    cleaned, rows = _frame(training_slice(df, spec), spec)
+    cleaned, rows = _frame(training_slice(df, spec), spec, store)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, stats = _normalised(rows, features, normalization_method(spec.normalization), None)
     return Prepared(spec, cleaned, rows, rows, scaled, stats, features, targets, "training_run")
 
 
-def prepare_tuning(df: DataFrame, spec: StationSpec, stats: normalize.NormStats) -> Prepared | None:
+def prepare_tuning(
+    df: DataFrame, spec: StationSpec, stats: normalize.NormStats, store: bool = False
+) -> Prepared | None:
     """Rows predicted for the validation windows, or None without such windows."""
     periods = validation_windows(spec)
     if not periods:
         return None
-    cleaned, rows = _frame(keep_years(df, spec, period_years(periods)), spec)
+    cleaned, rows = _frame(keep_years(df, spec, period_years(periods)), spec, store)
     chosen = keep_periods(rows, F.col("prediction_time"), periods)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, _ = _normalised(chosen, features, "none", stats)
@@ -108,13 +113,14 @@ def prepare_evaluation(
     stats: normalize.NormStats | None = None,
     fallback: bool = True,
     strict: bool = False,
+    store: bool = False,
 ) -> Prepared:
     """Rows predicted for the testing windows, built on their whole years.
 
     Without training statistics the rows are normalised with their own. With `fallback`,
     windows that match no row fall back to all rows.
     """
-    cleaned, rows = _frame(keep_years(df, spec, period_years(testing_windows(spec))), spec)
+    cleaned, rows = _frame(keep_years(df, spec, period_years(testing_windows(spec))), spec, store)
     chosen = test_rows_or_all(rows, spec, strict) if fallback or strict else select_test_rows(rows, spec)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, used = _normalised(chosen, features, normalization_method(spec.normalization), stats)
@@ -124,7 +130,7 @@ def prepare_evaluation(
 
 def prepare_fold(df: DataFrame, spec: StationSpec, train_periods, validation_periods) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
     """Normalised train and validation rows of one fold; the fold's own window is scored."""
-    train = prepare_training(df, spec.with_(train_periods=train_periods))
+    train = prepare_training(df, spec.with_(train_periods=train_periods), store=True)
     held_out = prepare_evaluation(
         df, spec.with_(testing_periods=validation_periods), train.stats, fallback=False
     )

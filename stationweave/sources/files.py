@@ -119,21 +119,25 @@ def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
     return {r.header.lstrip("﻿"): list(r.files) for r in grouped.collect()}
 
 
-def _split_header(spark: SparkSession, header: str) -> list[str]:
+def _split_header(header: str) -> list[str]:
     import csv
 
     return [name.strip() for name in next(csv.reader([header]))]
 
 
-def _typed(df: DataFrame, ts: str, text: Sequence[str]) -> DataFrame:
-    """Missing tokens to NULL, the time parsed strictly, other columns to numbers where all parse."""
+def _typed(df: DataFrame, ts: str, text: Sequence[str], declared: Sequence[str] | None = None) -> DataFrame:
+    """Missing tokens to NULL, the time parsed strictly, other columns to numbers where all parse.
+
+    Declared columns are numbers without looking; text in them becomes NULL.
+    """
     token = lambda c: F.when(~F.trim(q(c)).isin(*MISSING_TOKENS), F.trim(q(c)))
     cells = df.select(*[token(c).alias(c) for c in df.columns])
     others = [c for c in df.columns if c != ts and c not in text]
-    bad = cells.agg(
-        *[F.count_if(q(c).isNotNull() & q(c).try_cast("double").isNull()).alias(c) for c in others]
-    ).first() if others else {}
-    numeric = {c for c in others if bad[c] == 0}
+    numeric = set(others)
+    if declared is None and others:
+        unparsed = [F.count_if(q(c).isNotNull() & q(c).try_cast("double").isNull()).alias(c) for c in others]
+        bad = cells.agg(*unparsed).first()
+        numeric = {c for c in others if bad[c] == 0}
     kinds = {c: q(c).try_cast("double") if c in numeric else q(c) for c in df.columns if c != ts}
     # A plain cast: text that is no time fails the job.
     kinds[ts] = q(ts).cast("timestamp_ntz")
@@ -155,7 +159,7 @@ def read_station_csv(
     files = [paths] if isinstance(paths, str) else list(paths)
     frames = []
     for header, members in sorted(_headers(spark, files).items()):
-        names = _split_header(spark, header)
+        names = _split_header(header)
         lowered = {n.lower(): n for n in names}
         if ts.strip().lower() not in lowered:
             raise KeyError(f"no column {ts!r} among {names}")
@@ -171,7 +175,7 @@ def read_station_csv(
     united = frames[0]
     for frame in frames[1:]:
         united = united.unionByName(frame, allowMissingColumns=True)
-    return _typed(united, ts, [c for c in (station, "__path") if c])
+    return _typed(united, ts, [c for c in (station, "__path") if c], columns)
 
 
 def read_station_folder(
