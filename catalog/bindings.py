@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from stationweave.functions.names import feature_name, q
 from stationweave.operators import baselines, metrics
 from stationweave.operators.supervised import leave_one_out, supervised_tasks
-from stationweave.session import shared_dir
+from stationweave.session import materialise, shared_dir
 from stationweave.specs import StationSpec, Task
 
 PM, NO2, RH = "PM2.5", "NO2", "RH"
@@ -114,32 +114,39 @@ def loo_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return base.unionByName(model).withColumnRenamed("task_id", "target_station_id")
 
 
-def _described(scored: DataFrame, name, start, end) -> DataFrame:
-    return scored.select(
+def all_results(spark: SparkSession, sf: str) -> DataFrame:
+    """One comparison row per held-out flag, algorithm and window, and one over all windows.
+
+    A single pass scores everything. The small result is stored, since reports read it more
+    than once.
+    """
+    scored = metrics.score_periods(
+        loo_predictions(spark, sf), MONTHS, ["target_station_id", "algorithm"], overall=True
+    ).where("row_count > 0")
+    iso = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    params = F.create_map(F.lit("depth"), F.lit("3"), F.lit("seeds"), F.lit("[1,2]"))
+    rows = scored.select(
         F.concat(F.lit("run_"), "target_station_id").alias("run_id"),
         F.concat(F.lit("cfg_"), F.lower("target_station_id"), F.lit(".yaml")).alias("config"),
         "target_station_id",
         "algorithm",
-        F.when(F.col("algorithm") == MODEL_LABEL, F.create_map(F.lit("depth"), F.lit("3"), F.lit("seeds"), F.lit("[1,2]"))).alias("best_params"),
-        name.alias("validation_period_name"),
-        start.alias("validation_period_start"),
-        end.alias("validation_period_end"),
+        F.when(F.col("algorithm") == MODEL_LABEL, params).alias("best_params"),
+        F.col("period_name").alias("validation_period_name"),
+        iso("period_start").alias("validation_period_start"),
+        iso("period_end").alias("validation_period_end"),
         "row_count",
         "RMSE",
         "R2",
     )
+    return materialise(rounded(rows))
 
 
 def period_results(spark: SparkSession, sf: str) -> DataFrame:
-    """One comparison row per held-out flag, algorithm and month window."""
-    scored = metrics.score_periods(loo_predictions(spark, sf), MONTHS, ["target_station_id", "algorithm"])
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    return rounded(_described(scored, F.col("period_name"), iso("period_start"), iso("period_end")))
+    return all_results(spark, sf).where("validation_period_name <> 'overall'")
 
 
 def overall_results(spark: SparkSession, sf: str) -> DataFrame:
-    scored = metrics.score(loo_predictions(spark, sf), ["target_station_id", "algorithm"])
-    return rounded(_described(scored, F.lit("overall"), F.lit(""), F.lit("")))
+    return all_results(spark, sf).where("validation_period_name = 'overall'")
 
 
 def long_results(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from catalog.bindings import (
     MONTHS,
     NO2,
     PM,
+    all_results,
     lineitem_readings,
     long_results,
     loo_predictions,
@@ -81,7 +82,9 @@ SHOWN = 'run_id, config, target_station_id, algorithm, validation_period_name, v
 
 
 def _comparison(spark, sf) -> DataFrame:
-    return report.comparison_rows(period_results(spark, sf), overall_results(spark, sf)).drop("best_params")
+    every = all_results(spark, sf).drop("best_params")
+    parts = [every.where("validation_period_name <> 'overall'"), every.where("validation_period_name = 'overall'")]
+    return report.comparison_rows(*parts)
 
 
 @query(f"WITH {results()}, {RANKED} SELECT {SHOWN}, rank_by_rmse FROM ranked")
@@ -139,8 +142,10 @@ LONG = f"{results()}, long_ AS ({longer('period_rows')}), long_o AS ({longer('ov
 @query(f"WITH {LONG} SELECT * FROM long_ UNION ALL SELECT * FROM long_o WHERE target_station_id = 'R'")
 def b15_report_periods(spark, sf):
     """Station R has only overall results, so those are what its report shows."""
-    some = period_results(spark, sf)
-    rows = report.comparison_rows(some.where("target_station_id <> 'R'"), overall_results(spark, sf)).drop("best_params")
+    every = all_results(spark, sf)
+    some = every.where("validation_period_name <> 'overall'")
+    whole = every.where("validation_period_name = 'overall'")
+    rows = report.comparison_rows(some.where("target_station_id <> 'R'"), whole).drop("best_params")
     chosen = report.report_periods(long_results(rows), ["target_station_id"])
     late = long_results(some.where("target_station_id = 'R'").drop("best_params"))
     return chosen.unionByName(late)
@@ -174,8 +179,9 @@ def j7_overall_expansion(spark, sf):
 )
 def j8_run_metadata(spark, sf):
     """Run facts joined onto every metric row by run id."""
-    facts = overall_results(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_runs"))
-    rows = period_results(spark, sf).select("run_id", "target_station_id", "algorithm", "validation_period_name", "RMSE")
+    every = all_results(spark, sf)
+    facts = every.where("validation_period_name = 'overall'").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_runs"))
+    rows = every.where("validation_period_name <> 'overall'").select("run_id", "target_station_id", "algorithm", "validation_period_name", "RMSE")
     return rows.join(facts, "run_id")
 
 

@@ -23,6 +23,7 @@ from catalog.sql import EVENTS, READINGS, matrix, r, sup, supervised
 from stationweave.functions.names import feature_name, q
 from stationweave.operators import impute, models, normalize, profile, scoring, supervised as sv, tuning
 from stationweave.plans import evaluate, prepare
+from stationweave.session import materialise
 from stationweave.sources import results, runs
 from stationweave.specs import ModelSpec, Task
 
@@ -226,7 +227,7 @@ def m16_all_tasks_normalised(spark, sf):
 
 def _two(spark, sf) -> tuple[DataFrame, DataFrame, Task]:
     t = task(1, 1)
-    rows = sv.supervised_frame(lineitem_readings(spark, sf), t)
+    rows = materialise(sv.supervised_frame(lineitem_readings(spark, sf), t))
     early = F.year("prediction_time") < 2001
     return rows.where(early), rows.where(~early), t
 

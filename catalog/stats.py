@@ -14,8 +14,6 @@ from catalog.bindings import (
     features,
     lineitem_readings,
     loo_predictions,
-    overall_results,
-    period_results,
     rounded,
     table,
     task,
@@ -25,6 +23,7 @@ from catalog.registry import query
 from catalog.sql import EVENTS, MONTH_WINDOWS, R2, READINGS, RMSE, predictions, r, results, sup
 from stationweave.functions import names
 from stationweave.functions.names import q
+from stationweave.session import materialise
 from stationweave.operators import baselines, clean, metrics, normalize, profile, supervised as sv
 
 COLS = (PM, NO2, RH)
@@ -282,7 +281,7 @@ def _applied_sql(center: str, scale: str) -> str:
 
 
 def _applied(spark, sf, method: str, undo: bool = False) -> DataFrame:
-    rows = sv.supervised_frame(lineitem_readings(spark, sf), task(2, 1)).select("prediction_time", *STATS_ROWS)
+    rows = materialise(sv.supervised_frame(lineitem_readings(spark, sf), task(2, 1)).select("prediction_time", *STATS_ROWS))
     stats = normalize.fit(rows, STATS_ROWS, method)
     scaled = normalize.apply_stats(rows, stats)
     if undo:

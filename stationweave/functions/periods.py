@@ -192,10 +192,11 @@ def label_periods(df: DataFrame, start: str, end: str, order_by: Sequence[str])
     )
 
 
-def assign_periods(df: DataFrame, ts: str, raw: Any) -> DataFrame:
+def assign_periods(df: DataFrame, ts: str, raw: Any, overall: bool = False) -> DataFrame:
     """One output row per (row, window holding it); overlapping windows repeat the row.
 
-    The windows are literals inside the projection: no join, no shuffle, no broadcast.
+    The windows are literals inside the projection: no join, no shuffle, no broadcast. With
+    `overall` every row also belongs to a window of that name without bounds.
     """
     periods = normalize_periods(raw)
     if not periods:
@@ -211,6 +212,12 @@ def assign_periods(df: DataFrame, ts: str, raw: Any) -> DataFrame:
         )
         for i, p in enumerate(periods, 1)
     ]
+    if overall:
+        nowhere = F.lit(None).cast("timestamp_ntz")
+        everything = F.struct(
+            F.lit("overall").alias("period_name"), nowhere.alias("period_start"), nowhere.alias("period_end")
+        )
+        hits.append(everything)
     return df.select("*", F.explode(F.array_compact(F.array(*hits))).alias("__p")).select(
         *[f"`{c}`" for c in df.columns], "__p.period_name", "__p.period_start", "__p.period_end"
     )

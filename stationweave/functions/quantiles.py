@@ -1,9 +1,10 @@
 """Exact interpolated quantiles without gathering a column in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer. Here a
-mergeable sketch first brackets each wanted rank; only values inside the narrow brackets
-are then counted exactly, and the rank is read off their running counts. The result is the
-exact linear-interpolation quantile; a bracket that missed its rank raises an error.
+The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal
+values are counted across the cluster first. A key with many rows is also sketched, which
+brackets each wanted rank; only values inside the narrow brackets keep their own count, the
+rest collapse to one count per gap. The ranks are then read off running counts. The result
+is the exact linear-interpolation quantile; a bracket that missed its rank raises an error.
 """
 
 from __future__ import annotations
@@ -16,61 +17,61 @@ from stationweave.functions.names import clean_double, q
 
 SKETCH_ACCURACY = 20_000
 _SLACK = 4.0 / SKETCH_ACCURACY
-# Up to here a key's values are all counted; beyond, the slack spans at least 20 rows.
-_COUNT_ALL = 100_000
+# Keys up to this many rows keep all their values; beyond, the slack spans at least 400 rows.
+COUNT_ALL = 2_000_000
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str], count_all: int = COUNT_ALL
+) -> DataFrame:
     """One row per key with `n` and `quantiles ARRAY<DOUBLE>` in the order of `probs`."""
     keys = list(keys)
-    wanted = [float(p) for p in probs]
+    wanted = sorted(set(float(p) for p in probs))
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    sizes = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
+    )
     edges = [e for p in wanted for e in (max(0.0, p - _SLACK), min(1.0, p + _SLACK))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__edges"),
+    large = sizes.where(F.col("n") > count_all).select(*keys)
+    sketch = rows.join(large, keys).groupBy(*keys).agg(
+        F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__edges")
     )
-    small = F.col("n") <= _COUNT_ALL
-    brackets = [
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(p) * (F.col("n") - 1)).alias("rank"),
-            F.when(small | F.lit(p <= _SLACK), F.col("__min")).otherwise(F.element_at("__edges", 2 * i + 1)).alias("lo"),
-            F.when(small | F.lit(p >= 1 - _SLACK), F.col("__max")).otherwise(F.element_at("__edges", 2 * i + 2)).alias("hi"),
-        )
-        for i, p in enumerate(wanted)
-    ]
-    bracketed = sketch.select(*keys, "n", F.array(*brackets).alias("__b"))
-    # Values below a bracket collapse to one counter; values inside keep their own count.
-    marks = (
-        rows.join(bracketed, keys)
-        .select(*keys, "n", "__v", F.explode("__b").alias("__b"))
-        .where(F.col("__v") <= F.col("__b.hi"))
-        .select(
-            *keys,
-            F.col("__b.i").alias("__i"),
-            F.when(F.col("__v") >= F.col("__b.lo"), F.col("__v")).alias("__v"),
-            F.struct("n", "__b.rank").alias("__of"),
-        )
+    lows, highs = [], []
+    for i, p in enumerate(wanted):
+        lo = F.col("__min") if p <= _SLACK else F.coalesce(F.get("__edges", 2 * i), F.col("__min"))
+        hi = F.col("__max") if p >= 1 - _SLACK else F.coalesce(F.get("__edges", 2 * i + 1), F.col("__max"))
+        lows.append(lo.alias(f"__lo{i}"))
+        highs.append(hi.alias(f"__hi{i}"))
+    brackets = sizes.join(sketch, keys, "left").select(*keys, "n", *lows, *highs)
+
+    v = F.col("__v")
+    # Gap number and, inside a bracket, the value: this pair orders exactly like the values.
+    gap = sum((F.when(F.col(f"__hi{i}") < v, 1).otherwise(0) for i in range(len(wanted))), F.lit(0))
+    inside = F.lit(False)
+    for i in range(len(wanted)):
+        inside = inside | v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
+    counts = (
+        rows.join(brackets, keys)
+        .groupBy(*keys, gap.alias("__gap"), F.when(inside, v).alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.max("n").alias("n"))
     )
-    counts = marks.groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__of").alias("__of"))
-    running = Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first())
+    running = Window.partitionBy(*keys).orderBy("__gap", F.col("__v").asc_nulls_first())
     ranked = counts.withColumn("__upto", F.sum("__c").over(running))
-    rank = F.col("__of.rank")
     at = lambda r: F.min(F.when(F.col("__upto") > r, F.struct("__upto", "__v")))["__v"]
-    picked = ranked.groupBy(*keys, "__i").agg(
-        F.first("__of").alias("__of"), at(F.floor(rank)).alias("__low"), at(F.ceil(rank)).alias("__high")
-    )
-    missed = F.col("__low").isNull() | F.col("__high").isNull()
-    exact = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
-        F.col("__low") + (F.col("__high") - F.col("__low")) * (rank - F.floor(rank))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("__i", exact.alias("q"))))
-    return picked.groupBy(*keys).agg(
-        F.first("__of.n").alias("n"), F.transform(ordered, lambda e: e["q"]).alias("quantiles")
-    )
+    rank = lambda p: F.lit(p) * (F.col("n") - 1)
+    picks = []
+    for i, p in enumerate(wanted):
+        picks += [at(F.floor(rank(p))).alias(f"__a{i}"), at(F.ceil(rank(p))).alias(f"__b{i}")]
+    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+
+    def interpolated(i: int, p: float):
+        low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
+        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+        exact = low + (high - low) * (rank(p) - F.floor(rank(p)))
+        return F.when(low.isNull() | high.isNull(), missed).otherwise(exact)
+
+    result = [interpolated(wanted.index(float(p)), float(p)) for p in probs]
+    return picked.select(*keys, "n", F.array(*result).alias("quantiles"))
 
 
 def quantile_columns(

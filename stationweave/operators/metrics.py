@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationweave.functions.periods import assign_periods, period_frame
+from stationweave.session import config_table
 
 # Metrics for which the larger value is the better one.
 HIGHER_IS_BETTER = ("R2", "IA")
@@ -48,11 +49,20 @@ def score(predictions: DataFrame, by: Sequence[str], extra: bool = False) -> Dat
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *metric_columns(extra))
 
 
-def score_periods(predictions: DataFrame, periods, by: Sequence[str], extra: bool = False) -> DataFrame:
-    """Metrics per (period, group); a period without rows stays, marked as skipped."""
-    placed = assign_periods(predictions, "prediction_time", periods)
+def score_periods(
+    predictions: DataFrame, periods, by: Sequence[str], extra: bool = False, overall: bool = False
+) -> DataFrame:
+    """Metrics per (period, group); a period without rows stays, marked as skipped.
+
+    With `overall` the same pass also scores all rows together, as one more period.
+    """
+    placed = assign_periods(predictions, "prediction_time", periods, overall)
     scored = score(placed, ["period_name", *by], extra)
-    windows = period_frame(predictions.sparkSession, periods).select("period_name", "period_start", "period_end", "period")
+    spark = predictions.sparkSession
+    windows = period_frame(spark, periods).select("period_name", "period_start", "period_end", "period")
+    if overall:
+        whole = config_table(spark, [("overall", "overall")], "period_name string, period string")
+        windows = windows.unionByName(whole, allowMissingColumns=True)
     found = windows.join(scored, "period_name", "left")
     skipped = F.col("row_count").isNull()
     return found.withColumns(

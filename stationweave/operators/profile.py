@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stationweave.functions.names import clean_double, q
-from stationweave.functions.quantiles import quantile_columns
+from stationweave.functions.quantiles import quantile_columns, to_long
 from stationweave.operators.clean import is_missing
 
 
@@ -54,20 +55,17 @@ def column_profile(df: DataFrame, exclude: Sequence[str] = (), stage: str | None
     ]
     base = df.agg(*measures).select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
 
-    # Adding zero makes -0.0 and 0.0 one value.
-    text = lambda c: ((value[c] + 0.0) if c in numeric else value[c]).cast("string")
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column"), text(c).alias("text")) for c in columns]
-    )
-    distinct = (
-        df.select(F.explode(cells).alias("__c"))
-        .select("__c.column", "__c.text")
-        .where(F.col("text").isNotNull())
-        .groupBy("column", "text")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("unique"))
-    )
+    parts = []
+    if numeric:
+        # Adding zero makes -0.0 and 0.0 one value.
+        long = to_long(df, [c for c in columns if c in numeric]).withColumn("value", F.col("value") + 0.0)
+        parts.append(long)
+    texts = [c for c in columns if c not in numeric]
+    if texts:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in texts])
+        parts.append(df.select(F.explode(cells).alias("__c")).select("__c.*").where(F.col("value").isNotNull()))
+    counted = [p.groupBy("column", "value").agg(F.lit(1).alias("one")).select("column") for p in parts]
+    distinct = reduce(DataFrame.unionByName, counted).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     out = base.join(distinct, "column", "left")
     if numeric:
         medians = quantile_columns(df, [c for c in columns if c in numeric], [0.5]).select(

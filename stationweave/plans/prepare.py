@@ -68,7 +68,7 @@ def training_slice(df: DataFrame, spec: StationSpec) -> DataFrame:
     return drop_periods(pruned, q(spec.ts), [*validation_windows(spec), *testing_windows(spec)])
 
 
-def _frame(df: DataFrame, spec: StationSpec, store: bool = False) -> tuple[DataFrame, DataFrame]:
+def _frame(df: DataFrame, spec: StationSpec, store: bool = True) -> tuple[DataFrame, DataFrame]:
     """Cleaned readings and their supervised rows; stored rows are built once for all later jobs."""
     cleaned = clean_readings(df, spec)
     rows = supervised_frame(cleaned, spec.task(), spec.ts, spec.station)
@@ -82,7 +82,7 @@ def _normalised(
     return normalize.apply_stats(rows, used), used
 
 
-def prepare_training(df: DataFrame, spec: StationSpec, store: bool = False) -> Prepared:
+def prepare_training(df: DataFrame, spec: StationSpec, store: bool = True) -> Prepared:
     """Slice, clean, build rows and normalise with their own statistics.
 
     The slice comes before the time axis, so lags step over excluded windows.
@@ -94,7 +94,7 @@ def prepare_training(df: DataFrame, spec: StationSpec, store: bool = False) -> P
 
 
 def prepare_tuning(
-    df: DataFrame, spec: StationSpec, stats: normalize.NormStats, store: bool = False
+    df: DataFrame, spec: StationSpec, stats: normalize.NormStats, store: bool = True
 ) -> Prepared | None:
     """Rows predicted for the validation windows, or None without such windows."""
     periods = validation_windows(spec)
@@ -113,7 +113,7 @@ def prepare_evaluation(
     stats: normalize.NormStats | None = None,
     fallback: bool = True,
     strict: bool = False,
-    store: bool = False,
+    store: bool = True,
 ) -> Prepared:
     """Rows predicted for the testing windows, built on their whole years.
 
@@ -130,7 +130,7 @@ def prepare_evaluation(
 
 def prepare_fold(df: DataFrame, spec: StationSpec, train_periods, validation_periods) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
     """Normalised train and validation rows of one fold; the fold's own window is scored."""
-    train = prepare_training(df, spec.with_(train_periods=train_periods), store=True)
+    train = prepare_training(df, spec.with_(train_periods=train_periods))
     held_out = prepare_evaluation(
         df, spec.with_(testing_periods=validation_periods), train.stats, fallback=False
     )
