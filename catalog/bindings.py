@@ -81,11 +81,10 @@ def scratch(spark: SparkSession) -> str:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, and never a negative zero, so both sides of a check print alike."""
-    return df.select(
-        *[
-            (F.round(q(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else q(f.name)
-            for f in df.schema
-        ]
+    number = (T.DoubleType, T.FloatType)
+    name = lambda f: "`" + f.name.replace("`", "``") + "`"
+    return df.selectExpr(
+        *[f"round({name(f)}, {digits}) + 0.0D AS {name(f)}" if isinstance(f.dataType, number) else name(f) for f in df.schema]
     )
 
 

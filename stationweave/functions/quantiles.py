@@ -1,9 +1,9 @@
 """Exact interpolated quantiles without gathering a column in one task.
 
 The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal
-values are counted across the cluster first. A key with many rows is also sketched, which
-brackets each wanted rank; only values inside the narrow brackets keep their own count, the
-rest collapse to one count per gap. The ranks are then read off running counts. The result
+values are counted across the cluster first, and ranks are read off running counts. For a key
+with very many rows a mergeable sketch first brackets each wanted rank; only values inside the
+narrow brackets then keep their own count, the rest collapse to one count per gap. The result
 is the exact linear-interpolation quantile; a bracket that missed its rank raises an error.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stationweave.functions.names import clean_double, q
+from stationweave.session import materialise
 
 SKETCH_ACCURACY = 20_000
 _SLACK = 4.0 / SKETCH_ACCURACY
@@ -24,54 +25,57 @@ COUNT_ALL = 2_000_000
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str], count_all: int = COUNT_ALL
 ) -> DataFrame:
-    """One row per key with `n` and `quantiles ARRAY<DOUBLE>` in the order of `probs`."""
+    """One row per key with `n` and `quantiles ARRAY<DOUBLE>` in the order of `probs`.
+
+    The rows per key are counted first, as a job of its own: the outcome decides whether any
+    key needs a sketch.
+    """
     keys = list(keys)
     wanted = sorted(set(float(p) for p in probs))
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max")
-    )
+    sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    if sizes.where(F.col("n") > count_all).isEmpty():
+        counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).withColumn("__gap", F.lit(0))
+    else:
+        counts = _bracketed_counts(rows, sizes, wanted, keys, count_all)
+    running = Window.partitionBy(*keys).orderBy("__gap", F.col("__v").asc_nulls_first())
+    ranked = counts.withColumn("__upto", F.sum("__c").over(running)).join(sizes, keys)
+    rank = [f"{p!r}D * (n - 1)" for p in wanted]
+    at = lambda r: F.expr(f"min(CASE WHEN __upto > {r} THEN struct(__upto, __v) END).__v")
+    picks = [
+        at(f"{side}({r})").alias(f"__{side}{i}") for i, r in enumerate(rank) for side in ("floor", "ceil")
+    ]
+    picked = ranked.groupBy(*keys, "n").agg(*picks)
+    exact = [
+        f"CASE WHEN __floor{i} IS NULL OR __ceil{i} IS NULL THEN double(raise_error('quantile bracket missed its rank')) "
+        f"ELSE __floor{i} + (__ceil{i} - __floor{i}) * ({r} - floor({r})) END"
+        for i, r in enumerate(rank)
+    ]
+    ordered = ", ".join(exact[wanted.index(float(p))] for p in probs)
+    return picked.select(*keys, "n", F.expr(f"array({ordered})").alias("quantiles"))
+
+
+def _bracketed_counts(
+    rows: DataFrame, sizes: DataFrame, wanted: list[float], keys: list[str], count_all: int
+) -> DataFrame:
+    """Counts per (key, gap, value); values outside every bracket of a large key are merged."""
     edges = [e for p in wanted for e in (max(0.0, p - _SLACK), min(1.0, p + _SLACK))]
     large = sizes.where(F.col("n") > count_all).select(*keys)
-    sketch = rows.join(large, keys).groupBy(*keys).agg(
-        F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__edges")
+    # Stored, so its true size decides whether it is broadcast.
+    brackets = materialise(
+        rows.join(large, keys).groupBy(*keys).agg(F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__edges"))
     )
-    lows, highs = [], []
-    for i, p in enumerate(wanted):
-        lo = F.col("__min") if p <= _SLACK else F.coalesce(F.get("__edges", 2 * i), F.col("__min"))
-        hi = F.col("__max") if p >= 1 - _SLACK else F.coalesce(F.get("__edges", 2 * i + 1), F.col("__max"))
-        lows.append(lo.alias(f"__lo{i}"))
-        highs.append(hi.alias(f"__hi{i}"))
-    brackets = sizes.join(sketch, keys, "left").select(*keys, "n", *lows, *highs)
-
-    v = F.col("__v")
-    # Gap number and, inside a bracket, the value: this pair orders exactly like the values.
-    gap = sum((F.when(F.col(f"__hi{i}") < v, 1).otherwise(0) for i in range(len(wanted))), F.lit(0))
-    inside = F.lit(False)
-    for i in range(len(wanted)):
-        inside = inside | v.between(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
-    counts = (
-        rows.join(brackets, keys)
-        .groupBy(*keys, gap.alias("__gap"), F.when(inside, v).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.max("n").alias("n"))
+    # Open ends at the extremes; a key without a sketch keeps all its values.
+    low = lambda i, p: "false" if p <= _SLACK else f"__v < __edges[{2 * i}]"
+    high = lambda i, p: "false" if p >= 1 - _SLACK else f"__v > __edges[{2 * i + 1}]"
+    gap = " + ".join(f"CASE WHEN {high(i, p)} THEN 1 ELSE 0 END" for i, p in enumerate(wanted))
+    outside = " AND ".join(f"(({low(i, p)}) OR ({high(i, p)}))" for i, p in enumerate(wanted))
+    marked = rows.join(brackets, keys, "left").select(
+        *keys,
+        F.expr(f"CASE WHEN __edges IS NULL THEN 0 ELSE {gap} END").alias("__gap"),
+        F.expr(f"CASE WHEN __edges IS NULL OR NOT ({outside}) THEN __v END").alias("__v"),
     )
-    running = Window.partitionBy(*keys).orderBy("__gap", F.col("__v").asc_nulls_first())
-    ranked = counts.withColumn("__upto", F.sum("__c").over(running))
-    at = lambda r: F.min(F.when(F.col("__upto") > r, F.struct("__upto", "__v")))["__v"]
-    rank = lambda p: F.lit(p) * (F.col("n") - 1)
-    picks = []
-    for i, p in enumerate(wanted):
-        picks += [at(F.floor(rank(p))).alias(f"__a{i}"), at(F.ceil(rank(p))).alias(f"__b{i}")]
-    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-
-    def interpolated(i: int, p: float):
-        low, high = F.col(f"__a{i}"), F.col(f"__b{i}")
-        missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        exact = low + (high - low) * (rank(p) - F.floor(rank(p)))
-        return F.when(low.isNull() | high.isNull(), missed).otherwise(exact)
-
-    result = [interpolated(wanted.index(float(p)), float(p)) for p in probs]
-    return picked.select(*keys, "n", F.array(*result).alias("quantiles"))
+    return marked.groupBy(*keys, "__gap", "__v").agg(F.count(F.lit(1)).alias("__c"))
 
 
 def quantile_columns(

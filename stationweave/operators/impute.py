@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationweave.functions.names import clean_double, q
@@ -13,6 +11,7 @@ from stationweave.functions.quantiles import quantile_columns
 from stationweave.operators.clean import is_missing
 from stationweave.operators.models import fit_model
 from stationweave.operators.profile import correlation, numeric_columns
+from stationweave.operators.tuning import in_threads
 from stationweave.session import config_table, materialise
 
 DETAIL_SCHEMA = (
@@ -74,9 +73,7 @@ def impute_forest(
             rows = inputs(known, s).withColumn("__y", clean_double(q(target)))
             return fit_model(rows, [f"__i{i}" for i in range(len(chosen[s]))], ["__y"], "random_forest", params)
 
-        with ThreadPoolExecutor(max(1, min(parallelism, len(forests) or 1))) as pool:
-            jobs = {s: pool.submit(inheritable_thread_target(lambda s=s: train(s))) for s in forests}
-            models = {s: job.result() for s, job in jobs.items()}
+        models = dict(zip(forests, in_threads(df.sparkSession, train, forests, parallelism))) if forests else {}
 
         gaps = current.where(is_missing(current, target))
         parts = [current.where(~is_missing(current, target))]

@@ -11,7 +11,7 @@ from stationweave.functions.names import clean_double, q
 from stationweave.functions.positions import time_position
 
 # Above this many output columns a real pivot is cheaper than one expression per column.
-_WIDE_AGG_COLUMNS = 64
+_WIDE_AGG_COLUMNS = 32
 
 
 def unpivot_readings(df: DataFrame, pollutants: Sequence[str], ts: str = "ts", station: str = "station_id") -> DataFrame:

@@ -1,9 +1,14 @@
 """Lagged neighbour features and horizon-shifted labels for any number of tasks at once.
 
-Positions count the times on which any station reported, so a lag steps over gaps. A cell
-at position i is the lag-k feature of row i+k and the label of row i-h. Cells therefore
-move to the row they belong to by adding a shift, and one grouping by (task, row) builds
-the frame: no ordered window, no task that holds a whole station.
+Positions count the times on which any station reported, so a lag steps over gaps. Wide rows,
+one per time, get their position and are cut into equal blocks of consecutive positions; a
+block also receives the few rows before and after it that its lags and its horizon reach.
+Lags are then taken inside each block. Blocks hold the same number of rows whatever the data
+looks like, so there is no ordered pass over everything and no skew.
+
+With more stations than fit into wide rows the frame is built from single cells instead: the
+cell at position i is the lag-k feature of row i+k and the label of row i-h, so cells move to
+their row by adding a shift, and one grouping by (task, row) builds the frame.
 """
 
 from __future__ import annotations
@@ -18,6 +23,11 @@ from stationweave.operators.matrix import matrix_column, station_cells, station_
 from stationweave.session import config_table
 from stationweave.specs import Task
 
+# Consecutive positions handled together; a reach beyond it makes the blocks longer.
+BLOCK_ROWS = 16_384
+# Up to this many station columns, tasks are cut from wide rows.
+WIDE_COLUMNS = 512
+
 SLOT_SCHEMA = T.StructType(
     [
         T.StructField("task_id", T.StringType(), False),
@@ -91,33 +101,53 @@ def _times() -> list[Column]:
     ]
 
 
+def block_windows(rows: DataFrame, index: str, back: int, ahead: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows with the block they are computed in, repeated into neighbour blocks that reach them.
+
+    Adds `__block` and `__own`; a row belongs to the result only where `__own` holds.
+    """
+    size = max(block_rows, back, ahead)
+    own, at = f"({index} div {size})", f"{index} % {size}"
+    blocks = [own]
+    if back:
+        blocks.append(f"CASE WHEN {at} >= {size - back} THEN {own} + 1 END")
+    if ahead:
+        blocks.append(f"CASE WHEN {at} < {ahead} THEN {own} - 1 END")
+    placed = rows.select("*", F.expr(f"explode(array_compact(array({', '.join(blocks)})))").alias("__block"))
+    return placed.withColumn("__own", F.expr(f"__block = {own}"))
+
+
+def _over(expression: str) -> str:
+    return f"{expression} OVER (PARTITION BY __block ORDER BY ts_idx)"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def supervised_frame(df: DataFrame, task: Task, ts: str = "ts", station: str = "station_id") -> DataFrame:
     """feature_time, one column per feature, the label columns, prediction_time; complete rows only."""
     if not task.input_stations:
         raise ValueError("at least one input station is required")
-    names = feature_names(task) + target_names(task)
-    if _aligned(task):
-        return _aligned_frame(df, task, ts, station)
-    shifted = shifted_cells(df, [task], ts, station)
-    columns = [F.max(F.when(F.col("slot") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
-    wide = shifted.groupBy("row_idx").agg(*_times(), *columns, F.count(F.lit(1)).alias("__filled"))
-    return wide.where(F.col("__filled") == len(names)).select("feature_time", *[q(n) for n in names], "prediction_time")
-
-
-def _aligned_frame(df: DataFrame, task: Task, ts: str, station: str) -> DataFrame:
-    """One lag and no horizon: features and label share the time, one grouping by time is enough."""
     stations = list(dict.fromkeys([*task.input_stations, task.target_station]))
     matrix = station_matrix(df, task.pollutants, stations, ts, station)
-    cell = lambda p, s: q(matrix_column(p, s, task.multi))
-    sources = [cell(p, s) for p in task.pollutants for s in task.input_stations]
-    labels = [cell(p, task.target_station) for p in task.pollutants]
-    complete = reduce(Column.__and__, [c.isNotNull() for c in sources + labels])
-    return matrix.where(complete).select(
-        F.col("ts").alias("feature_time"),
-        *[c.alias(n) for c, n in zip(sources, feature_names(task))],
-        *[c.alias(n) for c, n in zip(labels, target_names(task))],
-        F.col("ts").alias("prediction_time"),
+    cell = lambda p, s: _quoted(matrix_column(p, s, task.multi))
+    features, labels = feature_names(task), target_names(task)
+    at = lambda c, k: c if not k else _over(f"lag({c}, {k})") if k > 0 else _over(f"lead({c}, {-k})")
+    sources = [(cell(p, s), k) for p in task.pollutants for s in task.input_stations for k in range(task.lags)]
+    sources += [(cell(p, task.target_station), -task.horizon) for p in task.pollutants]
+    rows, kept = matrix, []
+    if task.lags > 1 or task.horizon:
+        placed = matrix.join(time_axis(df, task.pollutants, ts, station), "ts")
+        rows, kept = block_windows(placed, "ts_idx", task.lags - 1, task.horizon), ["__own"]
+    lagged = rows.selectExpr(
+        "ts AS feature_time",
+        *[f"{at(c, k)} AS {_quoted(n)}" for (c, k), n in zip(sources, features + labels)],
+        f"{at('ts', -task.horizon)} AS prediction_time",
+        *kept,
     )
+    complete = " AND ".join([*kept, *[f"{_quoted(n)} IS NOT NULL" for n in features + labels]])
+    return lagged.where(complete).drop("__own")
 
 
 def supervised_tasks(
@@ -125,27 +155,83 @@ def supervised_tasks(
 ) -> DataFrame:
     """All tasks in one plan: (task_id, feature_time, prediction_time, features, targets).
 
-    Both arrays follow the slot order, so `features[i]` is `feature_names(task)[i]`. A group
-    is one row of one task and holds no more entries than that task has slots.
-    Tasks over different pollutants have different time axes and are built side by side.
+    Both arrays follow the slot order, so `features[i]` is `feature_names(task)[i]`. Tasks
+    over different pollutants have different time axes and are built side by side.
     """
     groups: dict[frozenset, list[Task]] = {}
     for task in tasks:
         groups.setdefault(frozenset(task.pollutants), []).append(task)
-    frames = [_task_rows(df, group, ts, station) for group in groups.values()]
+    frames = []
+    for group in groups.values():
+        stations = {s for t in group for s in (*t.input_stations, t.target_station)}
+        wide = len(stations) * len(group[0].pollutants) <= WIDE_COLUMNS
+        build = tasks_from_rows if wide else tasks_from_cells
+        frames.append(build(df, group, ts, station))
     return reduce(DataFrame.unionByName, frames)
 
 
+TASK_SCHEMA = "task_id string, feature_at array<int>, target_at array<int>, horizon int"
+
+
+def tasks_from_rows(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id") -> DataFrame:
+    """Wide rows are shuffled once; every task then picks its features from each row on the spot."""
+    pollutants = list(tasks[0].pollutants)
+    multi = len(pollutants) > 1
+    stations = list(dict.fromkeys(s for t in tasks for s in (*t.input_stations, t.target_station)))
+    columns = [matrix_column(p, s, multi) for p in pollutants for s in stations]
+    lags, horizons = max(t.lags for t in tasks), sorted({t.horizon for t in tasks})
+    width = len(columns)
+    position = {(p, s): i * len(stations) + j for i, p in enumerate(pollutants) for j, s in enumerate(stations)}
+    specs = [
+        (
+            t.task_id,
+            [k * width + position[p, s] for p in t.pollutants for s in t.input_stations for k in range(t.lags)],
+            [position[p, t.target_station] for p in t.pollutants],
+            t.horizon,
+        )
+        for t in tasks
+    ]
+    matrix = station_matrix(df, pollutants, stations, ts, station)
+    rows = matrix.selectExpr("ts", f"array({', '.join(_quoted(c) for c in columns)}) AS v")
+    if lags == 1 and horizons == [0]:
+        shifted = rows.selectExpr("ts AS feature_time", "v AS past", "map(0, struct(ts AS ts, v AS v)) AS future")
+    else:
+        placed = rows.join(time_axis(df, pollutants, ts, station), "ts")
+        blocks = block_windows(placed, "ts_idx", lags - 1, horizons[-1])
+        absent = f"array_repeat(CAST(NULL AS DOUBLE), {width})"
+        past = ["v", *[f"coalesce({_over(f'lag(v, {k})')}, {absent})" for k in range(1, lags)]]
+        ahead = lambda c, h: _over(f"lead({c}, {h})") if h else c
+        future = [f"{h}, struct({ahead('ts', h)} AS ts, {ahead('v', h)} AS v)" for h in horizons]
+        shifted = blocks.selectExpr(
+            "ts AS feature_time", f"concat({', '.join(past)}) AS past", f"map({', '.join(future)}) AS future", "__own"
+        ).where("__own")
+    # The task list is configuration; it travels as one constant, so there is no join.
+    table = config_table(df.sparkSession, specs, TASK_SCHEMA)
+    constant = table.agg(F.collect_list(F.struct("*"))).scalar()
+    each = shifted.select("feature_time", "past", "future", F.explode(constant).alias("t"))
+    picked = each.selectExpr(
+        "t.task_id AS task_id",
+        "feature_time",
+        "future[t.horizon].ts AS prediction_time",
+        "transform(t.feature_at, i -> past[i]) AS features",
+        "transform(t.target_at, i -> future[t.horizon].v[i]) AS targets",
+    )
+    return picked.where(
+        "prediction_time IS NOT NULL AND NOT exists(features, x -> x IS NULL) AND NOT exists(targets, x -> x IS NULL)"
+    )
+
+
 # Up to here every slot gets its own fixed-width aggregate; beyond, slots are collected.
 _SLOT_COLUMNS = 256
 
 
-def _task_rows(df: DataFrame, tasks: Sequence[Task], ts: str, station: str) -> DataFrame:
+def tasks_from_cells(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id") -> DataFrame:
+    """Cells move to the rows they fill; a group is one row of one task, as wide as its slots."""
     n_labels = len(tasks[0].pollutants)
     widest = max(len(task_slots(t)) for t in tasks)
     if widest <= _SLOT_COLUMNS:
-        slots = [F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"__v{i}") for i in range(widest)]
-        values = F.array(*[f"__v{i}" for i in range(widest)])
+        slots = [F.expr(f"max(CASE WHEN slot = {i} THEN value END)").alias(f"__v{i}") for i in range(widest)]
+        values = F.expr(f"array({', '.join(f'__v{i}' for i in range(widest))})")
     else:
         entries = F.array_sort(F.collect_list(F.struct("slot", "value")))
         slots, values = [F.transform(entries, lambda e: e["value"]).alias("__v")], F.col("__v")

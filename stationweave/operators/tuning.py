@@ -71,12 +71,13 @@ def candidates(grid: dict[str, Any], search: str, max_trials: int, seed: int) ->
     return [points[i] for i in sorted(drawn.tolist())]
 
 
-def _in_threads(work: Callable[[Any], Any], items: Iterable[Any], parallelism: int) -> list[Any]:
+def in_threads(spark: SparkSession, work: Callable[[Any], Any], items: Iterable[Any], parallelism: int = 4) -> list[Any]:
     """Run independent Spark jobs side by side; order of results follows the items."""
     items = list(items)
     with ThreadPoolExecutor(max(1, min(parallelism, len(items)))) as pool:
         # Wrapped once per item, so each job carries a fresh copy of the caller's properties.
-        return [f.result() for f in [pool.submit(inheritable_thread_target(lambda i=i: work(i))) for i in items]]
+        inherit = inheritable_thread_target(spark)
+        return [f.result() for f in [pool.submit(inherit(lambda i=i: work(i))) for i in items]]
 
 
 def best_trial(trials: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
@@ -123,7 +124,7 @@ def tune(
         metrics = long_metrics(model.evaluate(validation), [metric], ["target"])
         return trial_score(metrics, metric, []).first().score
 
-    scores = _in_threads(run, enumerate(points, 1), parallelism)
+    scores = in_threads(train.sparkSession, run, enumerate(points, 1), parallelism)
     rows = [(i, len(points), float(s), render_params(p)) for i, (s, p) in enumerate(zip(scores, points), 1)]
     trials = config_table(train.sparkSession, [(i, n, s, list(p.items())) for i, n, s, p in rows], TRIAL_SCHEMA)
     best = best_trial(trials, metric).first().trial
@@ -155,6 +156,6 @@ def cross_validate(
         name = str(fold.get("name") or f"fold_{index}")
         return model.predictions(held_out).withColumn("fold", F.lit(name))
 
-    frames = _in_threads(run, enumerate(folds, 1), parallelism)
+    frames = in_threads(spark, run, enumerate(folds, 1), parallelism)
     predictions = reduce(DataFrame.unionByName, frames)
     return predictions, score(predictions, ["fold", "target"])

@@ -32,14 +32,17 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that several jobs will read.
+    """Compute a frame once, now, for the several jobs that will read it.
 
-    With a shared checkpoint folder the rows are written there once and survive lost
-    executors. Without one the frame is persisted, so lost blocks are recomputed.
+    With a shared checkpoint folder the rows are written there and survive lost executors.
+    Without one the frame is persisted, so lost blocks are recomputed. Either way Spark then
+    knows the true size, which decides later joins.
     """
     root = shared_dir(df.sparkSession)
     if not root:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+        stored.count()
+        return stored
     path = f"{root.rstrip('/')}/stationweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
