@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -56,24 +56,91 @@ def train(df: DataFrame, spec: StationSpec, model_spec: ModelSpec, parallelism:
     return Trained(prepared, model, prepared.stats, params, trials)
 
 
-@dataclass(frozen=True)
+@dataclass
 class Evaluation:
-    """Lazy result tables of one run."""
-
-    predictions: DataFrame
-    training_predictions: DataFrame
-    details: DataFrame
-    metrics: DataFrame
-    baseline_predictions: DataFrame
-    baseline_metrics: DataFrame
-    period_metrics: DataFrame | None
-    baseline_period_metrics: DataFrame | None
-    imputation_stats: DataFrame
-    imputation_details: DataFrame
-    profile_before: DataFrame
-    profile_after: DataFrame
-    normalization_source: str
-    combined: bool = True
+    """Result tables of one run, each planned when first asked for."""
+
+    readings: DataFrame
+    spec: StationSpec
+    trained: Trained
+    test: Prepared
+    per_period: bool
+    combined: bool
+
+    @property
+    def normalization_source(self) -> str:
+        return self.test.normalization_source
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        """Normalised test rows with the raw features aside, so one stored frame serves model and baselines."""
+        aside = self.test.rows.withColumns({f"raw__{f}": q(f) for f in self.test.features})
+        return normalize.apply_stats(aside, self.test.stats)
+
+    @cached_property
+    def _view(self) -> DataFrame:
+        years = period_years(testing_windows(self.spec))
+        return export_view(keep_years(self.readings, self.spec, years), self.spec)
+
+    @property
+    def _columns(self) -> list[str]:
+        return [c for c in self._view.columns if c not in (self.spec.ts, self.spec.station)]
+
+    @property
+    def _cleaned(self) -> list[str]:
+        return [c for c in self.spec.impute_columns if c in self._columns]
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return self.trained.model.predictions(self._rows)
+
+    @cached_property
+    def training_predictions(self) -> DataFrame:
+        return self.trained.model.predictions(normalize.apply_stats(self.trained.prepared.rows, self.test.stats))
+
+    @cached_property
+    def details(self) -> DataFrame:
+        return baselines.details(_named_predictions(self.trained.model.predict(self._rows), self.test), self.test.targets)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return score(self.predictions, ["target"])
+
+    @cached_property
+    def baseline_predictions(self) -> DataFrame:
+        return baselines.baseline_predictions(self.test.rows, self.spec.task())
+
+    @cached_property
+    def baseline_metrics(self) -> DataFrame:
+        return score(self.baseline_predictions, ["baseline_id", "algorithm", "target"])
+
+    @cached_property
+    def period_metrics(self) -> DataFrame | None:
+        """Cut from the whole frame, so periods do not depend on the overall selection."""
+        if not self.per_period:
+            return None
+        rows = normalize.apply_stats(self.test.all_rows, self.test.stats)
+        return score_periods(self.trained.model.predictions(rows), testing_windows(self.spec), ["target"])
+
+    @cached_property
+    def baseline_period_metrics(self) -> DataFrame | None:
+        if not self.per_period:
+            return None
+        return baselines.baseline_period_metrics(self.test.all_rows, self.spec.task(), testing_windows(self.spec))
+
+    @cached_property
+    def imputation_stats(self) -> DataFrame:
+        return cleaning_stats(self._view, self._columns, self._cleaned, self.spec.station)
+
+    @cached_property
+    def imputation_details(self) -> DataFrame | None:
+        return drop_details(self._view, self._cleaned, self.spec.station) if self._cleaned else None
+
+    @cached_property
+    def column_statistics(self) -> DataFrame:
+        structural = (self.spec.ts, self.spec.station)
+        before = column_profile(self._view, structural, "before")
+        return before.unionByName(column_profile(export_view(self.test.cleaned, self.spec), structural, "after"))
 
 
 def evaluate(
@@ -85,46 +152,10 @@ def evaluate(
     only_per_period: bool = False,
 ) -> Evaluation:
     """Score the testing windows once; periods and baselines are groupings of the same rows."""
-    periods = testing_windows(spec)
-    per_period = per_period or only_per_period
-    if only_per_period and not periods:
+    if only_per_period and not testing_windows(spec):
         raise ValueError("per-period results alone need at least one testing period")
     test = prepare_evaluation(df, spec, trained.stats if use_training_stats else None)
-    # Raw features ride along under a prefix, so one stored frame serves model and baselines.
-    aside = test.rows.withColumns({f"raw__{f}": q(f) for f in test.features})
-    rows = normalize.apply_stats(aside, test.stats)
-    raw = rows.select(
-        "prediction_time", *[q(t) for t in test.targets], *[q(f"raw__{f}").alias(f) for f in test.features]
-    )
-    predictions = trained.model.predictions(rows)
-    base = baselines.baseline_predictions(raw, spec.task())
-    # Periods are cut from the whole frame, so they do not depend on the overall selection.
-    windows = normalize.apply_stats(test.all_rows, test.stats)
-    readings = keep_years(df, spec, period_years(periods))
-    view = export_view(readings, spec)
-    columns = [c for c in view.columns if c not in (spec.ts, spec.station)]
-    cleaned = [c for c in spec.impute_columns if c in columns]
-    training = normalize.apply_stats(trained.prepared.rows, test.stats)
-    return Evaluation(
-        predictions=predictions,
-        training_predictions=trained.model.predictions(training),
-        details=baselines.details(_named_predictions(trained.model.predict(rows), test), test.targets),
-        metrics=score(predictions, ["target"]),
-        baseline_predictions=base,
-        baseline_metrics=score(base, ["baseline_id", "algorithm", "target"]),
-        period_metrics=score_periods(trained.model.predictions(windows), periods, ["target"]) if per_period else None,
-        baseline_period_metrics=(
-            score_periods(baselines.baseline_predictions(test.all_rows, spec.task()), periods, ["baseline_id", "algorithm", "target"])
-            if per_period
-            else None
-        ),
-        imputation_stats=cleaning_stats(view, columns, cleaned, spec.station),
-        imputation_details=drop_details(view, cleaned, spec.station) if cleaned else cleaning_stats(view, columns, [], spec.station),
-        profile_before=column_profile(view, (spec.ts, spec.station), "before"),
-        profile_after=column_profile(export_view(test.cleaned, spec), (spec.ts, spec.station), "after"),
-        normalization_source=test.normalization_source,
-        combined=not only_per_period,
-    )
+    return Evaluation(df, spec, trained, test, per_period or only_per_period, not only_per_period)
 
 
 def _named_predictions(predicted: DataFrame, test: Prepared) -> DataFrame:
@@ -177,10 +208,9 @@ def write_evaluation(evaluation: Evaluation, root: str, run_id: str, store_detai
     if store_details:
         write_run_table(evaluation.details, root, "details", run_id)
     write_run_table(evaluation.imputation_stats, root, "imputation_stats", run_id)
-    write_run_table(evaluation.imputation_details, root, "imputation_details", run_id)
-    write_run_table(
-        evaluation.profile_before.unionByName(evaluation.profile_after), root, "column_statistics", run_id, ["stage"]
-    )
+    if evaluation.imputation_details is not None:
+        write_run_table(evaluation.imputation_details, root, "imputation_details", run_id)
+    write_run_table(evaluation.column_statistics, root, "column_statistics", run_id)
 
 
 def cross_validation(

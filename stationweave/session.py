@@ -10,11 +10,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
-def local_session(cores: str = "*", app: str = "stationweave") -> SparkSession:
+def local_session(cores: str = "*", app: str = "stationweave", shared: str | None = None) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
     n = "8" if cores == "*" else cores
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -84,6 +84,11 @@ def year_from_path(path: Column) -> Column:
     return F.coalesce(_found(file_name(path), _YEAR), _found(path, _YEAR)).cast("int")
 
 
+def decoded(path: Column) -> Column:
+    """Path as it was written; the file metadata column percent-encodes it."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def list_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
     """(path, size, modified): a distributed listing that opens no file. Hidden folders are skipped."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -114,7 +119,7 @@ def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
         .where(F.col("file_block_start") == 0)
         .withColumn("order", F.monotonically_increasing_id())
     )
-    first = lines.groupBy("file_path").agg(F.min_by("value", "order").alias("header"))
+    first = lines.groupBy(decoded(F.col("file_path")).alias("file_path")).agg(F.min_by("value", "order").alias("header"))
     grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
     return {r.header.lstrip("﻿"): list(r.files) for r in grouped.collect()}
 
@@ -167,7 +172,7 @@ def read_station_csv(
         renamed = [ts if n == actual else n for n in names]
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
         raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(members)
-        named = raw.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(renamed)], F.col("_metadata.file_path").alias("__path"))
+        named = raw.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(renamed)], decoded(F.col("_metadata.file_path")).alias("__path"))
         if columns is not None:
             keep = [c for c in renamed if c in (ts, station) or c in columns]
             named = named.select(*[q(c) for c in keep], "__path")
@@ -241,7 +246,7 @@ def read_station_mapping(
     # Paths come back as URIs; compare the part after the scheme.
     plain = lambda c: F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/{0,2}(?=/)", "")
     mapping = table.select(plain(F.col("path")).alias("__plain"), "mapped")
-    joined = df.withColumn("__plain", plain(F.url_decode("__path"))).join(mapping, "__plain")
+    joined = df.withColumn("__plain", plain(F.col("__path"))).join(mapping, "__plain")
     return joined.withColumn(station, F.col("mapped")).drop("mapped", "__plain", "__path")
 
 
