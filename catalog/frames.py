@@ -208,7 +208,7 @@ def j3_period_assignment(spark, sf):
 def j4_silent_stations(spark, sf):
     """Suppliers without a reading in the last weeks: both sides of any size."""
     known = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("station_id"))
-    late = lineitem_readings(spark, sf, "l_suppkey").where("ts >= TIMESTAMP_NTZ'2001-10-01'")
+    late = lineitem_readings(spark, sf, "l_suppkey").where("ts >= TIMESTAMP_NTZ'2001-10-01'").select("station_id").distinct()
     return known.join(late, "station_id", "left_anti")
 
 
@@ -371,7 +371,7 @@ def r6_details(spark, sf):
 )
 def u4_station_difference(spark, sf):
     required = lineitem_readings(spark, sf, "l_suppkey").select("station_id").distinct()
-    available = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("station_id"))
+    available = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("station_id")).distinct()
     return required.join(available, "station_id", "left_anti")
 
 

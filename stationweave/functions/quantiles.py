@@ -34,23 +34,28 @@ def exact_quantiles(
     wanted = sorted(set(float(p) for p in probs))
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    if sizes.where(F.col("n") > count_all).isEmpty():
-        counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).withColumn("__gap", F.lit(0))
-    else:
+    bracketed = not sizes.where(F.col("n") > count_all).isEmpty()
+    if bracketed:
         counts = _bracketed_counts(rows, sizes, wanted, keys, count_all)
+    else:
+        counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).withColumn("__gap", F.lit(0))
     running = Window.partitionBy(*keys).orderBy("__gap", F.col("__v").asc_nulls_first())
     ranked = counts.withColumn("__upto", F.sum("__c").over(running)).join(sizes, keys)
     rank = [f"{p!r}D * (n - 1)" for p in wanted]
-    at = lambda r: F.expr(f"min(CASE WHEN __upto > {r} THEN struct(__upto, __v) END).__v")
-    picks = [
-        at(f"{side}({r})").alias(f"__{side}{i}") for i, r in enumerate(rank) for side in ("floor", "ceil")
-    ]
+    picks = []
+    for i, r in enumerate(rank):
+        for side in ("floor", "ceil"):
+            # Values rise with their running count, so the smallest one beyond the rank holds it.
+            picks.append(F.expr(f"min(CASE WHEN __upto > {side}({r}) THEN __v END)").alias(f"__{side}{i}"))
+            if bracketed:
+                beyond = f"__upto > {side}({r})"
+                held = f"min(CASE WHEN {beyond} THEN __upto END) = min(CASE WHEN {beyond} AND __v IS NOT NULL THEN __upto END)"
+                picks.append(F.expr(f"coalesce({held}, false)").alias(f"__held_{side}{i}"))
     picked = ranked.groupBy(*keys, "n").agg(*picks)
-    exact = [
-        f"CASE WHEN __floor{i} IS NULL OR __ceil{i} IS NULL THEN double(raise_error('quantile bracket missed its rank')) "
-        f"ELSE __floor{i} + (__ceil{i} - __floor{i}) * ({r} - floor({r})) END"
-        for i, r in enumerate(rank)
-    ]
+    exact = [f"__floor{i} + (__ceil{i} - __floor{i}) * ({r} - floor({r}))" for i, r in enumerate(rank)]
+    if bracketed:
+        missed = "double(raise_error('quantile bracket missed its rank'))"
+        exact = [f"CASE WHEN __held_floor{i} AND __held_ceil{i} THEN {e} ELSE {missed} END" for i, e in enumerate(exact)]
     ordered = ", ".join(exact[wanted.index(float(p))] for p in probs)
     return picked.select(*keys, "n", F.expr(f"array({ordered})").alias("quantiles"))
 

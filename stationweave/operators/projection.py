@@ -43,7 +43,9 @@ def export_view(df: DataFrame, spec: StationSpec) -> DataFrame:
 def missing_stations(df: DataFrame, required: Iterable[str], station: str = "station_id") -> DataFrame:
     """Required station ids without any reading."""
     ids = config_table(df.sparkSession, [(str(s),) for s in required], "station_id string")
-    return ids.join(df.select(q(station).cast("string").alias("station_id")), "station_id", "left_anti")
+    # Distinct first: equal ids collapse before anything is shuffled.
+    present = df.select(q(station).cast("string").alias("station_id")).distinct()
+    return ids.join(present, "station_id", "left_anti")
 
 
 def check_stations(df: DataFrame, spec: StationSpec) -> None:

@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stationweave.functions.names import feature_name, q, target_name
 from stationweave.operators.matrix import matrix_column, station_cells, station_matrix, time_axis
-from stationweave.session import config_table
+from stationweave.session import config_table, materialise
 from stationweave.specs import Task
 
-# Consecutive positions handled together; a reach beyond it makes the blocks longer.
-BLOCK_ROWS = 16_384
+# Consecutive positions handled together. Short blocks spread a short axis over many tasks;
+# a long reach makes them longer, so that few rows are repeated.
+BLOCK_ROWS = 1_024
 # Up to this many station columns, tasks are cut from wide rows.
 WIDE_COLUMNS = 512
 
@@ -74,6 +75,15 @@ def _aligned(task: Task) -> bool:
     return task.lags == 1 and task.horizon == 0
 
 
+def _axis(df: DataFrame, pollutants: Sequence[str], ts: str, station: str) -> DataFrame:
+    """Positions on the time axis, stored: two numbers per time, and a size Spark knows.
+
+    Known to be small, it is broadcast and the readings are not shuffled again; too large, both
+    sides are joined by time.
+    """
+    return materialise(time_axis(df, pollutants, ts, station))
+
+
 def shifted_cells(
     df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id"
 ) -> DataFrame:
@@ -89,7 +99,7 @@ def shifted_cells(
     cells = station_cells(df, pollutants, ts, station)
     if all(_aligned(t) for t in tasks):
         return cells.join(slots, ["station_id", "pollutant"]).withColumn("row_idx", F.col("ts"))
-    placed = cells.join(time_axis(df, pollutants, ts, station), "ts")
+    placed = cells.join(_axis(df, pollutants, ts, station), "ts")
     return placed.join(slots, ["station_id", "pollutant"]).withColumn("row_idx", F.col("ts_idx") + F.col("shift"))
 
 
@@ -106,7 +116,7 @@ def block_windows(rows: DataFrame, index: str, back: int, ahead: int, block_rows
 
     Adds `__block` and `__own`; a row belongs to the result only where `__own` holds.
     """
-    size = max(block_rows, back, ahead)
+    size = max(block_rows, 4 * back, 4 * ahead)
     own, at = f"({index} div {size})", f"{index} % {size}"
     blocks = [own]
     if back:
@@ -138,7 +148,7 @@ def supervised_frame(df: DataFrame, task: Task, ts: str = "ts", station: str = "
     sources += [(cell(p, task.target_station), -task.horizon) for p in task.pollutants]
     rows, kept = matrix, []
     if task.lags > 1 or task.horizon:
-        placed = matrix.join(time_axis(df, task.pollutants, ts, station), "ts")
+        placed = matrix.join(_axis(df, task.pollutants, ts, station), "ts")
         rows, kept = block_windows(placed, "ts_idx", task.lags - 1, task.horizon), ["__own"]
     lagged = rows.selectExpr(
         "ts AS feature_time",
@@ -196,7 +206,7 @@ def tasks_from_rows(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", statio
     if lags == 1 and horizons == [0]:
         shifted = rows.selectExpr("ts AS feature_time", "v AS past", "map(0, struct(ts AS ts, v AS v)) AS future")
     else:
-        placed = rows.join(time_axis(df, pollutants, ts, station), "ts")
+        placed = rows.join(_axis(df, pollutants, ts, station), "ts")
         blocks = block_windows(placed, "ts_idx", lags - 1, horizons[-1])
         absent = f"array_repeat(CAST(NULL AS DOUBLE), {width})"
         past = ["v", *[f"coalesce({_over(f'lag(v, {k})')}, {absent})" for k in range(1, lags)]]

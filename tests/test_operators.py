@@ -41,9 +41,9 @@ def _pandas_rows(df, task):
     return out.dropna().reset_index().rename(columns={"ts": "feature_time"})
 
 
-@pytest.mark.parametrize("lags, horizon, block", [(1, 0, 7), (1, 2, 7), (4, 0, 7), (3, 5, 4), (9, 1, 2), (2, 1, 16_384)])
+@pytest.mark.parametrize("lags, horizon, block", [(1, 0, 7), (1, 2, 7), (4, 0, 7), (3, 5, 4), (9, 1, 2), (2, 1, 1_024)])
 def test_rows_equal_pandas_for_any_block_length(spark, readings, monkeypatch, lags, horizon, block):
-    """Gaps, duplicate readings, a station outside the task, and blocks shorter than the reach."""
+    """Gaps, duplicate readings, a station outside the task, and several short blocks."""
     rng = np.random.default_rng(lags * 10 + horizon)
     rows = []
     for i in range(120):
