@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from stationweave.functions.names import feature_name, q
+from stationweave.functions.names import feature_name
 from stationweave.operators import baselines, metrics
 from stationweave.operators.supervised import leave_one_out, supervised_tasks
 from stationweave.session import materialise, shared_dir

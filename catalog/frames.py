@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from catalog.bindings import (
     FLAGS,
     KINDS,
-    MONTHS,
     NO2,
     OVERLAPPING,
     PM,
@@ -23,11 +22,11 @@ from catalog.bindings import (
     task,
 )
 from catalog.registry import query
-from catalog.sql import EVENTS, ISO, MONTH_WINDOWS, ORDERS, READINGS, matrix, predictions, r, sup, supervised
+from catalog.sql import EVENTS, ORDERS, READINGS, matrix, predictions, r, sup, supervised
 from stationweave.functions import periods
 from stationweave.functions.names import q
 from stationweave.operators import baselines, clean, matrix as mat, projection, report, splits, supervised as sv
-from stationweave.specs import StationSpec, Task
+from stationweave.specs import StationSpec
 
 YEAR_COUNT = f"""SELECT year(ts) AS y, station_id, count(*) AS n, {r('sum("NO2")', 'no2_sum', 4)}"""
 

@@ -20,7 +20,7 @@ from catalog.bindings import (
 )
 from catalog.frames import CLEAN, MISSING
 from catalog.registry import query
-from catalog.sql import EVENTS, MONTH_WINDOWS, R2, READINGS, RMSE, predictions, r, results, sup
+from catalog.sql import EVENTS, MONTH_WINDOWS, R2, READINGS, RMSE, predictions, r, sup
 from stationweave.functions import names
 from stationweave.functions.names import q
 from stationweave.session import materialise
@@ -183,6 +183,15 @@ def g12_r2(spark, sf):
     return rounded(metrics.score(rows, ["kind", "target_station_id"]).drop("RMSE", "row_count"))
 
 
+@query(
+    f"""WITH {predictions()}, m AS (SELECT *, avg(actual) OVER (PARTITION BY target_station_id, algorithm) AS mean FROM preds)
+    SELECT target_station_id, algorithm, round(1 - sum((prediction - actual) * (prediction - actual)) / sum(pow(abs(prediction - mean) + abs(actual - mean), 2)), 6) + 0.0 AS "IA"
+    FROM m GROUP BY target_station_id, algorithm"""
+)
+def g12_index_of_agreement(spark, sf):
+    return rounded(metrics.index_of_agreement(loo_predictions(spark, sf), ["target_station_id", "algorithm"]))
+
+
 def _two_targets() -> str:
     both = ['"PM2.5"', '"NO2"']
     cells = ", ".join(

@@ -49,6 +49,18 @@ def score(predictions: DataFrame, by: Sequence[str], extra: bool = False) -> Dat
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), *metric_columns(extra))
 
 
+def index_of_agreement(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Willmott's index per group, `IA`: 1 for a perfect prediction; NULL where nothing varies.
+
+    The group means come first; they are one small row per group.
+    """
+    both = predictions.where(F.col("actual").isNotNull() & F.col("prediction").isNotNull())
+    means = both.groupBy(*by).agg(F.avg("actual").alias("__mean"))
+    error = "sum((prediction - actual) * (prediction - actual))"
+    spread = "sum(pow(abs(prediction - __mean) + abs(actual - __mean), 2))"
+    return both.join(means, list(by)).groupBy(*by).agg(F.expr(f"1 - try_divide({error}, {spread})").alias("IA"))
+
+
 def score_periods(
     predictions: DataFrame, periods, by: Sequence[str], extra: bool = False, overall: bool = False
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stationweave.functions.names import feature_name, q, target_name
+from stationweave.functions.names import feature_name, target_name
 from stationweave.operators.matrix import matrix_column, station_cells, station_matrix, time_axis
 from stationweave.session import config_table, materialise
 from stationweave.specs import Task

@@ -84,8 +84,9 @@ def test_lag_plan_has_no_single_partition_of_readings_and_no_python(spark, readi
     )
     plan = sv.supervised_frame(df, Task("x", "A", ("N", "R"), ("v",), 3, 1))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    # The one ordered partition holds one count per calendar day, never rows.
-    lines = plan.splitlines()
+    assert "SinglePartition" not in plan
+    # On the stored axis one ordered partition holds a count per calendar day, never rows.
+    lines = matrix.time_axis(df, ["v"])._jdf.queryExecution().executedPlan().toString().splitlines()
     singles = [i for i, line in enumerate(lines) if "SinglePartition" in line]
     assert len(singles) == 1 and "__level0" in lines[singles[0] + 1] and "sum(" in lines[singles[0] + 1]
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in plan
