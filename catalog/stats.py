@@ -184,9 +184,9 @@ def g12_r2(spark, sf):
 
 
 @query(
-    f"""WITH {predictions()}, m AS (SELECT *, avg(actual) OVER (PARTITION BY target_station_id, algorithm) AS mean FROM preds)
+    f"""WITH {predictions()}, means_ AS (SELECT *, avg(actual) OVER (PARTITION BY target_station_id, algorithm) AS mean FROM preds)
     SELECT target_station_id, algorithm, round(1 - sum((prediction - actual) * (prediction - actual)) / sum(pow(abs(prediction - mean) + abs(actual - mean), 2)), 6) + 0.0 AS "IA"
-    FROM m GROUP BY target_station_id, algorithm"""
+    FROM means_ GROUP BY target_station_id, algorithm"""
 )
 def g12_index_of_agreement(spark, sf):
     return rounded(metrics.index_of_agreement(loo_predictions(spark, sf), ["target_station_id", "algorithm"]))
