@@ -407,7 +407,10 @@ def m19_saved_model(spark, sf):
     return loaded.evaluate(prepare.prepare_evaluation(df, SPEC, stats).normalized)
 
 
-@query()
+@query(
+    f"""WITH {sup(2, 1, TRAIN_SLICE, clean=True)} SELECT 'run_a' AS run_id, count(*) AS row_count, 4::INTEGER AS feature_count,
+    1::INTEGER AS horizon, 'zscore' AS normalization FROM rows_"""
+)
 def a10_training_dump(spark, sf):
     root = scratch(spark)
     results.write_training_dump(prepare.prepare_training(lineitem_readings(spark, sf), SPEC), root, "run_a")

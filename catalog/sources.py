@@ -20,7 +20,7 @@ from catalog.bindings import (
     table,
 )
 from catalog.registry import query
-from catalog.sql import EVENTS, ORDERS, READINGS, predictions, r
+from catalog.sql import EVENTS, ORDERS, READINGS, predictions, r, results as result_rows
 from stationweave.operators import report
 from stationweave.sources import files, materialize, results
 from stationweave.session import config_table
@@ -259,14 +259,19 @@ def a12_results_scan(spark, sf):
     return rounded(named.withColumn("params_text", text).drop("best_params"))
 
 
-@query()
+@query(
+    f"""WITH {result_rows()} SELECT target_station_id, algorithm, validation_period_name, (row_number() OVER (ORDER BY "RMSE",
+    target_station_id, validation_period_start, validation_period_end, validation_period_name, algorithm, config))::INTEGER AS rank_by_rmse FROM period_rows"""
+)
 def a14_comparison_csv(spark, sf):
     """The comparison written as one CSV and read back."""
     from catalog.bindings import period_results
 
     ranked = report.rank_by_rmse(period_results(spark, sf))
     path = results.write_comparison_csv(ranked.drop("best_params"), scratch(spark) + "/comparison.csv")
-    return spark.read.option("header", True).csv(path).select("target_station_id", "algorithm", "validation_period_name", "rank_by_rmse")
+    return spark.read.option("header", True).csv(path).select(
+        "target_station_id", "algorithm", "validation_period_name", F.col("rank_by_rmse").cast("int")
+    )
 
 
 @query(
