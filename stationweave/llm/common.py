@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,22 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once, for clusters on which it isn't installed."""
+    context = spark.sparkContext
+    if any(name.startswith("stationweave-") for name in context._python_includes):
+        return
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="stationweave-"), f"stationweave-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(folder):
+            for name in names:
+                if name.endswith(".py"):
+                    whole = os.path.join(at, name)
+                    out.write(whole, os.path.relpath(whole, os.path.dirname(folder)))
+    context.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,18 +75,54 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     return (F.broadcast(stored) if few else stored), few
 
 
-def lookup(big: DataFrame, few: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Left join of `big` to `few`, which has one row per key; a key may hold most rows of `big`.
+def lookup(big: DataFrame, few: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
+    """Join of `big` to `few` on a key that may hold most rows of `big`.
 
     `few` is broadcast if it is counted small; else its rows are repeated under every salt, so that
     the rows of a hot key are dealt over that many tasks.
     """
     side, fits = small(few)
     if fits:
-        return big.join(side, key, "left")
+        return big.join(side, key, how)
     others = [F.col(c) for c in big.columns]
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
+def attach(pairs: DataFrame, texts: DataFrame, side: str, other: str, name: str, share: int) -> DataFrame:
+    """The pairs with the text of the id in column `side` as column `name`.
+
+    texts is (id, text), one row per id. An id with many pairs is dealt over tasks by `other`, `share`
+    pairs each, and its text goes to just as many.
+    """
+    parts = F.ceil(F.col("count") / share).cast("int").alias("_parts")
+    degree = settle(pairs.groupBy(side).count().select(side, parts))
+    dealt = pairs.join(degree, side).withColumn("_part", F.pmod(F.xxhash64(other), F.col("_parts")).cast("int")).drop("_parts")
+    copies = texts.toDF(side, name).join(degree, side).select(side, name, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return dealt.join(copies, [side, "_part"]).drop("_part")
+
+
+def texts_of(docs: DataFrame, text: str, wanted: DataFrame, key) -> DataFrame:
+    """(id, digest, text) once for each distinct text whose key is wanted, settled; text as bytes, digest its md5 sum.
+
+    key makes the id out of the column `text`; wanted has one column of distinct ids.
+    """
+    ids, _ = small(wanted.toDF("id"))
+    found = docs.select(as_bytes(text).alias("text")).withColumn("id", key("text")).join(ids, "id", "left_semi")
+    return settle(found.groupBy("id", F.md5("text").alias("digest")).agg(F.first("text").alias("text")))
+
+
+def let(value: F.Column, body) -> F.Column:
+    """body(value) with the value computed once per row, however often the body names it, also inside
+    lambdas. A column of an inner select would be put back in each place by the optimizer."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def modest_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of whole texts in pieces that fit small workers, unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(key, size)
 
 
 def as_bytes(column: str) -> F.Column:
