@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, html_extraction, quality_rules, token_counts, url_filters
-from .common import table
+from . import byte_bpe, context_tree, decontamination, html_extraction, language_id, near_dedup, quality_rules, substring_dedup, token_counts, url_filters
+from .common import remainder, ship, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Register a function of (spark, folder) under its own name; Python workers get this package first."""
+
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = shipped
         if sql is not None:
             ORACLES[fn.__name__] = sql
-        return fn
+        return shipped
 
     return add
 
@@ -65,11 +74,48 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query()
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    return context_tree.score(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    r"""
+    WITH doc AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    span AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS win
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM item WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM span),
+    placed AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM doc, sizes WHERE len(w) >= size),
+    hit AS (
+      SELECT doc_id, size, s, item_id
+      FROM (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS win FROM placed) JOIN span USING (size, win)),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+    items AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """
+)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminate(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query()
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(
         "doc_id",
@@ -79,6 +125,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = language_id.fit(docs.where(~held_out).select("text", "lang"))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 @query()
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -89,3 +148,32 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extraction.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query(
+    r"""
+    WITH RECURSIVE doc AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    shingle AS (
+      SELECT DISTINCT doc_id, hash(array_to_string(w[s:s + 2], ' ')) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS s FROM doc WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    pair AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    link AS (
+      SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach(doc_id, other) AS (
+      SELECT a, b FROM both_ways
+      UNION
+      SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+    least_of AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+      doc_id <= coalesce(m, doc_id) AS kept
+    FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN least_of USING (doc_id)
+    """
+)
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, size=3, threshold=85).drop("text")
