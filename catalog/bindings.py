@@ -74,7 +74,7 @@ def order_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """New folder in the shared place of the cluster; a temporary one only where none is set."""
+    """New folder in the shared place of the cluster; a temporary one only in a local session without one."""
     root = shared_dir(spark)
     return f"{root.rstrip('/')}/catalog-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="run-", dir="/tmp")
 

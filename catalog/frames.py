@@ -203,12 +203,12 @@ def j3_period_assignment(spark, sf):
     return placed.groupBy("period_name", "period_start", "period_end", "station_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT s_suppkey::VARCHAR AS station_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01')")
+@query("SELECT c_custkey::VARCHAR AS station_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def j4_silent_stations(spark, sf):
-    """Suppliers without a reading in the last weeks: both sides of any size."""
-    known = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("station_id"))
-    late = lineitem_readings(spark, sf, "l_suppkey").where("ts >= TIMESTAMP_NTZ'2001-10-01'").select("station_id").distinct()
-    return known.join(late, "station_id", "left_anti")
+    """Customers without any event: both sides of any size."""
+    known = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("station_id"))
+    heard = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("station_id")).distinct()
+    return known.join(heard, "station_id", "left_anti")
 
 
 @query(
@@ -364,12 +364,10 @@ def r6_details(spark, sf):
 
 
 
-@query(
-    f"""WITH l AS (SELECT DISTINCT l_suppkey::VARCHAR AS s FROM lineitem) SELECT s AS station_id FROM l
-    EXCEPT SELECT o_custkey::VARCHAR FROM orders"""
-)
+@query("SELECT DISTINCT l_partkey::VARCHAR AS station_id FROM lineitem WHERE l_partkey NOT IN (SELECT o_custkey FROM orders)")
 def u4_station_difference(spark, sf):
-    required = lineitem_readings(spark, sf, "l_suppkey").select("station_id").distinct()
+    """Parts as stations that have readings, less the numbers that occur as customers."""
+    required = lineitem_readings(spark, sf, "l_partkey").select("station_id").distinct()
     available = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("station_id")).distinct()
     return required.join(available, "station_id", "left_anti")
 

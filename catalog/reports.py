@@ -25,6 +25,7 @@ from catalog.sql import ISO, MONTH_WINDOWS, R2, RMSE, longer, predictions, r, re
 from catalog.stats import TWO_TARGETS
 from stationweave.functions import periods
 from stationweave.functions.names import metric_short
+from stationweave.functions.positions import dense_position, time_levels
 from stationweave.operators import baselines, metrics, report, supervised as sv
 
 PRED_COLS = f"prediction_time, target_station_id, algorithm, target, {r('actual', 'actual')}, {r('prediction', 'prediction')}"
@@ -95,11 +96,11 @@ def c6_evaluation_comparison(spark, sf):
 
 @query(f"WITH {results()} SELECT {SHOWN}, row_number() OVER (ORDER BY {KEYS}) AS line FROM (SELECT * FROM period_rows UNION ALL BY NAME SELECT * FROM overall_rows)")
 def w5_comparison_order(spark, sf):
-    from pyspark.sql import Window
-
-    # A check of the report order itself, over result rows.
-    line = F.row_number().over(Window.orderBy(report.order_key())).cast("long")
-    return report.sort_comparison(_comparison(spark, sf).withColumn("line", line))
+    """Report order with line numbers, counted per first letters and never in one task."""
+    rows = _comparison(spark, sf)
+    first = F.coalesce(F.col("target_station_id"), F.lit(""))
+    placed = dense_position(rows, [report.order_key()], [F.ascii(first), F.ascii(F.substring(first, 2, 1))], "line")
+    return report.sort_comparison(placed.withColumn("line", F.col("line") + 1))
 
 
 @query(
@@ -130,7 +131,8 @@ def w4_rank_by_rmse(spark, sf):
 
 
 @query(
-    f"""WITH {results()}, {RANKED} SELECT {SHOWN}, rank_by_rmse FROM ranked WHERE validation_period_name <> 'overall' AND algorithm NOT LIKE 'Baseline%'"""
+    f"""WITH {results()}, {RANKED} SELECT {SHOWN}, rank_by_rmse, (row_number() OVER (ORDER BY rank_by_rmse))::INTEGER AS rank_in_table
+    FROM ranked WHERE validation_period_name <> 'overall' AND algorithm NOT LIKE 'Baseline%'"""
 )
 def b14_compact_comparison(spark, sf):
     return report.compact_rows(report.rank_by_rmse(_comparison(spark, sf)))
@@ -357,11 +359,16 @@ def w7_baselines_first(spark, sf):
     return names.withColumn("line", F.row_number().over(Window.orderBy(*report.algorithm_order())))
 
 
-@query("SELECT station_id, ts, price FROM (SELECT o_orderpriority AS station_id, o_orderdate AS ts, o_totalprice AS price FROM orders)")
+@query(
+    """SELECT o_orderpriority AS station_id, o_orderdate AS ts, o_totalprice AS price, row_number() OVER (ORDER BY o_orderdate, o_totalprice, o_orderpriority) AS line
+    FROM orders"""
+)
 def w8_sorted_by_time(spark, sf):
+    """Readings in the order of time, each with its line."""
     from catalog.bindings import order_readings
 
-    return order_readings(spark, sf).orderBy("ts", "price")
+    placed = dense_position(order_readings(spark, sf), ["ts", "price", "station_id"], time_levels(F.col("ts")), "line")
+    return placed.withColumn("line", F.col("line") + 1).orderBy("line")
 
 
 @query(

@@ -369,7 +369,8 @@ def s5_sanitize_series_name(spark, sf):
 @query(
     """WITH t AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN 'target_value__' ELSE '' END || p_name || CASE WHEN p_retailprice > 1000 THEN ' (µg/m³)' ELSE '' END AS label FROM part),
     b AS (SELECT p_partkey, label, CASE WHEN starts_with(label, 'target_value__') THEN substr(label, 15) ELSE label END AS bare FROM t)
-    SELECT p_partkey, label, coalesce(nullif(trim(regexp_replace(CASE WHEN strpos(bare, '(') > 1 THEN trim(substr(bare, 1, strpos(bare, '(') - 1)) ELSE bare END, '[^A-Za-z0-9_-]+', '_', 'g'), '_'), ''), 'config') AS token FROM b"""
+    SELECT p_partkey, label, coalesce(nullif(trim(regexp_replace(CASE WHEN strpos(bare, '(') > 1 THEN trim(substr(bare, 1, strpos(bare, '(') - 1)) ELSE bare END, '[^A-Za-z0-9_-]+', '_', 'g'), '_'), ''), 'config') AS token,
+      CASE p_partkey % 4 WHEN 0 THEN 'PM2_5' WHEN 1 THEN 'PM2_5' WHEN 2 THEN 'NO2' ELSE 'target' END AS single FROM b"""
 )
 def s6_short_pollutant(spark, sf):
     label = F.concat(
@@ -379,6 +380,9 @@ def s6_short_pollutant(spark, sf):
     )
     return table(spark, sf, "part").select("p_partkey", label.alias("label")).withColumn(
         "token", names.short_pollutant(F.col("label"))
+    ).withColumn(
+        "single",
+        names.short_pollutant(F.lit("target"), F.concat_ws(" ", "label", F.element_at(F.array(*map(F.lit, ("forest_PM25", "pm2.5 run", "NO2 forest", "linear"))), (F.col("p_partkey") % 4 + 1).cast("int")))),
     )
 
 

@@ -40,13 +40,15 @@ def sanitize_series_name(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, "[^A-Za-z0-9]+", "_"), F.lit("_"))
 
 
-def short_pollutant(label: Column) -> Column:
-    """`target_value__PM2.5 (µg/m³)` becomes `PM2_5`."""
-    head = TARGET + "__"
-    bare = F.when(F.startswith(label, F.lit(head)), F.substring(label, len(head) + 1, 1 << 30)).otherwise(label)
-    paren = F.instr(bare, "(")
-    bare = F.when(paren > 1, F.trim(F.left(bare, paren - 1))).otherwise(bare)
-    return sanitize_identifier(F.coalesce(bare, F.lit("")))
+def short_pollutant(label: Column, described: Column | None = None) -> Column:
+    """`target_value__PM2.5 (µg/m³)` becomes `PM2_5`. A single target is labelled `target` only; its
+    pollutant is then read off `described`, the run's own texts, where these name one."""
+    bare = F.regexp_replace(F.regexp_replace(label, f"^{TARGET}__", ""), r"(?s)^([^(]+)\(.*$", "$1")
+    token = sanitize_identifier(F.coalesce(F.trim(bare), F.lit("")))
+    if described is None:
+        return token
+    named = infer_pollutant(described)
+    return F.when((label == "target") & named.isNotNull(), short_pollutant(named)).otherwise(token)
 
 
 def algorithm_label(algorithm: Column) -> Column:

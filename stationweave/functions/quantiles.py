@@ -1,10 +1,9 @@
-"""Exact interpolated quantiles without gathering a column in one task.
+"""Exact interpolated quantiles without gathering or sorting a column in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one buffer. Here equal
-values are counted across the cluster first, and ranks are read off running counts. For a key
-with very many rows a mergeable sketch first brackets each wanted rank; only values inside the
-narrow brackets then keep their own count, the rest collapse to one count per gap. The result
-is the exact linear-interpolation quantile; a bracket that missed its rank raises an error.
+Equal values are counted once, and the counts are stored. A wanted rank is then closed in on: the
+range it lies in is cut into equal parts, the parts are counted, and the part with the rank is the
+next range, until it holds few values. Only those are put in order. Every step is an aggregation,
+so one key may hold all rows; the result is the exact linear-interpolation quantile.
 """
 
 from __future__ import annotations
@@ -14,73 +13,60 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stationweave.functions.names import clean_double, q
-from stationweave.session import materialise
+from stationweave.session import materialise, release
 
-SKETCH_ACCURACY = 20_000
-_SLACK = 4.0 / SKETCH_ACCURACY
-# Keys up to this many rows keep all their values; beyond, the slack spans at least 400 rows.
-COUNT_ALL = 2_000_000
+PARTS = 1024  # parts that a range is cut into
+LAST = 10_000  # values of a range that are put in order together; any number gives the same result
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str], count_all: int = COUNT_ALL
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str], last: int = LAST) -> DataFrame:
     """One row per key with `n` and `quantiles ARRAY<DOUBLE>` in the order of `probs`.
 
-    The rows per key are counted first, as a job of its own: the outcome decides whether any
-    key needs a sketch.
+    Counting and closing in run at once, as jobs of their own; only the pick is left to the caller.
     """
     keys = list(keys)
-    wanted = sorted(set(float(p) for p in probs))
+    wanted = [float(p) for p in probs]
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    bracketed = not sizes.where(F.col("n") > count_all).isEmpty()
-    if bracketed:
-        counts = _bracketed_counts(rows, sizes, wanted, keys, count_all)
-    else:
-        counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")).withColumn("__gap", F.lit(0))
-    running = Window.partitionBy(*keys).orderBy("__gap", F.col("__v").asc_nulls_first())
-    ranked = counts.withColumn("__upto", F.sum("__c").over(running)).join(sizes, keys)
-    rank = [f"{p!r}D * (n - 1)" for p in wanted]
-    picks = []
-    for i, r in enumerate(rank):
-        for side in ("floor", "ceil"):
-            # Values rise with their running count, so the smallest one beyond the rank holds it.
-            picks.append(F.expr(f"min(CASE WHEN __upto > {side}({r}) THEN __v END)").alias(f"__{side}{i}"))
-            if bracketed:
-                beyond = f"__upto > {side}({r})"
-                held = f"min(CASE WHEN {beyond} THEN __upto END) = min(CASE WHEN {beyond} AND __v IS NOT NULL THEN __upto END)"
-                picks.append(F.expr(f"coalesce({held}, false)").alias(f"__held_{side}{i}"))
-    picked = ranked.groupBy(*keys, "n").agg(*picks)
-    exact = [f"__floor{i} + (__ceil{i} - __floor{i}) * ({r} - floor({r}))" for i, r in enumerate(rank)]
-    if bracketed:
-        missed = "double(raise_error('quantile bracket missed its rank'))"
-        exact = [f"CASE WHEN __held_floor{i} AND __held_ceil{i} THEN {e} ELSE {missed} END" for i, e in enumerate(exact)]
-    ordered = ", ".join(exact[wanted.index(float(p))] for p in probs)
-    return picked.select(*keys, "n", F.expr(f"array({ordered})").alias("quantiles"))
-
-
-def _bracketed_counts(
-    rows: DataFrame, sizes: DataFrame, wanted: list[float], keys: list[str], count_all: int
-) -> DataFrame:
-    """Counts per (key, gap, value); values outside every bracket of a large key are merged."""
-    edges = [e for p in wanted for e in (max(0.0, p - _SLACK), min(1.0, p + _SLACK))]
-    large = sizes.where(F.col("n") > count_all).select(*keys)
-    # Stored, so its true size decides whether it is broadcast.
-    brackets = materialise(
-        rows.join(large, keys).groupBy(*keys).agg(F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__edges"))
+    counts = materialise(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    sizes = counts.groupBy(*keys).agg(
+        F.sum("__c").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("__inside")
     )
-    # Open ends at the extremes; a key without a sketch keeps all its values.
-    low = lambda i, p: "false" if p <= _SLACK else f"__v < __edges[{2 * i}]"
-    high = lambda i, p: "false" if p >= 1 - _SLACK else f"__v > __edges[{2 * i + 1}]"
-    gap = " + ".join(f"CASE WHEN {high(i, p)} THEN 1 ELSE 0 END" for i, p in enumerate(wanted))
-    outside = " AND ".join(f"(({low(i, p)}) OR ({high(i, p)}))" for i, p in enumerate(wanted))
-    marked = rows.join(brackets, keys, "left").select(
-        *keys,
-        F.expr(f"CASE WHEN __edges IS NULL THEN 0 ELSE {gap} END").alias("__gap"),
-        F.expr(f"CASE WHEN __edges IS NULL OR NOT ({outside}) THEN __v END").alias("__v"),
+    sides = F.array(*[F.expr(f"cast({side}({p!r}D * (n - 1)) as bigint)") for p in sorted(set(wanted)) for side in ("floor", "ceil")])
+    ranges = materialise(sizes.select("*", F.lit(0).cast("long").alias("__before"), F.explode(F.array_distinct(sides)).alias("__rank")))
+    wide = (F.col("__low") < F.col("__high")) & (F.col("__inside") > last)
+    while not ranges.where(wide).isEmpty():
+        closer = materialise(ranges.where(~wide).unionByName(_closer(counts, ranges.where(wide), keys)))
+        release(ranges)
+        ranges = closer
+    near = _inside(counts, ranges, keys)
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__rank").orderBy("__v"))
+    placed = near.withColumn("__upto", F.col("__before") + upto).where("__upto > __rank")
+    picked = placed.groupBy(*keys, "n", "__rank").agg(F.min("__v").alias("__v"))
+    found = picked.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))
+    at = lambda side, p: f"element_at(__at, cast({side}({p!r}D * (n - 1)) as bigint))"
+    exact = [f"{at('floor', p)} + ({at('ceil', p)} - {at('floor', p)}) * ({p!r}D * (n - 1) - floor({p!r}D * (n - 1)))" for p in wanted]
+    return found.select(*keys, "n", F.expr(f"array({', '.join(exact)})").alias("quantiles"))
+
+
+def _inside(counts: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The counted values of each range."""
+    if not keys:
+        counts, ranges, keys = counts.withColumn("__one", F.lit(1)), ranges.withColumn("__one", F.lit(1)), ["__one"]
+    return counts.join(ranges, keys).where(F.col("__v").between(F.col("__low"), F.col("__high")))
+
+
+def _closer(counts: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Every range cut down to the part that holds its rank."""
+    # Halved, so that a range from the least to the greatest double doesn't overflow.
+    share = (F.col("__v") / 2 - F.col("__low") / 2) / (F.col("__high") / 2 - F.col("__low") / 2)
+    part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).alias("__part")
+    parts = _inside(counts, ranges, keys).groupBy(*keys, "n", "__rank", "__before", part).agg(
+        F.sum("__c").alias("__rows"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("__inside")
     )
-    return marked.groupBy(*keys, "__gap", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__rows").over(Window.partitionBy(*keys, "__rank").orderBy("__part"))  # at most PARTS rows
+    ended = parts.withColumn("__upto", F.col("__before") + upto)
+    held = ended.where("__upto > __rank and __upto - __rows <= __rank")
+    return held.withColumn("__before", F.col("__upto") - F.col("__rows")).drop("__upto", "__rows", "__part")
 
 
 def quantile_columns(

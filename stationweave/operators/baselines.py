@@ -26,18 +26,18 @@ def row_mean(columns: Sequence[Column]) -> Column:
     return F.try_divide(total, present)
 
 
-def baseline_predictions(rows: DataFrame, task: Task, keep: Sequence[str] = ()) -> DataFrame:
-    """Long predictions of every baseline: (keep, prediction_time, baseline_id, algorithm, target, actual, prediction)."""
+def baseline_structs(columns: Sequence[str], task: Task) -> list[Column]:
+    """(baseline_id, algorithm, target, actual, prediction) of every baseline that the columns allow."""
     entries = []
     for pollutant, target in zip(task.pollutants, target_names(task)):
         p = pollutant if task.multi else None
         names = [feature_name(s, 0, p) for s in task.input_stations]
-        present = [(s, q(n)) for s, n in zip(task.input_stations, names) if n in rows.columns]
+        present = [(s, q(n)) for s, n in zip(task.input_stations, names) if n in columns]
         if not present:
             continue
         entries.append((AVERAGE_ID, AVERAGE_NAME, target, row_mean([c for _, c in present])))
         entries += [(s, REPLACE_NAME + s, target, c) for s, c in present]
-    structs = [
+    return [
         F.struct(
             (F.lit(i) if i == AVERAGE_ID else F.concat(F.lit(REPLACE_ID), sanitize_identifier(F.lit(i)))).alias("baseline_id"),
             F.lit(name).alias("algorithm"),
@@ -47,6 +47,11 @@ def baseline_predictions(rows: DataFrame, task: Task, keep: Sequence[str] = ())
         )
         for i, name, target, value in entries
     ]
+
+
+def baseline_predictions(rows: DataFrame, task: Task, keep: Sequence[str] = ()) -> DataFrame:
+    """Long predictions of every baseline: (keep, prediction_time, baseline_id, algorithm, target, actual, prediction)."""
+    structs = baseline_structs(rows.columns, task)
     return rows.select(*keep, "prediction_time", F.explode(F.array(*structs)).alias("__b")).select(
         *keep, "prediction_time", "__b.*"
     )

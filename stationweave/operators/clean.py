@@ -97,6 +97,12 @@ def dropped_rows(df: DataFrame, columns: Sequence[str], station: str = "station_
     )
 
 
+def filling_stats(raw: DataFrame, filled: DataFrame, columns: Sequence[str], details: DataFrame, station: str = "station_id") -> DataFrame:
+    """The merged table for the filling strategies, with gaps counted in both frames and in total."""
+    counts = [missing_by_station(df, columns, station).withColumnRenamed("missing_before", "missing").drop("missing_after") for df in (raw, filled)]
+    return imputation_stats(*counts, details)
+
+
 def imputation_stats(before: DataFrame, after: DataFrame, details: DataFrame) -> DataFrame:
     """Full outer merge of (station_id, column) counts before and after with the method used."""
     keys = ["station_id", "column"]
@@ -148,17 +154,17 @@ def impute_median(
         fill = lambda c: F.lit(known.get(c)).cast("double")
     filled = joined.withColumns({c: F.when(is_missing(source, c), fill(c)).otherwise(q(c).cast("double")) for c in names})
     filled = filled.select(*[q(c) for c in source.columns])
-    per = (
-        missing_by_station(source, names, "station_id").where(F.col("station_id") != ALL_STATIONS)
-        if keys
-        else missing_counts(source, names).where(F.col("column") != "__total__").withColumnRenamed("missing", "missing_before")
-    )
-    details = per.where(F.col("missing_before") > 0).join(medians, [*keys, "column"], "left").select(
-        *keys,
-        "column",
-        F.lit("median").alias("method"),
-        F.col("median").alias("fill_value"),
-        "missing_before",
-        F.when(F.col("median").isNull(), F.col("missing_before")).otherwise(0).alias("missing_after"),
+    def counted(frame: DataFrame, out: str) -> DataFrame:
+        if keys:
+            found = missing_by_station(frame, names, "station_id").where(F.col("station_id") != ALL_STATIONS)
+            return found.select(*keys, "column", F.col("missing_before").alias(out))
+        return missing_counts(frame, names).where(F.col("column") != "__total__").withColumnRenamed("missing", out)
+
+    details = (
+        counted(source, "missing_before")
+        .where(F.col("missing_before") > 0)
+        .join(medians, [*keys, "column"], "left")
+        .join(counted(filled, "missing_after"), [*keys, "column"], "left")
+        .select(*keys, "column", F.lit("median").alias("method"), F.col("median").alias("fill_value"), "missing_before", "missing_after")
     )
     return filled, details

@@ -8,16 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stationweave.functions.names import clean_double, q
 from stationweave.functions.quantiles import quantile_columns
-from stationweave.operators.clean import is_missing
+from stationweave.operators.clean import is_missing, missing_by_station
 from stationweave.operators.models import fit_model
 from stationweave.operators.profile import correlation, numeric_columns
 from stationweave.operators.tuning import in_threads
-from stationweave.session import config_table, materialise
+from stationweave.session import config_table, materialise, release
 
-DETAIL_SCHEMA = (
-    "station_id string, column string, method string, selected_features array<string>, "
-    "missing_before long, missing_after long"
-)
+PLAN_SCHEMA = "station_id string, column string, method string, selected_features array<string>, missing_before long"
 _ONE = "__one__"
 
 
@@ -50,6 +47,7 @@ def impute_forest(
         ranked.setdefault((r[key], None), []).append(r["col_b"])
 
     details: list[tuple] = []
+    stored: list[DataFrame] = []
     for target in [t for t in targets if t in df.columns]:
         counts = {
             r[key]: (r.known, r.gaps)
@@ -63,6 +61,7 @@ def impute_forest(
         chosen = {s: _features(ranked, s, target, order, top_k) for s in todo}
         medians = _medians(current, target, numeric, key)
         current = materialise(current)
+        stored.append(current)
         forests = [s for s in todo if chosen[s] and counts[s][0] >= 2]
 
         def inputs(rows: DataFrame, s: str) -> DataFrame:
@@ -95,10 +94,15 @@ def impute_forest(
             merged = merged.unionByName(part)
         current = merged
         for s in todo:
-            method = "random_forest" if s in models else "median_fallback"
-            left = counts[s][1] if s in fallback and fallback[s] is None else 0
-            details.append((s if station else "__all__", target, method, chosen[s], counts[s][1], left))
-    return current.drop(key), config_table(df.sparkSession, details, DETAIL_SCHEMA)
+            details.append((s, target, "random_forest" if s in models else "median_fallback", chosen[s], counts[s][1]))
+    current = materialise(current)
+    for frame in stored:
+        release(frame)
+    done = list(dict.fromkeys(d[1] for d in details))
+    rows = config_table(df.sparkSession, details, PLAN_SCHEMA)
+    left = missing_by_station(current, done or list(numeric[:1]), key).select("station_id", "column", F.col("missing_before").alias("missing_after"))
+    counted = rows.join(left, ["station_id", "column"], "left").withColumn("station_id", F.col("station_id") if station else F.lit("__all__"))
+    return current.drop(key), counted.select("station_id", "column", "method", "selected_features", "missing_before", "missing_after")
 
 
 def _features(ranked: dict, station: str, target: str, order: dict[str, int], top_k: int) -> list[str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stationweave.functions.periods import assign_periods, period_frame
 from stationweave.session import config_table
@@ -102,10 +102,10 @@ def dotted_metric(target: Column, metric: Column, multi: Column) -> Column:
 
 def flatten_metrics(scored: DataFrame, metrics: Sequence[str], by: Sequence[str], target: str = "target") -> DataFrame:
     """Long metrics of one or more targets per run, named the way comparison tables name them."""
-    long = long_metrics(scored, metrics, [*by, target])
-    targets = scored.groupBy(*by).agg((F.count_distinct(target) > 1).alias("__multi"))
-    named = long.join(targets, list(by))
-    return named.select(*by, dotted_metric(F.col(target), F.col("metric"), F.col("__multi")).alias("metric"), "value")
+    # Scored rows are few, one per run, window and algorithm, and read once.
+    several = F.size(F.collect_set(target).over(Window.partitionBy(*by))) > 1
+    long = long_metrics(scored.withColumn("__multi", several), metrics, [*by, target, "__multi"])
+    return long.select(*by, dotted_metric(F.col(target), F.col("metric"), F.col("__multi")).alias("metric"), "value")
 
 
 def average_folds(fold_metrics: DataFrame, by: Sequence[str], fold: str = "fold") -> DataFrame:

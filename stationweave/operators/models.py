@@ -22,12 +22,11 @@ LOG = logging.getLogger("stationweave")
 
 # Default parameters of the two built-in forests.
 FOREST_DEFAULTS = {"n_estimators": 100, "random_state": 42}
-# Deepest tree the library can grow, and the depth used when none is asked for.
-MAX_DEPTH = 30
-DEFAULT_DEPTH = 12
+# The deepest tree that Spark ML can grow. Asking for more is an error; asking for none means this depth.
+DEEPEST = 30
 
-# Parameters with no counterpart here; they steer threads, logging or single-machine detail.
-_IGNORED = {"n_jobs", "verbose", "min_samples_split", "criterion", "warm_start", "oob_score"}
+# Parameters that steer threads and logging only. Any other without a counterpart is an error.
+_WITHOUT_EFFECT = {"n_jobs", "verbose"}
 
 
 def _max_features(value: Any) -> str:
@@ -37,16 +36,19 @@ def _max_features(value: Any) -> str:
 def _forest(params: dict[str, Any], **fixed: Any) -> Estimator:
     """Random forest under the usual parameter names."""
     p = {**FOREST_DEFAULTS, **params}
-    unknown = set(p) - _IGNORED - {
+    unknown = set(p) - _WITHOUT_EFFECT - {
         "n_estimators", "random_state", "max_depth", "min_samples_leaf", "max_features", "max_samples", "bootstrap", "max_bins",
     }
     if unknown:
         raise ValueError("unsupported forest parameters: " + ", ".join(sorted(unknown)))
     seed = p["random_state"]
+    depth = DEEPEST if p.get("max_depth") is None else int(p["max_depth"])
+    if not 1 <= depth <= DEEPEST:
+        raise ValueError(f"max_depth is {depth}; trees here have 1 to {DEEPEST} levels")
     options: dict[str, Any] = {
         "numTrees": int(p["n_estimators"]),
         "seed": int(seed[0] if isinstance(seed, (list, tuple)) else seed),
-        "maxDepth": min(int(p.get("max_depth") or DEFAULT_DEPTH), MAX_DEPTH),
+        "maxDepth": depth,
         "minInstancesPerNode": int(p.get("min_samples_leaf", 1)),
         "featureSubsetStrategy": _max_features(p.get("max_features", fixed.pop("max_features", None))),
         "subsamplingRate": float(p.get("max_samples") or 1.0),
@@ -137,21 +139,30 @@ def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=plain, outputCol=VECTOR).transform(named).drop(*plain)
 
 
+def vectors(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """What estimators are fitted on, persisted: several fits may share it, and its maker unpersists it."""
+    made = assemble(rows, features).select(VECTOR, *[q(t).cast("double").alias(f"__y{i}") for i, t in enumerate(targets)])
+    return made.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_vectors(made: DataFrame, features: Sequence[str], targets: Sequence[str], algorithm: str, params: dict[str, Any] | None = None) -> StationModel:
+    """Fit one estimator per target on vectors."""
+    fitted = StationModel(list(features), list(targets))
+    for i, target in enumerate(targets):
+        estimator = make_regressor(algorithm, scalar_params(params))
+        fitted.models[target] = estimator.copy({estimator.featuresCol: VECTOR, estimator.labelCol: f"__y{i}"}).fit(made)
+    return fitted
+
+
 def fit_model(
     rows: DataFrame, features: Sequence[str], targets: Sequence[str], algorithm: str, params: dict[str, Any] | None = None
 ) -> StationModel:
-    """Fit one estimator per target on the assembled rows."""
-    vectors = assemble(rows, features).select(VECTOR, *[q(t).cast("double").alias(f"__y{i}") for i, t in enumerate(targets)])
-    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit one estimator per target on the rows."""
+    made = vectors(rows, features, targets)
     try:
-        fitted = StationModel(list(features), list(targets))
-        for i, target in enumerate(targets):
-            estimator = make_regressor(algorithm, scalar_params(params))
-            estimator = estimator.copy({estimator.featuresCol: VECTOR, estimator.labelCol: f"__y{i}"})
-            fitted.models[target] = estimator.fit(cached)
-        return fitted
+        return fit_vectors(made, features, targets, algorithm, params)
     finally:
-        cached.unpersist()
+        made.unpersist()
 
 
 def fit_spec(rows: DataFrame, features: Sequence[str], targets: Sequence[str], spec: ModelSpec) -> StationModel:

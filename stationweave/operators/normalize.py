@@ -11,7 +11,7 @@ from stationweave.functions.names import clean_double, q
 from stationweave.functions.quantiles import quantile_columns, to_long
 from stationweave.operators.profile import numeric_columns
 from stationweave.session import config_table
-from stationweave.specs import normalization_method
+from stationweave.functions.choices import normalization_method
 
 STATS_SCHEMA = "method string, column string, center double, scale double, raw_scale double"
 

@@ -78,7 +78,13 @@ def compact_rows(rows: DataFrame) -> DataFrame:
     name = F.coalesce("validation_period_name", F.lit(OVERALL))
     models = rows.where(~F.startswith(F.col("algorithm"), F.lit("Baseline")))
     has_periods = models.agg(F.coalesce(F.bool_or(name != OVERALL), F.lit(False)).alias("h")).scalar()
-    return models.where((name != OVERALL) == has_periods)
+    kept = models.where((name != OVERALL) == has_periods)
+    if "rank_by_rmse" not in rows.columns:
+        return kept
+    # Ranks are whole numbers, so blocks of them are levels in their order.
+    block = F.floor(F.coalesce("rank_by_rmse", F.lit(0)) / 100_000)
+    placed = dense_position(kept, [F.col("rank_by_rmse"), *_ordered_keys(kept)], [block], "__line")
+    return placed.select(*[q(c) for c in kept.columns], F.when(F.col("rank_by_rmse").isNotNull(), (F.col("__line") + 1).cast("int")).alias("rank_in_table"))
 
 
 def expand_overall(rows: DataFrame, periods: DataFrame) -> DataFrame:

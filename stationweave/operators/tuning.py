@@ -5,70 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from itertools import product
+from math import prod
 from typing import Any
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationweave.functions.names import render_params
+from stationweave.functions.choices import search_metric, search_name
+from stationweave.functions.names import q, render_params
 from stationweave.operators.metrics import HIGHER_IS_BETTER, long_metrics, score, trial_score
-from stationweave.operators.models import fit_model, scalar_params
+from stationweave.operators.models import fit_model, fit_vectors, scalar_params, vectors
 from stationweave.session import config_table
 from stationweave.specs import ModelSpec
 
-# Accepted spellings of the search names.
-SEARCH_ALIASES = {
-    "": "none",
-    "off": "none",
-    "disabled": "none",
-    "random": "random_search",
-    "randomsearch": "random_search",
-    "grid": "grid_search",
-    "gridsearch": "grid_search",
-}
-SEARCHES = ("none", "random_search", "grid_search")
-METRICS = {"rmse": "RMSE", "r2": "R2"}
-
-
-def search_name(raw: str | None) -> str:
-    name = str(raw or "none").strip().lower()
-    name = SEARCH_ALIASES.get(name, name)
-    if name not in SEARCHES:
-        raise ValueError(f"search must be one of {', '.join(SEARCHES)}")
-    return name
-
-
-def search_metric(raw: str | None) -> str:
-    name = METRICS.get(str(raw or "RMSE").strip().lower())
-    if name is None:
-        raise ValueError("search metric must be RMSE or R2")
-    return name
-
-
-def with_seed_axis(grid: dict[str, Any], params: dict[str, Any] | None) -> dict[str, Any]:
-    """A list of seeds among the model parameters becomes one more grid axis."""
+def search_space(grid: dict[str, Any], params: dict[str, Any] | None = None) -> dict[str, list[Any]]:
+    """Values of every axis. Seeds listed among the model parameters are an axis unless the grid has one."""
+    space = {name: values if isinstance(values, list) else [values] for name, values in grid.items()}
     seeds = (params or {}).get("random_state")
-    if isinstance(seeds, (list, tuple)) and "random_state" not in grid:
-        if not seeds:
-            raise ValueError("random_state needs at least one seed")
-        return {**grid, "random_state": [int(s) for s in seeds]}
-    return dict(grid)
-
-
-def candidates(grid: dict[str, Any], search: str, max_trials: int, seed: int) -> list[dict[str, Any]]:
-    """Grid points in key order; random search draws without replacement and keeps that order."""
-    axes = {k: v if isinstance(v, list) else [v] for k, v in grid.items()}
-    empty = [k for k, v in axes.items() if not v]
-    if empty:
-        raise ValueError("no values for grid axes: " + ", ".join(empty))
-    points = [dict(zip(axes, values)) for values in product(*axes.values())]
-    if search != "random_search":
-        return points
-    n = min(max(1, int(max_trials)), len(points))
-    drawn = np.random.default_rng(int(seed)).choice(len(points), size=n, replace=False)
-    return [points[i] for i in sorted(drawn.tolist())]
+    if isinstance(seeds, (list, tuple)):
+        space.setdefault("random_state", [int(seed) for seed in seeds])
+    if any(not values for values in space.values()):
+        raise ValueError("no values for " + ", ".join(name for name, values in space.items() if not values))
+    return space
+
+
+def grid_point(space: dict[str, list[Any]], number: int) -> dict[str, Any]:
+    """The point of this number; the last axis turns fastest, so points need no list of their own."""
+    point = {}
+    for name, values in reversed(space.items()):
+        number, place = divmod(number, len(values))
+        point[name] = values[place]
+    return {name: point[name] for name in space}
+
+
+def trial_points(space: dict[str, list[Any]], search: str, max_trials: int, seed: int) -> list[dict[str, Any]]:
+    """All points of a grid search; for a random search a seeded draw of at most max_trials, in grid order."""
+    size = prod(len(values) for values in space.values())
+    numbers: Iterable[int] = range(size)
+    if search == "random_search":
+        draw = np.random.default_rng(int(seed)).choice(size, size=min(size, max(1, int(max_trials))), replace=False)
+        numbers = np.sort(draw).tolist()
+    return [grid_point(space, n) for n in numbers]
 
 
 def in_threads(spark: SparkSession, work: Callable[[Any], Any], items: Iterable[Any], parallelism: int = 4) -> list[Any]:
@@ -82,12 +60,11 @@ def in_threads(spark: SparkSession, work: Callable[[Any], Any], items: Iterable[
 
 def best_trial(trials: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
     """Best-scoring trial per task; among equals the first one wins."""
-    order: Column = F.col("score").desc() if metric in HIGHER_IS_BETTER else F.col("score").asc()
-    if not by:
-        # Trials of one search: as many rows as grid points tried.
-        return trials.orderBy(order, "trial").limit(1)
-    ranked = Window.partitionBy(*by).orderBy(order, "trial")
-    return trials.withColumn("__r", F.row_number().over(ranked)).where("__r = 1").drop("__r")
+    worth = -F.col("score") if metric in HIGHER_IS_BETTER else F.col("score")
+    # A number that is none counts as the worst.
+    rank = F.struct(F.isnan(worth) | worth.isNull(), worth, F.col("trial"))
+    best = trials.groupBy(*by).agg(F.min_by(F.struct(*[q(c) for c in trials.columns]), rank).alias("__best"))
+    return best.where("__best is not null").select("__best.*")
 
 
 TRIAL_SCHEMA = "trial int, total_trials int, score double, params map<string,string>"
@@ -103,8 +80,8 @@ def tune(
 ) -> tuple[dict[str, Any], DataFrame] | None:
     """(best parameters, trial table), or None when no search is configured.
 
-    Every trial is a Spark fit over the same two frames, which the caller has stored; only
-    scores come back to the driver.
+    Every trial is a Spark fit over the same vectors, assembled once; only scores come back to
+    the driver.
     """
     search = search_name(spec.search)
     if search == "none":
@@ -112,19 +89,22 @@ def tune(
     if not spec.param_grid:
         raise ValueError("a search needs a non-empty parameter grid")
     metric = search_metric(spec.metric)
-    grid = with_seed_axis(spec.param_grid, spec.params)
-    points = candidates(grid, search, spec.max_trials, spec.search_seed)
+    points = trial_points(search_space(spec.param_grid, spec.params), search, spec.max_trials, spec.search_seed)
     base = scalar_params(spec.params)
     if validation.isEmpty():
         raise ValueError("the validation periods hold no supervised rows")
 
-    def run(numbered: tuple[int, dict[str, Any]]) -> float:
-        _, point = numbered
-        model = fit_model(train, features, targets, spec.algorithm, {**base, **point})
+    made = vectors(train, features, targets)
+
+    def run(point: dict[str, Any]) -> float:
+        model = fit_vectors(made, features, targets, spec.algorithm, {**base, **point})
         metrics = long_metrics(model.evaluate(validation), [metric], ["target"])
         return trial_score(metrics, metric, []).first().score
 
-    scores = in_threads(train.sparkSession, run, enumerate(points, 1), parallelism)
+    try:
+        scores = in_threads(train.sparkSession, run, points, parallelism)
+    finally:
+        made.unpersist()
     rows = [(i, len(points), float(s), render_params(p)) for i, (s, p) in enumerate(zip(scores, points), 1)]
     trials = config_table(train.sparkSession, [(i, n, s, list(p.items())) for i, n, s, p in rows], TRIAL_SCHEMA)
     best = best_trial(trials, metric).first().trial

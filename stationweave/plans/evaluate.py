@@ -8,10 +8,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from stationweave.functions.choices import search_name
 from stationweave.functions.names import q
 from stationweave.functions.periods import period_years, testing_windows
 from stationweave.operators import baselines, normalize
-from stationweave.operators.clean import cleaning_stats, drop_details
+from stationweave.operators.clean import cleaning_stats, filling_stats
 from stationweave.operators.metrics import flatten_metrics, score, score_periods
 from stationweave.operators.models import StationModel, fit_model
 from stationweave.operators.profile import column_profile
@@ -19,6 +20,7 @@ from stationweave.operators.projection import export_view
 from stationweave.operators.tuning import cross_validate, tune
 from stationweave.plans.prepare import (
     Prepared,
+    clean_with_details,
     keep_years,
     prepare_evaluation,
     prepare_fold,
@@ -45,7 +47,7 @@ def train(df: DataFrame, spec: StationSpec, model_spec: ModelSpec, parallelism:
     prepared = prepare_training(df, spec)
     normalized = prepared.normalized
     params, trials = dict(model_spec.params), None
-    if model_spec.search != "none":
+    if search_name(model_spec.search) != "none":
         validation = prepare_tuning(df, spec, prepared.stats)
         if validation is None:
             raise ValueError("a search needs validation periods")
@@ -98,6 +100,20 @@ class Evaluation:
     def training_predictions(self) -> DataFrame:
         return self.trained.model.predictions(normalize.apply_stats(self.trained.prepared.rows, self.test.stats))
 
+    def together(self, rows: DataFrame) -> DataFrame:
+        """(source, algorithm, target, prediction_time, actual, prediction) of model and baselines, from one reading of the rows."""
+        aside = rows.withColumns({f"raw__{f}": q(f) for f in self.test.features})
+        predicted = self.trained.model.predict(normalize.apply_stats(aside, self.test.stats))
+        made = {t: "prediction" if len(self.test.targets) == 1 else f"prediction__{t}" for t in self.test.targets}
+        plain = predicted.select(
+            "prediction_time", *[q(t) for t in made], *[q(c).alias(f"__made{i}") for i, c in enumerate(made.values())], *[q(f"raw__{f}").alias(f) for f in self.test.features]
+        )
+        empty = F.lit(None).cast("string").alias("baseline_id")
+        own = [F.struct(empty, F.lit("model").alias("algorithm"), F.lit(t).alias("target"), q(t).alias("actual"), F.col(f"__made{i}").alias("prediction")) for i, t in enumerate(made)]
+        every = F.explode(F.array(*own, *baselines.baseline_structs(plain.columns, self.spec.task()))).alias("__p")
+        source = F.when(F.col("baseline_id").isNull(), "model").otherwise("baseline").alias("source")
+        return plain.select("prediction_time", every).select("prediction_time", "__p.*").select(source, "algorithm", "target", "prediction_time", "actual", "prediction")
+
     @cached_property
     def details(self) -> DataFrame:
         return baselines.details(_named_predictions(self.trained.model.predict(self._rows), self.test), self.test.targets)
@@ -129,12 +145,21 @@ class Evaluation:
         return baselines.baseline_period_metrics(self.test.all_rows, self.spec.task(), testing_windows(self.spec))
 
     @cached_property
-    def imputation_stats(self) -> DataFrame:
-        return cleaning_stats(self._view, self._columns, self._cleaned, self.spec.station)
+    def _cleaning(self) -> tuple[DataFrame, DataFrame | None]:
+        # The whole readings, as in preparation: filling may look at columns outside the view.
+        return clean_with_details(keep_years(self.readings, self.spec, period_years(testing_windows(self.spec))), self.spec)
 
     @cached_property
+    def imputation_stats(self) -> DataFrame:
+        """By the strategy in effect: what was dropped, or what was filled and what is still missing."""
+        filled, details = self._cleaning
+        if self.spec.missing_values == "drop" or details is None:
+            return cleaning_stats(self._view, self._columns, self._cleaned, self.spec.station)
+        return filling_stats(self._view, filled, self._columns, details, self.spec.station)
+
+    @property
     def imputation_details(self) -> DataFrame | None:
-        return drop_details(self._view, self._cleaned, self.spec.station) if self._cleaned else None
+        return self._cleaning[1]
 
     @cached_property
     def column_statistics(self) -> DataFrame:
@@ -175,26 +200,22 @@ def run_metrics(evaluation: Evaluation, run_id: str) -> DataFrame:
     `source` tells model rows, named later by their run, from baseline rows that name
     themselves.
     """
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-
-    def rows(scored: DataFrame | None, source: str, by_period: bool) -> list[DataFrame]:
-        if scored is None:
-            return []
-        added = {
-            "run_id": F.lit(run_id),
-            "source": F.lit(source),
-            "algorithm": F.col("algorithm") if source == "baseline" else F.lit("model"),
-            "validation_period_name": F.col("period_name") if by_period else F.lit("overall"),
-            "validation_period_start": iso("period_start") if by_period else F.lit(""),
-            "validation_period_end": iso("period_end") if by_period else F.lit(""),
-        }
-        tagged = scored.where("row_count > 0").withColumns(added)
-        return [flatten_metrics(tagged, MODEL_METRICS, [*added, "row_count"])]
-
-    frames = rows(evaluation.period_metrics, "model", True) + rows(evaluation.baseline_period_metrics, "baseline", True)
+    groups = ["source", "algorithm", "target"]
+    iso = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    frames = []
+    if evaluation.per_period:
+        # Cut from the whole frame, so windows do not depend on the overall selection.
+        frames.append(score_periods(evaluation.together(evaluation.test.all_rows), testing_windows(evaluation.spec), groups))
     if evaluation.combined:
-        frames += rows(evaluation.metrics, "model", False) + rows(evaluation.baseline_metrics, "baseline", False)
-    return reduce(DataFrame.unionByName, frames)
+        frames.append(score(evaluation.together(evaluation.test.rows), groups).withColumn("period_name", F.lit("overall")))
+    scored = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).where("row_count > 0")
+    added = {
+        "run_id": F.lit(run_id),
+        "validation_period_name": F.col("period_name"),
+        "validation_period_start": iso("period_start") if evaluation.per_period else F.lit(""),
+        "validation_period_end": iso("period_end") if evaluation.per_period else F.lit(""),
+    }
+    return flatten_metrics(scored.withColumns(added), MODEL_METRICS, ["run_id", "source", "algorithm", *[c for c in added if c != "run_id"], "row_count"])
 
 
 def write_evaluation(evaluation: Evaluation, root: str, run_id: str, store_details: bool = True) -> None:

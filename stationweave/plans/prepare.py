@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from stationweave.functions.choices import normalization_method
 from stationweave.functions.names import q
 from stationweave.functions.periods import (
     drop_periods,
@@ -16,12 +17,13 @@ from stationweave.functions.periods import (
     validation_windows,
 )
 from stationweave.operators import normalize
-from stationweave.operators.clean import drop_missing, impute_median
+from stationweave.operators.clean import drop_details, drop_missing, impute_median, present_columns
 from stationweave.operators.matrix import station_matrix
+from stationweave.operators.projection import check_stations, project_required
 from stationweave.operators.splits import select_test_rows, test_rows_or_all
 from stationweave.operators.supervised import feature_names, supervised_frame, target_names
 from stationweave.session import materialise
-from stationweave.specs import StationSpec, normalization_method
+from stationweave.specs import StationSpec
 
 
 @dataclass(frozen=True)
@@ -49,14 +51,29 @@ def keep_years(df: DataFrame, spec: StationSpec, years: list[int]) -> DataFrame:
     return keep_periods(df, q(spec.ts), [str(y) for y in years]) if years else df
 
 
-def clean_readings(df: DataFrame, spec: StationSpec) -> DataFrame:
+def clean_with_details(df: DataFrame, spec: StationSpec) -> tuple[DataFrame, DataFrame | None]:
+    """Readings cleaned by the strategy of the specification, and what that did per station and column."""
+    columns = present_columns(df, spec.impute_columns)
+    if not columns:
+        return df, None
     if spec.missing_values == "median":
-        return impute_median(df, spec.impute_columns, spec.station)[0]
+        filled, details = impute_median(df, columns, spec.station)
+        return filled, details.withColumn("selected_features", F.array().cast("array<string>"))
     if spec.missing_values == "random_forest":
         from stationweave.operators.impute import impute_forest
 
-        return impute_forest(df, spec.impute_columns, (spec.ts,), station=spec.station)[0]
-    return drop_missing(df, spec.impute_columns)
+        return impute_forest(df, columns, (spec.ts,), station=spec.station)
+    return drop_missing(df, columns), drop_details(df, columns, spec.station)
+
+
+def clean_readings(df: DataFrame, spec: StationSpec) -> DataFrame:
+    return clean_with_details(df, spec)[0]
+
+
+def check_roles(df: DataFrame, spec: StationSpec) -> None:
+    """Columns and stations that the specification names must exist; the error names those that don't."""
+    project_required(df, spec)
+    check_stations(df, spec)
 
 
 def training_slice(df: DataFrame, spec: StationSpec) -> DataFrame:
@@ -87,6 +104,7 @@ def prepare_training(df: DataFrame, spec: StationSpec, store: bool = True) -> Pr
 
     The slice comes before the time axis, so lags step over excluded windows.
     """
+    check_roles(df, spec)
     cleaned, rows = _frame(training_slice(df, spec), spec, store)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, stats = _normalised(rows, features, normalization_method(spec.normalization), None)
@@ -100,6 +118,7 @@ def prepare_tuning(
     periods = validation_windows(spec)
     if not periods:
         return None
+    check_roles(df, spec)
     cleaned, rows = _frame(keep_years(df, spec, period_years(periods)), spec, store)
     chosen = keep_periods(rows, F.col("prediction_time"), periods)
     features, targets = feature_names(spec.task()), target_names(spec.task())
@@ -120,6 +139,7 @@ def prepare_evaluation(
     Without training statistics the rows are normalised with their own. With `fallback`,
     windows that match no row fall back to all rows.
     """
+    check_roles(df, spec)
     cleaned, rows = _frame(keep_years(df, spec, period_years(testing_windows(spec))), spec, store)
     chosen = test_rows_or_all(rows, spec, strict) if fallback or strict else select_test_rows(rows, spec)
     features, targets = feature_names(spec.task()), target_names(spec.task())

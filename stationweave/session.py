@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -30,16 +31,19 @@ def local_session(cores: str = "*", app: str = "stationweave", shared: str | Non
 
 
 def shared_dir(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach, as the cluster names it. Only a local session may go without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return root
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Compute a frame once, now, for the several jobs that will read it.
 
     With a shared checkpoint folder the rows are written there and survive lost executors.
-    Without one the frame is persisted, so lost blocks are recomputed. Either way Spark then
-    knows the true size, which decides later joins.
+    A local session without one persists the frame. Either way Spark then knows the true size,
+    which decides later joins. `release` gives the space back.
     """
     root = shared_dir(df.sparkSession)
     if not root:
@@ -51,6 +55,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Give back what `materialise` stored for a frame that no later plan reads."""
+    spark = df.sparkSession
+    df.unpersist()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("stationweave-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _ARROW = {
     "string": pa.string(),
     "integer": pa.int32(),

@@ -7,8 +7,11 @@ by name.
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stationweave.functions.names import q
@@ -20,6 +23,10 @@ MISSING_TOKENS = (
     "NULL", "null", "None", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN",
 )
 
+# Forms of a time besides ISO 8601; the first that fits counts. Ids in paths, as published archives name them.
+TIME_FORMATS = (
+    "M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]",
+)
 _SITE = r"(?i)(?:^|[_-])site[_-]?([A-Za-z0-9]+)(?:[_-]|$)"
 _DIGITS = r"(?<!\d)(\d{3,})(?!\d)"
 _YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
@@ -72,8 +79,6 @@ def station_from_path(path: Column, mode: str = "auto", regex: str | None = None
     else:
         raise ValueError("station id mode must be auto, filename or folder")
     if regex:
-        import re
-
         group = 1 if re.compile(regex).groups else 0
         found = F.coalesce(_found(path, regex, group), found)
     return found
@@ -90,14 +95,42 @@ def decoded(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """(path, size, modified): a distributed listing that opens no file. Hidden folders are skipped."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern.rsplit("/", 1)[-1])
-    listing = reader.load(paths if isinstance(paths, str) else list(paths))
-    return listing.select(
-        F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")
-    )
+    """(path, size, modified): a distributed listing that opens no file. Hidden folders are skipped.
+
+    A pattern without folders matches file names, below all folders if recursive. A pattern with
+    folders is taken from each path on; `**` stands for any number of folders.
+    """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    folders, _, name = pattern.rpartition("/")
+    reader = spark.read.format("binaryFile")
+    if "**" in folders or not folders:
+        deep = recursive if not folders else True
+        listing = reader.option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", name or "*").load(roots)
+        if folders.strip("/*"):
+            # Folders between, before or after the stars are matched on the path below the roots.
+            parts = [r"(?:[^/]+/)*" if part == "**" else _glob(part) + "/" for part in folders.split("/")]
+            starts = "|".join(re.escape(_plain(root).rstrip("/")) for root in roots)
+            listing = listing.where(decoded(F.col("path")).rlike(f"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:/{{0,2}}[^/]*)?(?:{starts})/{''.join(parts)}[^/]*$"))
+    else:
+        found = [f"{root.rstrip('/')}/{pattern}" for root in roots]
+        try:
+            listing = reader.load(found)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            nothing = F.lit(None)
+            listing = spark.range(0).select(nothing.cast("string").alias("path"), nothing.cast("long").alias("length"), nothing.cast("timestamp").alias("modificationTime"))
+    return listing.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def _plain(path: str) -> str:
+    """The path without scheme and host."""
+    return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "", path)
+
+
+def _glob(part: str) -> str:
+    """A pattern of one folder name as a regular expression."""
+    return "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in part)
 
 
 def prune_years(files: DataFrame, years: Iterable[int] | None) -> DataFrame:
@@ -125,12 +158,18 @@ def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
 
 
 def _split_header(header: str) -> list[str]:
-    import csv
-
     return [name.strip() for name in next(csv.reader([header]))]
 
 
-def _typed(df: DataFrame, ts: str, text: Sequence[str], declared: Sequence[str] | None = None) -> DataFrame:
+def parsed_time(text: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
+    """A time in ISO form or in one of the formats. Text that is none of them fails the job."""
+    found = F.coalesce(text.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    return F.when(text.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz")).otherwise(found)
+
+
+def _typed(
+    df: DataFrame, ts: str, text: Sequence[str], declared: Sequence[str] | None = None, formats: Sequence[str] = TIME_FORMATS
+) -> DataFrame:
     """Missing tokens to NULL, the time parsed strictly, other columns to numbers where all parse.
 
     Declared columns are numbers without looking; text in them becomes NULL.
@@ -144,8 +183,7 @@ def _typed(df: DataFrame, ts: str, text: Sequence[str], declared: Sequence[str]
         bad = cells.agg(*unparsed).first()
         numeric = {c for c in others if bad[c] == 0}
     kinds = {c: q(c).try_cast("double") if c in numeric else q(c) for c in df.columns if c != ts}
-    # A plain cast: text that is no time fails the job.
-    kinds[ts] = q(ts).cast("timestamp_ntz")
+    kinds[ts] = parsed_time(q(ts), formats)
     return cells.select(*[kinds[c].alias(c) for c in df.columns])
 
 
@@ -155,6 +193,7 @@ def read_station_csv(
     ts: str = "ts",
     station: str | None = "station_id",
     columns: Sequence[str] | None = None,
+    formats: Sequence[str] = TIME_FORMATS,
 ) -> DataFrame:
     """Readings of the files with trimmed headers, the time column found in any case, and `__path`.
 
@@ -180,7 +219,7 @@ def read_station_csv(
     united = frames[0]
     for frame in frames[1:]:
         united = united.unionByName(frame, allowMissingColumns=True)
-    return _typed(united, ts, [c for c in (station, "__path") if c], columns)
+    return _typed(united, ts, [c for c in (station, "__path") if c], columns, formats)
 
 
 def read_station_folder(
@@ -194,13 +233,14 @@ def read_station_folder(
     station_regex: str | None = None,
     years: Iterable[int] | None = None,
     columns: Sequence[str] | None = None,
+    formats: Sequence[str] = TIME_FORMATS,
 ) -> DataFrame:
     """All matching files below a folder; a station column in a file wins over its path."""
     files = prune_years(list_files(spark, folder, pattern, recursive="**" in pattern), years)
     paths = [r.path for r in files.select("path").orderBy("path").collect()]
     if not paths:
         raise FileNotFoundError(f"no file matches {pattern!r} in {folder}")
-    df = read_station_csv(spark, paths, ts, station, columns)
+    df = read_station_csv(spark, paths, ts, station, columns, formats)
     if (sort_col or ts) not in df.columns:
         raise KeyError(f"sort column {sort_col!r} is not in the files")
     inferred = station_from_path(F.col("__path"), station_from, station_regex, folder)

@@ -10,9 +10,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationweave.operators.clean import cleaning_stats, drop_details, drop_missing
+from stationweave.operators.clean import cleaning_stats, filling_stats, present_columns
 from stationweave.operators.profile import column_profile, correlation, numeric_columns
 from stationweave.operators.projection import export_view
+from stationweave.plans.prepare import clean_with_details
 from stationweave.specs import StationSpec
 
 LOG = logging.getLogger("stationweave")
@@ -75,18 +76,22 @@ def cleaned_dataset(
     if not rebuild and _stored_signature(spark, path) == digest:
         return _load(spark, path, True)
     LOG.info("building cleaned dataset in %s", path)
-    columns = list(spec.impute_columns)
     structural = (spec.ts, spec.station)
     raw = export_view(readings, spec)
     raw_columns = [c for c in raw.columns if c not in structural]
-    kept = drop_missing(readings, columns)
-    export_view(kept, spec).write.mode("overwrite").parquet(f"{path}/dataset")
+    cleaned, details = clean_with_details(readings, spec)
+    export_view(cleaned, spec).write.mode("overwrite").parquet(f"{path}/dataset")
     after = spark.read.parquet(f"{path}/dataset")
+    if spec.missing_values == "drop" or details is None:
+        stats = cleaning_stats(raw, raw_columns, present_columns(raw, spec.impute_columns), spec.station)
+    else:
+        stats = filling_stats(raw, after, raw_columns, details, spec.station)
+    numeric = numeric_columns(after, structural)
     tables = {
-        "details": drop_details(readings, columns, spec.station) if columns else None,
-        "stats": cleaning_stats(raw, raw_columns, [c for c in columns if c in raw_columns], spec.station),
+        "details": details,
+        "stats": stats,
         "profile": column_profile(raw, structural, "before").unionByName(column_profile(after, structural, "after")),
-        "correlation": correlation(kept, numeric_columns(kept, structural)) if numeric_columns(kept, structural) else None,
+        "correlation": correlation(after, numeric) if numeric else None,
     }
     for name, table in tables.items():
         if table is not None:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from stationweave.functions import names, periods, positions, quantiles
 from stationweave.operators import baselines
-from stationweave.specs import StationSpec, normalization_method
+from stationweave.functions.choices import normalization_method
+from stationweave.specs import StationSpec
 
 
 def one(spark, column):
@@ -92,27 +93,33 @@ def test_positions_restart_per_key(spark):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.floats(-1e6, 1e6).map(lambda v: round(v, 3)), min_size=1, max_size=40), st.booleans())
-def test_quantiles_equal_pandas(spark, values, sketched):
+@given(st.lists(st.floats(-1e6, 1e6).map(lambda v: round(v, 3)), min_size=1, max_size=40), st.sampled_from([1, 3, 10**6]))
+def test_quantiles_equal_pandas(spark, values, last):
     df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    limit = 10**9 if not sketched else len(values)
-    got = quantiles.exact_quantiles(df, "v", probs, ["k"], count_all=limit).first()
+    got = quantiles.exact_quantiles(df, "v", probs, ["k"], last=last).first()
     assert got.n == len(values)
     assert got.quantiles == pytest.approx(list(pd.Series(values).quantile(probs)), abs=1e-9)
 
 
-def test_sketched_quantiles_of_a_large_skewed_key(spark):
-    """One key holds nearly all rows, half of them equal; the sketch brackets its ranks."""
+def test_quantiles_of_a_large_skewed_key(spark):
+    """One key holds nearly all rows, half of them equal, with values far out on both sides."""
     n = 200_000
+    far = F.when(F.col("id") % 997 == 1, F.lit(1e300)).when(F.col("id") % 997 == 3, F.lit(-1e300))
     df = spark.range(n).select(
         F.when(F.col("id") < 50, "small").otherwise("large").alias("k"),
-        F.when(F.col("id") % 2 == 0, 7.0).otherwise((F.col("id") * 37 % 1009) / 10.0).alias("v"),
+        F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.coalesce(far, (F.col("id") * 37 % 10007) / 10.0)).alias("v"),
     )
-    got = {r.k: r.quantiles for r in quantiles.exact_quantiles(df, "v", [0.25, 0.5, 0.75], ["k"], count_all=1000).collect()}
+    got = {r.k: r.quantiles for r in quantiles.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.75], ["k"], last=100).collect()}
     pdf = df.toPandas()
     for key, part in pdf.groupby("k"):
-        assert got[key] == pytest.approx(list(part.v.quantile([0.25, 0.5, 0.75])))
+        assert got[key] == pytest.approx(list(part.v.quantile([0.1, 0.25, 0.5, 0.75])))
+
+
+def test_quantiles_without_keys_or_rows(spark):
+    df = spark.range(101).select(F.col("id").cast("double").alias("v"))
+    assert quantiles.exact_quantiles(df, "v", [0.5], [], last=5).first().quantiles == [50.0]
+    assert quantiles.exact_quantiles(df.where("false"), "v", [0.5], []).count() == 0
 
 
 @pytest.mark.parametrize(

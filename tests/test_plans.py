@@ -37,15 +37,25 @@ SPEC = StationSpec(
 
 def test_registry():
     assert isinstance(models.make_regressor("random_forest"), RandomForestRegressor)
-    forest = models.make_regressor("Extra_Trees", {"n_estimators": 7, "max_depth": 99, "random_state": [5, 6], "n_jobs": -1})
+    forest = models.make_regressor("Extra_Trees", {"n_estimators": 7, "max_depth": 30, "random_state": [5, 6], "n_jobs": -1})
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed(), forest.getBootstrap()) == (7, 30, 5, False)
     linear = models.make_regressor(LINEAR.algorithm, {"fitIntercept": False})
     assert isinstance(linear, LinearRegression) and not linear.getFitIntercept()
     for bad, error in (("unknown", ValueError), ("collections.OrderedDict", TypeError)):
         with pytest.raises((error, AttributeError)):
             models.make_regressor(bad)
-    with pytest.raises(ValueError):
-        models.make_regressor("random_forest", {"depth": 3})
+    for bad in ({"depth": 3}, {"max_depth": 50}, {"max_depth": 0}, {"min_samples_split": 10}, {"criterion": "absolute_error"}):
+        with pytest.raises(ValueError):
+            models.make_regressor("random_forest", bad)
+    assert models.make_regressor("random_forest").getMaxDepth() == 30
+
+
+@pytest.mark.parametrize("change, name", [(dict(target_station="nowhere"), "nowhere"), (dict(input_stations=("a", "gone")), "gone"), (dict(pollutants=("SO2",)), "SO2")])
+def test_unknown_roles_are_errors(hourly, change, name):
+    spec = SPEC.with_(**change)
+    for run in (lambda: prepare.prepare_training(hourly, spec), lambda: prepare.prepare_evaluation(hourly, spec), lambda: prepare.prepare_tuning(hourly, spec, None)):
+        with pytest.raises(KeyError, match=name):
+            run()
 
 
 def test_training_slice_closes_up_excluded_windows(hourly):
@@ -149,13 +159,20 @@ def test_tuning_errors(hourly, bad):
         evaluate.train(hourly, SPEC, ModelSpec("random_forest", {"n_estimators": 2}, **{"search": "grid", **bad}))
 
 
-def test_candidates():
-    grid = {"a": [1, 2], "b": 3}
-    assert tuning.candidates(grid, "grid_search", 1, 0) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
-    drawn = tuning.candidates({"a": list(range(10))}, "random_search", 4, 42)
-    assert len(drawn) == 4 and drawn == sorted(drawn, key=lambda c: c["a"]) == tuning.candidates({"a": list(range(10))}, "random_search", 4, 42)
-    assert len(tuning.candidates(grid, "random_search", 99, 1)) == 2
-    assert tuning.with_seed_axis({"a": [1]}, {"random_state": [1, 2, 3]})["random_state"] == [1, 2, 3]
+def test_trial_points():
+    space = tuning.search_space({"a": [1, 2], "b": 3})
+    assert tuning.trial_points(space, "grid_search", 1, 0) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+    assert len(tuning.trial_points(space, "random_search", 99, 1)) == 2
+    wide = tuning.search_space({"a": list(range(10)), "b": ["x", "y"]})
+    drawn = tuning.trial_points(wide, "random_search", 4, 42)
+    every = tuning.trial_points(wide, "grid_search", 4, 42)
+    assert every == [{"a": a, "b": b} for a in range(10) for b in "xy"]
+    assert len(drawn) == 4 and drawn == [p for p in every if p in drawn] == tuning.trial_points(wide, "random_search", 4, 42)
+    assert tuning.search_space({"a": [1]}, {"random_state": [1, 2, 3]})["random_state"] == [1, 2, 3]
+    for grid, params in (({"a": []}, {}), ({}, {"random_state": []})):
+        with pytest.raises(ValueError, match="no values for"):
+            tuning.search_space(grid, params)
+
 
 
 def test_cross_validation(hourly):

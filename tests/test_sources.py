@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from stationweave import session
 from stationweave.functions.names import q
 from stationweave.sources import files, materialize
 from stationweave.specs import StationSpec
@@ -33,10 +34,33 @@ def test_missing_tokens_numeric_ids_and_text_columns(spark, tmp_path):
 
 def test_bad_time_fails(spark, tmp_path):
     path = write(tmp_path, "x.csv", "ts,station_id,a\nnot a time,s,1\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+    with pytest.raises(Exception, match="not a time: not a time"):
         files.read_station_csv(spark, path).collect()
 
 
+@pytest.mark.parametrize("text", ["2024-01-02 10:00:00", "2024-01-02T10:00", "01-02-2024 10:00", "1/2/2024 10:00", "2024/01/02 10:00:00", "2.1.2024 10:00"])
+def test_forms_of_time(spark, tmp_path, text):
+    path = write(tmp_path, "x.csv", f"ts,station_id,a\n{text},s,1\n13-02-2024,s,2\n")
+    rows = files.read_station_csv(spark, path).orderBy("ts").collect()
+    assert [str(r.ts) for r in rows] == ["2024-01-02 10:00:00", "2024-02-13 00:00:00"]
+    first = files.read_station_csv(spark, path, formats=("d-M-yyyy[ H:mm]", "d/M/yyyy H:mm", "yyyy/M/d H:mm:ss", "d.M.yyyy H:mm")).collect()
+    assert {str(r.ts)[:10] for r in first} <= {"2024-01-02", "2024-02-01", "2024-02-13"}
+
+
+@pytest.mark.parametrize(
+    "pattern, names",
+    [
+        ("*.csv", ["top.csv"]), ("x/*.csv", ["x/raw_2024.csv"]), ("*/*.csv", ["x/raw_2024.csv", "y/raw_2024.csv"]), ("**/*.csv", ["top.csv", "x/deep/z.csv", "x/raw_2024.csv", "y/raw_2024.csv"]),
+        ("x/**/*.csv", ["x/deep/z.csv", "x/raw_2024.csv"]), ("**/deep/*.csv", ["x/deep/z.csv"]), ("?/raw_*.csv", ["x/raw_2024.csv", "y/raw_2024.csv"]), ("none/*.csv", []),
+    ],
+)
+def test_patterns_with_folders(spark, tmp_path, pattern, names):
+    for name in ("x/raw_2024.csv", "y/raw_2024.csv", "top.csv", "x/deep/z.csv", "x/other.txt"):
+        write(tmp_path, name, "ts,a\n2024-01-01,1\n")
+    found = files.list_files(spark, str(tmp_path), pattern, recursive="**" in pattern)
+    assert sorted(r.path.split(tmp_path.name + "/")[1] for r in found.collect()) == names
+
+
 def test_no_time_column(spark, tmp_path):
     path = write(tmp_path, "x.csv", "when,a\n2023-01-01,1\n")
     with pytest.raises(KeyError):
@@ -147,3 +171,38 @@ def test_declared_columns_skip_the_type_pass(spark, tmp_path):
     path = write(tmp_path, "x.csv", "ts,station_id,a,b\n2023-01-01,s,1,oops\n")
     row = files.read_station_csv(spark, path, columns=["b"]).select("ts", "station_id", q("b")).first()
     assert row.b is None
+
+
+@pytest.mark.parametrize("strategy, rows, method", [("drop", 2, "drop_rows"), ("median", 3, "median"), ("random_forest", 3, "median_fallback")])
+def test_stored_dataset_follows_the_strategy(spark, tmp_path, strategy, rows, method):
+    write(tmp_path, "raw/s.csv", "ts,station_id,a\n2024-01-01,s,1\n2024-01-02,s,\n2024-01-03,s,3\n")
+    df = files.read_station_folder(spark, str(tmp_path / "raw"))
+    spec = StationSpec("s", ("s",), ("a",), impute_columns=("a",), missing_values=strategy)
+    listed = files.file_signature(spark, str(tmp_path / "raw"))
+    made = materialize.cleaned_dataset(spark, df, listed, spec, str(tmp_path / "out"))
+    assert made.dataset.count() == rows and made.dataset.where("a is null").isEmpty()
+    assert {r.method for r in made.details.collect()} == {method}
+    total = made.stats.where("station_id = '__all__'").first()
+    assert (total.missing_before, total.missing_after) == (1, 0)
+    assert materialize.cleaned_dataset(spark, df, listed, spec, str(tmp_path / "out")).reused
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="all executors share"):
+            session.shared_dir(Session())
+
+
+def test_release(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    stored = session.materialise(spark.range(5))
+    assert stored.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    session.release(stored)
+    assert list(tmp_path.iterdir()) == []
