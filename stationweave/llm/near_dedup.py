@@ -19,12 +19,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, attach, lists, lookup, mixed, settle, small, texts_of
+from .common import as_bytes, attach, lists, lookup, mixed, modest_batches, settle, small, texts_of
 from .components import connected_components
 
 BANDS, ROWS = 25, 4  # a pair at similarity 0.85 shares no band in 1 of 10^8 cases, at 0.8 in 2 of 10^6
-BINS, BITS = 512, 1024  # samples and bits of an odd sketch
-SLACK = 0.08  # five standard deviations of a sketch's estimate
+BINS, BITS = 8192, 4096  # samples and bits of an odd sketch
+DEVIATIONS = 4.0  # by which the difference of two sketches may exceed what the threshold makes one expect
 SHARE = 250  # pairs of one text that meet in one task
 
 _SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -100,13 +100,21 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def _alike(threshold: int) -> F.Column:
-    """Whether the sketches x and y of a pair allow the similarity of `threshold` percent."""
+    """Whether the sketches x and y of a pair allow the similarity of `threshold` percent.
+
+    At similarity t, a bin of a union of u shingles has one at all with chance 1 - exp(-u / BINS), and
+    then equal samples with chance t; that gives the number of samples which differ. It strays by the
+    collisions in bins, and the count of ones in the XOR by those in bits.
+    """
+    t = threshold / 100
     ones = F.aggregate(F.zip_with("x.odd", "y.odd", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
-    apart = F.least(ones, F.lit(BITS // 2 - 1)) * (-2.0 / BITS)
-    differ = F.log1p(apart) * (-BITS / 2.0)
-    either = F.col("x.samples") + F.col("y.samples")
+    differ = F.log1p(F.least(ones, F.lit(BITS * 12 // 25)) * (-2.0 / BITS)) * (-BITS / 2.0)
+    fill = (F.col("x.n_shingles") + F.col("y.n_shingles")) / ((1 + t) * BINS)
+    expected = (F.expm1(fill * (-(1 + t) / 2)) * -2 + F.expm1(-fill) * 2 * t) * BINS
+    full = expected * (4.0 / BITS)
+    strays = F.sqrt(expected * 2 * F.least(fill, F.lit(1.0)) + (F.expm1(full) - full) * (BITS / 4.0))
     ratio = F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * threshold
-    return ratio & (differ <= either * (1 - threshold / 100 + SLACK) + 6)
+    return ratio & (differ <= expected + strays * DEVIATIONS + 1)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int, threshold: int) -> DataFrame:
@@ -148,34 +156,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     others, but no component is named after them unless it has no key at all, and they are never kept
     when it has one. An empty table stays empty.
     """
+    modest_batches(docs.sparkSession)
     known = settle(sketches(docs, key, text, size))
     some = known.where("cls is not null")
     grouped = some.groupBy("cls").agg(F.min(F.struct("digest", "bands", "odd", "samples", "n_shingles")).alias("s"), F.min("key").alias("key"))
     classes = settle(grouped.select("cls", "key", "s.*"))
     members = classes.select("cls", F.explode("bands").alias("band"))
-    bands = settle(members.groupBy("band").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    # Each band has a hub of its own, so that a large group is held against many of its members.
+    hub = F.min(F.struct(F.xxhash64("cls", "band").alias("order"), "cls")).getField("cls").alias("hub")
+    bands = settle(members.groupBy("band").agg(hub, F.count("*").alias("n")).where("n > 1"))
     within = settle(members.join(bands, "band"))
 
     def sketch(name: str, of: DataFrame) -> DataFrame:
         return classes.join(of, "cls", "left_semi").select(F.col("cls").alias(f"{name}_cls"), F.struct("odd", "samples", "n_shingles").alias(name))
 
     # One member against all others of its band.
-    stars = within.where("cls <> least").select("least", "cls").distinct()
-    hubs = sketch("x", within.select(F.col("least").alias("cls")).distinct())
+    stars = within.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"), F.col("hub").alias("x_cls"), F.col("cls").alias("y_cls"))
+    stars = stars.dropDuplicates(["a", "b"]).select("x_cls", "y_cls")
+    hubs = sketch("x", within.select(F.col("hub").alias("cls")).distinct())
     spokes = sketch("y", within.select("cls").distinct())
-    met = lookup(stars.withColumnRenamed("least", "x_cls"), hubs, "x_cls", "inner").withColumnRenamed("cls", "y_cls").join(spokes, "y_cls")
+    met = lookup(stars, hubs, "x_cls", "inner").join(spokes, "y_cls")
     linked = _confirmed(met.where(_alike(threshold)).select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
 
     # Members of different components that share a band.
     parts = settle(connected_components(linked))
     labelled = within.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("component", "cls").alias("part"))
+    # Two members meet in many bands; the first one they share has the pair.
     torn = labelled.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
-    crossing = settle(labelled.join(torn, "band").join(spokes.withColumnRenamed("y_cls", "cls").withColumnRenamed("y", "sketch"), "cls"))
+    sketched = classes.select("cls", F.struct("odd", "samples", "n_shingles", "bands").alias("sketch"))
+    crossing = settle(labelled.join(torn, "band").join(sketched, "cls"))
+    common = F.zip_with("x.bands", "y.bands", lambda a, b: F.when(a == b, a))
+    here = F.get(F.filter(common, lambda b: b.isNotNull()), F.lit(0)) == F.col("band")
     left = crossing.select("band", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int").alias("share"), F.col("cls").alias("x_cls"), F.col("part").alias("x_part"), F.col("sketch").alias("x"))
     right = crossing.select("band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("cls").alias("y_cls"), F.col("part").alias("y_part"), F.col("sketch").alias("y"))
-    met = left.join(right, ["band", "share"]).where((F.col("x_part") < F.col("y_part")) & _alike(threshold))
-    pairs = met.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")).distinct()
-    across = _confirmed(pairs.join(linked, ["x", "y"], "left_anti"), classes, docs, text, size, threshold)
+    met = left.join(right, ["band", "share"]).where((F.col("x_part") < F.col("y_part")) & _alike(threshold) & here)
+    across = _confirmed(met.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
 
     whole = connected_components(linked.union(across))
     named = classes.select("cls", "key").join(whole.withColumnRenamed("node", "cls"), "cls")

@@ -111,16 +111,24 @@ def test_empty_table(docs):
     assert substring_dedup.cut_repeats(docs([])).count() == 0
 
 
-def test_odd_sketches_estimate_similarity():
+def test_odd_sketches_keep_similar_and_drop_others(spark):
     rng = random.Random(1)
-    for share in (0.6, 0.8, 0.85, 0.9, 0.97):
-        common_words, own = words(rng, int(2000 * share), 10**9), int(2000 * (1 - share) / 2)
-        sets = [near_dedup.shingles(" ".join(common_words + words(rng, own, 10**9)).encode(), 1) for _ in range(2)]
-        (_, _, a, n), (_, _, b, m) = map(near_dedup._sketch, sets)
-        ones = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a.tolist(), b.tolist()))
-        differ = -near_dedup.BITS / 2 * __import__("math").log(1 - 2 * ones / near_dedup.BITS)
-        exact = len(common_words) / (len(common_words) + 2 * own)
-        assert exact - 0.08 <= 1 - differ / (n + m) <= exact + 0.08
+    rows = []
+    for n in (40, 150, 600, 4000, 30000):
+        for share in (0.4, 0.6, 0.7, 0.75, 0.85, 0.86, 0.9, 0.97):
+            for _ in range(6):
+                common_words, own = words(rng, int(n * share), 10**9), max(1, int(n * (1 - share) / 2))
+                pair = []
+                for _ in range(2):
+                    found = near_dedup.shingles(" ".join(common_words + words(rng, own, 10**9)).encode(), 1)
+                    _, _, odd, samples = near_dedup._sketch(found)
+                    pair.append((odd.tolist(), samples, len(found)))
+                rows.append((n, len(common_words) / (len(common_words) + 2 * own), *pair))
+    kind = "struct<odd: array<long>, samples: int, n_shingles: long>"
+    df = spark.createDataFrame(rows, f"n int, exact double, x {kind}, y {kind}")
+    got = df.select("n", "exact", near_dedup._alike(85).alias("alike")).collect()
+    assert all(r.alike for r in got if r.exact >= 0.85)
+    assert not any(r.alike for r in got if r.exact < 0.71 and r.n >= 150)
 
 
 # Passages
