@@ -88,7 +88,7 @@ def lookup(big: DataFrame, few: DataFrame, key: str, how: str = "left", salts: i
     side, fits = small(few)
     if fits:
         return big.join(side, key, how)
-    others = [F.col(c) for c in big.columns]
+    others = [F.col(f"`{c}`") for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 

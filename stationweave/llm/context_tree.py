@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, lookup, release, settle
+from .common import as_bytes, modest_batches, settle
 
 CELL = 3  # bytes of context by which the work on deep contexts is dealt
 
@@ -30,7 +30,7 @@ class ContextTree:
     it scores; a larger model is scored in several passes. piece: bytes that are counted at once."""
 
     depth: int = 5
-    block: int = 3_000_000
+    block: int = 2_000_000
     piece: int = 4_000_000
 
 
@@ -332,6 +332,7 @@ def score(docs: DataFrame, train: "F.Column", text: str = "text", rules: Context
     all bytes are equally likely. An empty table stays empty. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [f"`{c}`" for c in docs.columns if c not in added]
     learnt = docs.select(F.coalesce(train, F.lit(False)).alias("train"), as_bytes(text).alias("text"))

@@ -14,7 +14,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, lookup
+from .common import as_bytes, lookup, modest_batches
 from .url_filters import host
 
 # Elements by their role in a page.
@@ -278,6 +278,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     page order by an empty line. Null and empty pages give an empty text; a page without host, or
     whose host has no agreed path, speaks for itself. Repeated rows are extracted alike.
     """
+    modest_batches(pages.sparkSession)
     agreed = host_paths(pages, url, html).select(F.col("host").alias("_host"), F.col("path").alias("_agreed"))
     kept = [c for c in pages.columns if c not in ("text", "n_chars", "path", "_host", "_agreed", "_found", "_html")]
     rows = pages.select(*(f"`{c}`" for c in kept), as_bytes(html).alias("_html"), host(F.col(url)).alias("_host"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, settle
+from .common import as_bytes, modest_batches, settle
 
 # Deletions that leave what a figure counts.
 _SPACES_AND_TAILS = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
@@ -186,6 +186,7 @@ def judge(df: DataFrame, rules: QualityRules = QualityRules(), known: list[dict]
     plain rules decide. Null and empty texts have no words and fail. Repeated rows are judged alike,
     an empty table stays empty.
     """
+    modest_batches(df.sparkSession)
     known = references(df, rules, text, lang) if known is None else known
     shared = df.sparkSession.sparkContext.broadcast(known)
     added = [*_STATISTICS, "class_distance", "word_distance", "base_failed", "kept"]

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes
+from .common import as_bytes, modest_batches
 
 # Words whose counts a worker remembers between texts; a full memory starts anew.
 REMEMBERED = 200_000
@@ -112,6 +112,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     the data. Words are runs of other bytes than the six ASCII white spaces. Null and empty texts
     have no words and no tokens. Repeated rows are counted each; an empty table stays empty.
     """
+    modest_batches(df.sparkSession)
     raw = df.sparkSession.sparkContext.broadcast(tuple(read_pieces(vocabulary)))
 
     @F.arrow_udf("struct<n_words: long, n_tokens: long>")
