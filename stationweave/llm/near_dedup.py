@@ -120,7 +120,8 @@ def _alike(threshold: int) -> F.Column:
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, size: int, threshold: int) -> DataFrame:
     """The pairs (x, y) of classes whose full sets are similar enough."""
     pairs = settle(pairs)
-    needed = classes.select("cls", "digest").join(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "cls", "left_semi")
+    members = pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct()
+    needed = classes.select("cls", "digest").join(members, "cls", "left_semi")
     texts = texts_of(docs, text, needed.select("digest").distinct(), F.md5).join(needed, "digest").select("cls", "text")
     met = attach(attach(pairs, texts, "x", "y", "x_text", SHARE), texts, "y", "x", "y_text", SHARE)
 
