@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import as_bytes, lists, modest_batches, settle
+from .common import as_bytes, lists, modest_batches, settle, small
 
 # Families of common languages by code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Language
     texts. Rows without language or without a letter are left out; equal texts of a language count once.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), as_bytes(text).alias("text"))
-    counts = labelled.groupBy("lang").count()
+    counts, _ = small(labelled.groupBy("lang").count())
     # A first cut by hash leaves about twice the sample, so that no language meets in one task.
     numbered = labelled.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
     cut = numbered.join(counts, "lang").where(F.col("h") * F.col("count") <= (2.0 * rules.per_language + 100) * (1 << 30)).select("lang", "h", "text").distinct()
