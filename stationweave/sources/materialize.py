@@ -86,12 +86,13 @@ def cleaned_dataset(
         stats = cleaning_stats(raw, raw_columns, present_columns(raw, spec.impute_columns), spec.station)
     else:
         stats = filling_stats(raw, after, raw_columns, details, spec.station)
-    numeric = numeric_columns(after, structural)
+    # Over all cleaned columns, also those outside the exported view.
+    numeric = numeric_columns(cleaned, structural)
     tables = {
         "details": details,
         "stats": stats,
         "profile": column_profile(raw, structural, "before").unionByName(column_profile(after, structural, "after")),
-        "correlation": correlation(after, numeric) if numeric else None,
+        "correlation": correlation(cleaned, numeric) if numeric else None,
     }
     for name, table in tables.items():
         if table is not None:
