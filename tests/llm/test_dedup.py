@@ -199,3 +199,20 @@ def test_seeds_are_shared_by_equal_stretches():
             text = " ".join(words(rng, rng.randint(20, 60)) + stretch + words(rng, rng.randint(20, 60)))
             found.append(set(substring_dedup.seeds(substring_dedup.word_hashes(text.encode()), 5, 10)[0].tolist()))
         assert found[0] & found[1]
+
+
+@pytest.mark.parametrize("gaps", [(31, 31), (80, 80), (95, 95), (0, 60), (60, 0)])
+def test_two_passages_of_one_pair(docs, gaps):
+    """Two exact passages stand far enough apart that the stretch over both isn't similar."""
+    rng = random.Random(sum(gaps))
+    p, q = words(rng, 60, 10**9), words(rng, 60, 10**9)
+    own = [(words(rng, 30, 10**9), words(rng, gap, 10**9), words(rng, 30, 10**9)) for gap in gaps]
+    rows = [(i, " ".join([*a, *p, *b, *q, *c])) for i, (a, b, c) in enumerate(own)]
+    got = substring_dedup.repeated_passages(docs(rows)).collect()
+    cut = [g for g in got if not g.copy]
+    of = own[cut[0].doc_id]
+    covered = {i for g in cut for i in range(g.start, g.end)}
+    at = 30 + 60 + len(of[1])
+    assert covered >= {*range(30, 90), *range(at, at + 60)}
+    left = next(r.text for r in substring_dedup.cut_repeats(docs(rows)).collect() if r.doc_id == cut[0].doc_id).split()
+    assert not set(left) & {*p, *q}
