@@ -216,3 +216,33 @@ def test_two_passages_of_one_pair(docs, gaps):
     assert covered >= {*range(30, 90), *range(at, at + 60)}
     left = next(r.text for r in substring_dedup.cut_repeats(docs(rows)).collect() if r.doc_id == cut[0].doc_id).split()
     assert not set(left) & {*p, *q}
+
+
+def ordered(spark, texts):
+    """The texts in the order in which passages are kept: by their hash."""
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return [r.text for r in df.orderBy(F.xxhash64(F.col("text").cast("binary"))).collect()]
+
+
+def arranged(spark, make, want):
+    """Variants of texts, made with different own words, until their order is the wanted one."""
+    for seed in range(200):
+        texts = make(random.Random(seed))
+        if [texts.index(t) for t in ordered(spark, texts)] in want:
+            return texts
+    raise AssertionError("no variant in the wanted order")
+
+
+def test_template_around_a_passage(spark, docs):
+    """A heading and a footer of one text frame a passage of another: the frame alone is too short."""
+    rng = random.Random(21)
+    head, foot, body = words(rng, 30, 10**9), words(rng, 30, 10**9), words(rng, 60, 10**9)
+
+    def make(own):
+        a, b, c = (lambda n: words(own, n, 10**9)), words(own, 20, 10**9), words(own, 20, 10**9)
+        return [" ".join(t) for t in (head + a(60) + foot + a(40), a(40) + body + a(40), b + head + body + foot + c)]
+
+    texts = arranged(spark, make, ([0, 1, 2], [1, 0, 2]))
+    got = substring_dedup.repeated_passages(docs(list(enumerate(texts)))).collect()
+    assert [(r.doc_id, r.other_id) for r in got] == [(2, 1)]
+    assert got[0].start <= 50 and got[0].end >= 110
