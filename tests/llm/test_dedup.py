@@ -246,3 +246,29 @@ def test_template_around_a_passage(spark, docs):
     got = substring_dedup.repeated_passages(docs(list(enumerate(texts)))).collect()
     assert [(r.doc_id, r.other_id) for r in got] == [(2, 1)]
     assert got[0].start <= 50 and got[0].end >= 110
+
+
+def test_passage_whose_seeds_stand_in_earlier_texts(spark, docs):
+    """Two texts that come first hold half a passage each; the two that hold all of it still meet."""
+    rng = random.Random(33)
+    p = words(rng, 60, 10**9)
+
+    def make(own):
+        parts = p[:30], p[25:], p, p
+        return [" ".join(words(own, 30, 10**9) + part + words(own, 40, 10**9)) for part in parts]
+
+    texts = arranged(spark, make, ([0, 1, 2, 3], [1, 0, 2, 3], [0, 1, 3, 2], [1, 0, 3, 2]))
+    got = substring_dedup.repeated_passages(docs(list(enumerate(texts)))).collect()
+    assert [{r.doc_id, r.other_id} for r in got] == [{2, 3}]
+    assert got[0].start <= 30 and got[0].end >= 90
+    left = {r.doc_id: r.text for r in substring_dedup.cut_repeats(docs(list(enumerate(texts)))).collect()}
+    assert sum(not set(p) & set(t.split()) for t in left.values()) == 1
+
+
+def test_grams_are_equal_for_equal_stretches():
+    rng = random.Random(34)
+    a, b = words(rng, 90), words(rng, 70)
+    b[10:65] = a[31:86]
+    x, y = (substring_dedup.grams(substring_dedup.word_hashes(" ".join(w).encode()), 50) for w in (a, b))
+    assert len(x) == 41 and len(y) == 21
+    assert {(int(i), int(j)) for i in range(41) for j in range(21) if x[i] == y[j]} == {(31 + k, 10 + k) for k in range(6)}
