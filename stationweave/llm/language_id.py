@@ -141,7 +141,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Language
     texts. Rows without language or without a letter are left out; equal texts of a language count once.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), as_bytes(text).alias("text"))
-    counts, _ = small(labelled.groupBy("lang").count())
+    # Different texts are counted, or many copies of some would leave few or none of the others.
+    counts, _ = small(labelled.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count())
     # A first cut by hash leaves about twice the sample, so that no language meets in one task.
     numbered = labelled.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
     cut = numbered.join(counts, "lang").where(F.col("h") * F.col("count") <= (2.0 * rules.per_language + 100) * (1 << 30)).select("lang", "h", "text").distinct()

@@ -140,3 +140,13 @@ def test_languages_with_little_to_learn(docs):
     none = language_id.fit(docs([(1, "some text", None)]))
     assert language_id.predict(docs([(1, "other")]), none).first().lang_pred == "und"
     assert language_id.predict(docs([]), one).count() == 0
+
+
+def test_languages_that_are_mostly_copies(docs):
+    """Few different texts, each thousands of times: all of them are fitted on."""
+    rng = random.Random(22)
+    rows = docs([(i, sentence(rng, lang, 20), lang) for i in range(3) for lang in SYLLABLES])
+    copies = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(7000))))
+    model = language_id.fit(copies)
+    assert sorted(sum(model.members.values(), [])) == sorted(SYLLABLES)
+    assert (model.weights == language_id.fit(rows).weights).all()
