@@ -48,8 +48,8 @@ class QualityRules:
     their histograms say too little. class_distance, word_distance: (limit, allowance); a document
     of n words may be off by limit + allowance / sqrt(n) in Jensen-Shannon distance (0 to 1), since
     short texts stray from any reference by chance. common_share: a word is common if it is at least this share of its language's
-    words, so a language has at most 1 / common_share of them. reference_share: a language has a
-    reference if it holds at least this share of all words, so there are at most 1 / reference_share.
+    words, so a language has at most 1 / common_share of them. reference_words: a language has a
+    reference if it holds at least so many words, whatever its share of all.
     """
 
     min_words: int = 10
@@ -58,7 +58,7 @@ class QualityRules:
     class_distance: tuple[float, float] = (0.25, 0.8)
     word_distance: tuple[float, float] = (0.22, 1.2)
     common_share: float = 0.004
-    reference_share: float = 0.002
+    reference_words: int = 2500
 
 
 def class_counts(text: bytes) -> np.ndarray:
@@ -115,8 +115,8 @@ def _distance(counts: np.ndarray, reference: np.ndarray) -> float:
 def references(df: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> list[dict]:
     """Per language its class counts and its common words with their counts, from all documents.
 
-    Rows without language count for none. At most 1 / reference_share languages with at most
-    1 / common_share words each come to the driver, whatever the table's size.
+    Rows without language count for none. For every language of at least reference_words words, at most
+    1 / common_share of them come to the driver, whatever the table's size.
     """
 
     def counted(batches):
@@ -134,9 +134,8 @@ def references(df: DataFrame, rules: QualityRules = QualityRules(), text: str =
 
     rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), as_bytes(text).alias("value"))
     counts = settle(rows.mapInArrow(counted, "lang string, kind int, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
-    sizes = counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("total"))
-    sizes = sizes.join(sizes.agg(F.sum("total").alias("everything")), F.col("total") >= F.lit(rules.reference_share) * F.col("everything"))
-    found = counts.join(sizes.select("lang", "total"), "lang").where(f"kind = 1 or n >= {rules.common_share} * total").collect()
+    sizes = counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= rules.reference_words)
+    found = counts.join(sizes, "lang").where(f"kind = 1 or n >= {rules.common_share} * total").collect()
     out: dict[str, dict] = {}
     for row in sorted(found, key=lambda r: (r["lang"], r["kind"], bytes(r["item"]))):
         reference = out.setdefault(row["lang"], {"lang": row["lang"], "total": row["total"], "words": [], "counts": [], "classes": [0] * len(CLASSES)})
@@ -162,11 +161,11 @@ class _Judge:
         repeat = repeated_words(words)
         failed = n < rules.min_words or 100 * repeat > rules.max_repeat_pct * n
         nearest, near = (0.0, 0.0), True
-        if n >= rules.guard_words and self.of:
+        if n >= rules.guard_words and self.of and (language is None or language in self.of):
             counts, classes = Counter(value.lower().split()), class_counts(value).astype(float)
             limits = [limit + allowance / n**0.5 for limit, allowance in (rules.class_distance, rules.word_distance)]
             distances = []
-            for place, reference, of_classes in [self.of[language]] if language in self.of else self.of.values():
+            for place, reference, of_classes in [self.of[language]] if language is not None else self.of.values():
                 own = np.array([counts.get(w, 0) for w in place] + [0.0])
                 own[-1] = n - own.sum()
                 distances.append((_distance(classes, of_classes), _distance(own, reference)))
@@ -181,9 +180,9 @@ def judge(df: DataFrame, rules: QualityRules = QualityRules(), known: list[dict]
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); class_distance and
     word_distance (double; 0 for documents under guard_words); base_failed; kept. known are the
-    references, by default those of the table itself. A document of a language without reference,
-    or without language, is held against its nearest reference; without any references only the
-    plain rules decide. Null and empty texts have no words and fail. Repeated rows are judged alike,
+    references, by default those of the table itself. A document without language is held against its
+    nearest reference. For a language without reference, and without any references, only the plain
+    rules decide. Null and empty texts have no words and fail. Repeated rows are judged alike,
     an empty table stays empty.
     """
     modest_batches(df.sparkSession)

@@ -49,3 +49,15 @@ def test_repeated_words_by_hand():
 def test_empty_table_and_no_language(docs):
     assert quality_rules.judge(docs([])).count() == 0
     assert quality_rules.judge(docs([(1, "word " * 5 + "a b c d e f g h")])).first().kept
+
+
+def test_rare_languages(docs):
+    """A language with a small share of all words has its own reference; with too few for one, the plain rules decide."""
+    rng = random.Random(5)
+    rare = "это как что для при вода камень река свет под".split()
+    clean = [(1000 + i, " ".join(rng.choice(rare) + rng.choice(["", "", "ом", "ев"]) for _ in range(300)), "ru") for i in range(12)]
+    few = [(2000 + i, " ".join(rng.choice("και το να με από νερό πέτρα".split()) + rng.choice(["", "ς", "ν"]) for _ in range(200)), "el") for i in range(3)]
+    rows = [(i, prose(rng, "en", 300), "en") for i in range(20)] * 420
+    junk = (3000, " ".join(f"{w}###" for w in clean[0][1].split()), "ru")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs([*rows, *clean, *few, junk])).collect()}
+    assert all(got[k] for k, _, _ in [*rows[:20], *clean, *few]) and not got[3000]
