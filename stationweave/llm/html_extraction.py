@@ -45,6 +45,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 # How much of a text's length counts for the container one level up, and how much more <article> and <main> count.
 DECAY = 0.7
 MAIN_BONUS = 2.0
+# The most links that the text beside a container may hold to be of the same article.
+LINKED = 0.3
 
 
 class _Node:
@@ -101,7 +103,7 @@ class _Page:
             return True
         if attrs.get("role", "").lower() in ROLES:
             return True
-        if not self.by_class:
+        if not self.by_class or tag == "header":  # of the article, as others are gone
             return False
         for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
             words = _WORDS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
@@ -208,7 +210,7 @@ def _path(node: _Node) -> str:
 
 
 def _best(blocks: list[tuple[_Node, str, int]]) -> tuple[_Node | None, float]:
-    """The best container and its share of the page's scores: text counts less the further down it
+    """The article around the best container, and that one's share of the page's scores: text counts less the further down it
     stands, links don't count, and <article> and <main> count more."""
     scores: dict[_Node, float] = defaultdict(float)
     for node, text, linked in blocks:
@@ -220,7 +222,36 @@ def _best(blocks: list[tuple[_Node, str, int]]) -> tuple[_Node | None, float]:
     if not scores:
         return (blocks[0][0], 0.0) if blocks else (None, 0.0)
     top = max(scores.values())
-    return next(n for n, s in scores.items() if s == top), top / sum(scores.values())
+    return _around(next(n for n, s in scores.items() if s == top), blocks), top / sum(scores.values())
+
+
+def _around(best: _Node, blocks: list[tuple[_Node, str, int]]) -> _Node:
+    """The container of the whole article: the <article> around the best one, or else the furthest up,
+    below the body and within <main>, that only adds text with few links on each step."""
+    way, node = [best], best
+    while node.tag not in MAIN and node.parent is not None and node.parent.tag not in ("", "html", "body"):
+        node = node.parent
+        way.append(node)
+    if node.tag == "article":
+        return node
+    step: dict[_Node, int | None] = {n: i for i, n in enumerate(way)}
+    added, linked = [0] * len(way), [0] * len(way)
+    for node, text, links in blocks:
+        passed = []
+        while node is not None and node not in step:
+            passed.append(node)
+            node = node.parent
+        i = step[node] if node is not None else None
+        step.update(dict.fromkeys(passed, i))
+        if i is not None:
+            added[i] += len(text)
+            linked[i] += links
+    for i in range(1, len(way)):
+        if linked[i] > LINKED * added[i]:
+            break
+        if added[i]:
+            best = way[i]
+    return best
 
 
 def vote(html: str) -> tuple[str, float]:

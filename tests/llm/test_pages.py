@@ -97,3 +97,24 @@ def test_extraction(spark):
 def test_odd_markup_ends(html):
     text, _ = html_extraction.extract_text(html, html_extraction.vote(html)[0])
     assert isinstance(text, str)
+
+
+def paragraphs(n, size):
+    return "".join(f"<p>{('word ' * size).strip()} {i}" for i in range(n))
+
+
+@pytest.mark.parametrize("html", [
+    "<body><div class=content><div class=lead><h1>Title</h1><p>" + "lead " * 40 + "</div><div class=body>" + paragraphs(8, 20) + "</div></div>",
+    "<body><article><header class='entry-header'><h1>Title</h1></header><p>lead<div><div><div class=body>" + paragraphs(8, 20) + "</div></div></div></article>",
+    "<body><main><h1>Title</h1><p>lead<div><div class=body>" + paragraphs(8, 20) + "</div></div></main>",
+])
+def test_text_beside_the_best_container(html):
+    text, _ = html_extraction.extract_text(html, html_extraction.vote(html)[0])
+    assert text.startswith("Title\n\nlead") and text.endswith("word 7")
+
+
+def test_lists_of_links_beside_the_article_stay_out():
+    links = "".join(f"<p><a href=/{i}>another headline of this site</a>" for i in range(9))
+    html = f"<body><div class=page><div class=box>{links}</div><div class=body>{paragraphs(8, 20)}</div></div>"
+    text, _ = html_extraction.extract_text(html, html_extraction.vote(html)[0])
+    assert "headline" not in text and text.endswith("word 7")
