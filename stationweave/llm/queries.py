@@ -7,7 +7,10 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, context_tree, decontamination, html_extraction, language_id, near_dedup, quality_rules, substring_dedup, token_counts, url_filters
+from . import (
+    byte_bpe, chat_format, context_tree, decontamination, filter_audit, html_extraction, language_id, merkle_manifest, near_dedup, quality_rules, substring_dedup, token_counts,
+    url_filters,
+)
 from .common import remainder, ship, table
 
 QUERIES: dict = {}
@@ -177,3 +180,129 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, size=3, threshold=85).drop("text")
+
+
+@query(
+    r"""
+    WITH RECURSIVE doc AS (
+      SELECT doc_id, lang, n_chars, list_reduce(
+          list_prepend(4294967295, list_transform(split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc,
+        concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+          coalesce(strlen(lang) || ':' || lang, '-')) AS head, coalesce(strlen(text) || ':' || text, '-') AS tail
+      FROM documents),
+    hashed AS (
+      SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+        sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other, xor(crc, 4294967295) % 7 = 0 AS tampered
+      FROM doc),
+    leaf AS (
+      SELECT doc_id, lang, leaf, CASE WHEN tampered THEN other ELSE leaf END AS told,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+      FROM hashed),
+    level AS (
+      SELECT lang, 0 AS lvl, place, n, leaf AS node FROM leaf
+      UNION ALL
+      SELECT lang, lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM level WHERE n > 1 GROUP BY lang, lvl, place // 2, n),
+    sub AS (
+      SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM level WHERE n = 1),
+    upper AS (
+      SELECT 0 AS lvl, place, n, subroot AS node FROM sub
+      UNION ALL
+      SELECT lvl + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM upper WHERE n > 1 GROUP BY lvl, place // 2, n),
+    walk AS (
+      SELECT doc_id, lang, leaf, 0 AS lvl, place, n, '' AS siblings, told AS folded FROM leaf
+      UNION ALL
+      SELECT w.doc_id, w.lang, w.leaf, w.lvl + 1, w.place // 2, (w.n + 1) // 2, w.siblings || coalesce(s.node, ''),
+        sha256(CASE WHEN w.place % 2 = 1 THEN s.node || w.folded ELSE w.folded || coalesce(s.node, '') END)
+      FROM walk w LEFT JOIN level s ON s.lang IS NOT DISTINCT FROM w.lang AND s.lvl = w.lvl AND s.place = xor(w.place, 1)
+      WHERE w.n > 1),
+    climb AS (
+      SELECT w.doc_id, w.leaf, s.subroot, 0 AS lvl, s.place, s.n, w.siblings, w.folded
+      FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+      UNION ALL
+      SELECT c.doc_id, c.leaf, c.subroot, c.lvl + 1, c.place // 2, (c.n + 1) // 2, c.siblings || coalesce(u.node, ''),
+        sha256(CASE WHEN c.place % 2 = 1 THEN u.node || c.folded ELSE c.folded || coalesce(u.node, '') END)
+      FROM climb c LEFT JOIN upper u ON u.lvl = c.lvl AND u.place = xor(c.place, 1)
+      WHERE c.n > 1)
+    SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+    FROM climb, (SELECT node AS root FROM upper WHERE n = 1) WHERE n = 1
+    """
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(remainder("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle_manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", {"n_chars": tampered})
+    siblings = F.array_join(F.transform("proof", lambda s: F.substring(s, 2, 64)), "")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query(
+    r"""
+    WITH doc AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+    first AS (SELECT t, min(doc_id) AS least FROM doc GROUP BY t),
+    label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    judged AS (
+      SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+        CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+        + 4 * CAST(100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS INT)
+        + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > least, FALSE) AS INT) AS mask
+      FROM doc LEFT JOIN first USING (t) LEFT JOIN label USING (doc_id)),
+    mask AS (
+      SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY part, mask),
+    bit(name, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    chain AS (
+      SELECT v.name || w.name || x.name || y.name || z.name AS filter_order,
+        [v.b, w.b, x.b, y.b, z.b] AS bits
+      FROM bit v, bit w, bit x, bit y, bit z
+      WHERE v.b | w.b | x.b | y.b | z.b = 31),
+    place AS (
+      SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before
+      FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM chain)),
+    counted AS (
+      SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & own > 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0) AS toxic_lost
+      FROM mask, place GROUP BY part, filter_order, step, own, before)
+    SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+      CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+      CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM counted
+    """
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    failures = filter_audit.text_failures(docs)
+    labelled = filter_audit.with_labels(failures, table(spark, sf_dir, "labels"), good=F.col("quality") == 1, toxic=F.col("toxic") == 1)
+    return filter_audit.audit(labelled, filter_audit.TEXT_FILTERS, "part", ["good", "toxic"], "n")
+
+
+# Marks of the default template: 31, 13, 4 and 20 characters a turn by role, 3 at the start.
+@query(
+    r"""
+    WITH said AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM (SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    sized AS (
+      SELECT *, CASE role WHEN 'system' THEN 31 WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 ELSE 20 + length(role) END
+        + length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*(/?(INST|SYSTEM_PROMPT|ROLE)|/TURN)\]')) AS chars
+      FROM said)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """
+)
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BPE_RANKS)
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = said.union(spark.createDataFrame(planted, "conv_id long, turn long, role string, text string"))
+    return chat_format.read_back(chat_format.format_conversations(rows, path, public_tokenizers.PATTERN), path)
