@@ -195,8 +195,9 @@ def format_conversations(
 
     stored = settle(coded.select("conv", "role", "ids", "names", F.spark_partition_id().alias("range")).mapInArrow(laid, kind))
 
-    # Tokens in earlier ranges. Only the first and last conversation of a range can be in two of them.
-    by_range = stored.where("edge").groupBy("conv", "range").agg(F.sum(F.size("ids")).alias("n"))
+    # Tokens in earlier ranges. Only the first and last conversation of a range can be in two of them, and
+    # the last row of each is marked.
+    by_range = stored.where("edge").groupBy("conv", "range").agg(F.max(F.col("at") + F.size("ids")).alias("n"))
     whole = Window.partitionBy("conv")
     before = F.coalesce(F.sum("n").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     cut, _ = small(by_range.select("conv", "range", before.alias("before"), F.count("*").over(whole).alias("pieces")).where("pieces > 1").withColumnsRenamed({"conv": "cut_conv", "range": "cut_range"}))

@@ -112,14 +112,17 @@ def manifest(df: DataFrame, columns: Sequence[str], key: str, group: str, presen
     presented gives columns as a reader claims them to be, instead of those of df; folded_root is what
     the leaf made of them and the proof lead to, and verified says whether that is the root. Repeated rows
     are leaves each. An empty table has no rows. Other columns are ignored, whatever their names; null and
-    empty values have different leaves.
+    empty values have different leaves. key and group may have any type that casting to text and back keeps;
+    they can't be called like a column of the result.
     """
+    if len({key, group, *RESULT}) < 2 + len(RESULT):
+        raise ValueError(f"key and group need names of their own, apart from {', '.join(RESULT)}")
     claimed = dict(presented or {})
     named = {c: F.col(f"`{c}`") for c in columns}
     own, told = leaf(list(named.values())), leaf([claimed.get(c, named[c]) for c in columns])
-    # Hashes only from here on; the claimed one where it differs.
+    # Hashes only from here on, the claimed one where it differs. Stored, since finding ranges reads them once more.
     rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{group}`").alias("part"), own.alias("node"), told.alias("told"))
-    rows = rows.select("*", field(F.col("part")).alias("tree")).withColumn("told", F.nullif("told", "node"))
+    rows = settle(rows.select("*", field(F.col("part")).alias("tree")).withColumn("told", F.nullif("told", "node")))
     leaves = numbered(rows, "tree", [F.col("part").cast("string"), F.col("id"), F.col("node")])
     blocks = leaves.withColumn("block", F.shiftright("place", bits))
 
