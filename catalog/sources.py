@@ -57,6 +57,17 @@ def a1_station_csv_scan(spark, sf):
     return _summary(files.read_station_csv(spark, path, "ts").drop("__path"))
 
 
+@query(CSV_SUMMARY)
+def a1_forms_of_time_by_file(spark, sf):
+    """One station's files in ISO 8601, one's month first, one's day first; no file says which it is."""
+    root = scratch(spark)
+    df = lineitem_readings(spark, sf)
+    for flag, form in zip(FLAGS, ("yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm", "d/M/yyyy H:mm:ss")):
+        text = df.where(F.col("station_id") == flag).withColumn("ts", F.date_format("ts", form))
+        text.select("station_id", "ts", F.col(f"`{PM}`"), NO2, RH).write.option("header", True).csv(f"{root}/{flag}")
+    return _summary(files.read_station_folder(spark, root, "ts", pattern="**/*.csv"))
+
+
 @query(CSV_SUMMARY)
 def a2_folder_scan(spark, sf):
     """One folder per station and two column orders; the id comes from the folder name."""

@@ -1,21 +1,28 @@
 """Station CSV files as one readings frame.
 
-Files are listed, typed and united by Spark. Headers differ between files in order, case and
-padding, so files are grouped by header first: one reader per distinct header, then a union
-by name.
+Headers differ between files in order, case and padding, and times in form. Tasks first open every file
+for its header line only; the different headers, not the files, come to the driver. One scan then
+reads all files by position, and a table of the files says which position and which form of time holds
+for a row's file. Where all files are alike, nothing is joined.
 """
 
 from __future__ import annotations
 
 import csv
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
+from stationweave.functions import time_forms
 from stationweave.functions.names import q
-from stationweave.session import config_table
+from stationweave.functions.time_forms import TIME_FORMATS
+from stationweave.session import config_table, materialise, release
 
 # Texts read as missing, in any column.
 MISSING_TOKENS = (
@@ -23,17 +30,16 @@ MISSING_TOKENS = (
     "NULL", "null", "None", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN",
 )
 
-# Forms of a time besides ISO 8601; the first that fits counts. Ids in paths, as published archives name them.
-TIME_FORMATS = (
-    "M/d/yyyy[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]",
-)
+# Ids and years in paths, as published archives name them.
 _SITE = r"(?i)(?:^|[_-])site[_-]?([A-Za-z0-9]+)(?:[_-]|$)"
 _DIGITS = r"(?<!\d)(\d{3,})(?!\d)"
-_YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+_YEAR = r"(?<!\d)(?:19|20)\d{2}(?!\d)"
+
+_HEAD = 1 << 16  # bytes read at a time in search of a header
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/\\]+)$", 1)
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
 
 
 def file_stem(path: Column) -> Column:
@@ -86,40 +92,66 @@ def station_from_path(path: Column, mode: str = "auto", regex: str | None = None
 
 def year_from_path(path: Column) -> Column:
     """First 19xx/20xx run of the file name, else of the whole path."""
-    return F.coalesce(_found(file_name(path), _YEAR), _found(path, _YEAR)).cast("int")
+    year = F.lit(_YEAR)
+    return F.coalesce(F.regexp_substr(file_name(path), year), F.regexp_substr(path, year)).cast("int")
 
 
 def decoded(path: Column) -> Column:
     """Path as it was written; the file metadata column percent-encodes it."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
 
 
-def list_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """(path, size, modified): a distributed listing that opens no file. Hidden folders are skipped.
+@dataclass(frozen=True)
+class FileSet:
+    """Files named by roots and patterns; Spark lists them where it reads them, so no list of them exists."""
+
+    roots: tuple[str, ...]
+    recursive: bool = True
+    name: str | None = None
+    below: str | None = None  # a regular expression of whole paths
+    years: tuple[int, ...] = ()
+    exact: bool = True  # the roots exist as they are, not as patterns that may match nothing
+
+    def scan(self, reader: DataFrameReader, form: str) -> DataFrame:
+        """Rows of the files and the metadata column, narrowed by paths, which prunes files before they are opened."""
+        reader = reader.format(form).option("recursiveFileLookup", str(self.recursive).lower())
+        if self.name:
+            reader = reader.option("pathGlobFilter", self.name)
+        df = reader.load(list(self.roots))
+        path = decoded(F.col("_metadata.file_path"))
+        if self.below:
+            df = df.where(path.rlike(self.below))
+        return df.where(year_from_path(path).isin(*self.years)) if self.years else df
+
+
+def file_set(paths: str | Sequence[str], pattern: str = "*.csv", recursive: bool = True, years: Iterable[int] | None = None) -> FileSet:
+    """Files below the paths. A pattern without folders matches file names, below all folders if recursive.
 
-    A pattern without folders matches file names, below all folders if recursive. A pattern with
-    folders is taken from each path on; `**` stands for any number of folders.
+    A pattern with folders is taken from each path on; `**` stands for any number of folders.
     """
     roots = [paths] if isinstance(paths, str) else list(paths)
+    wanted = tuple(int(y) for y in years or [])
     folders, _, name = pattern.rpartition("/")
-    reader = spark.read.format("binaryFile")
-    if "**" in folders or not folders:
-        deep = recursive if not folders else True
-        listing = reader.option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", name or "*").load(roots)
-        if folders.strip("/*"):
-            # Folders between, before or after the stars are matched on the path below the roots.
-            parts = [r"(?:[^/]+/)*" if part == "**" else _glob(part) + "/" for part in folders.split("/")]
-            starts = "|".join(re.escape(_plain(root).rstrip("/")) for root in roots)
-            listing = listing.where(decoded(F.col("path")).rlike(f"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:/{{0,2}}[^/]*)?(?:{starts})/{''.join(parts)}[^/]*$"))
-    else:
-        found = [f"{root.rstrip('/')}/{pattern}" for root in roots]
-        try:
-            listing = reader.load(found)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            nothing = F.lit(None)
-            listing = spark.range(0).select(nothing.cast("string").alias("path"), nothing.cast("long").alias("length"), nothing.cast("timestamp").alias("modificationTime"))
+    if folders and "**" not in folders:
+        return FileSet(tuple(f"{root.rstrip('/')}/{pattern}" for root in roots), False, None, None, wanted, False)
+    below = None
+    if folders.strip("/*"):
+        # Folders between, before or after the stars are matched on the path below the roots.
+        parts = [r"(?:[^/]+/)*" if part == "**" else _glob(part) + "/" for part in folders.split("/")]
+        starts = "|".join(re.escape(_plain(root).rstrip("/")) for root in roots)
+        below = f"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:/{{0,2}}[^/]*)?(?:{starts})/{''.join(parts)}[^/]*$"
+    return FileSet(tuple(roots), recursive or bool(folders), name or "*", below, wanted)
+
+
+def list_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
+    """(path, size, modified): a distributed listing that opens no file. Hidden folders are skipped."""
+    try:
+        listing = file_set(paths, pattern, recursive).scan(spark.read, "binaryFile")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND" or file_set(paths, pattern, recursive).exact:
+            raise
+        nothing = F.lit(None)
+        listing = spark.range(0).select(nothing.cast("string").alias("path"), nothing.cast("long").alias("length"), nothing.cast("timestamp").alias("modificationTime"))
     return listing.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -144,47 +176,156 @@ def prune_years(files: DataFrame, years: Iterable[int] | None) -> DataFrame:
     return kept
 
 
-def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Files by their header line, read in parallel from the first block of each file."""
-    lines = (
-        spark.read.text(list(paths))
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
-        .where(F.col("file_block_start") == 0)
-        .withColumn("order", F.monotonically_increasing_id())
-    )
-    first = lines.groupBy(decoded(F.col("file_path")).alias("file_path")).agg(F.min_by("value", "order").alias("header"))
-    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
-    return {r.header.lstrip("﻿"): list(r.files) for r in grouped.collect()}
-
-
-def _split_header(header: str) -> list[str]:
-    return [name.strip() for name in next(csv.reader([header]))]
-
-
-def parsed_time(text: Column, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """A time in ISO form or in one of the formats. Text that is none of them fails the job."""
-    found = F.coalesce(text.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
-    return F.when(text.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz")).otherwise(found)
-
-
-def _typed(
-    df: DataFrame, ts: str, text: Sequence[str], declared: Sequence[str] | None = None, formats: Sequence[str] = TIME_FORMATS
-) -> DataFrame:
-    """Missing tokens to NULL, the time parsed strictly, other columns to numbers where all parse.
-
-    Declared columns are numbers without looking; text in them becomes NULL.
+def _first_line(path: str) -> str | None:
+    """First line of a file that isn't blank, compressed or not; empty without one, None if Python can't open the path."""
+    scheme, _, rest = path.partition(":")
+    try:
+        if not rest or not scheme.isalnum() or scheme == "file":
+            system, place = fs.LocalFileSystem(), unquote(urlsplit(path).path if rest else path)
+        else:
+            system, place = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+        with system.open_input_stream(place, compression="detect", buffer_size=_HEAD) as source:
+            text = b""
+            while piece := source.read(_HEAD):
+                text += piece
+                lines = text.lstrip(b"\r\n \t").splitlines(True)
+                if lines and lines[0].endswith((b"\r", b"\n")):
+                    break
+            lines = text.lstrip(b"\r\n \t").splitlines()
+            return lines[0].decode("utf-8", "replace") if lines else ""
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+def first_lines(spark: SparkSession, files: FileSet) -> DataFrame:
+    """(path, header) of every file that has a line, stored. Tasks open the listed files and read their first block.
+
+    Where Python has no access to a file system that Spark reads, the lines come from a scan instead.
     """
-    token = lambda c: F.when(~F.trim(q(c)).isin(*MISSING_TOKENS), F.trim(q(c)))
-    cells = df.select(*[token(c).alias(c) for c in df.columns])
-    others = [c for c in df.columns if c != ts and c not in text]
-    numeric = set(others)
-    if declared is None and others:
-        unparsed = [F.count_if(q(c).isNotNull() & q(c).try_cast("double").isNull()).alias(c) for c in others]
-        bad = cells.agg(*unparsed).first()
-        numeric = {c for c in others if bad[c] == 0}
-    kinds = {c: q(c).try_cast("double") if c in numeric else q(c) for c in df.columns if c != ts}
-    kinds[ts] = parsed_time(q(ts), formats)
-    return cells.select(*[kinds[c].alias(c) for c in df.columns])
+    listing = files.scan(spark.read, "binaryFile").select("path")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [_first_line(path) for path in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], names=["path", "header"])
+
+    found = materialise(listing.mapInArrow(opened, "path string, header string").select(decoded(F.col("path")).alias("path"), "header"))
+    if found.where("header IS NULL").isEmpty():
+        return found.where("header <> ''")
+    release(found)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = files.scan(spark.read, "text").select("value", decoded(F.col("_metadata.file_path")).alias("path"), place.alias("place"))
+    return materialise(lines.where(F.trim("value") != "").groupBy("path").agg(F.min_by("value", "place").alias("header")))
+
+
+def _columns_of(header: str) -> list[str]:
+    """Trimmed names; a name that comes again gets a number."""
+    names: list[str] = []
+    for name in next(csv.reader([header.lstrip("\ufeff")])):
+        name, again = name.strip(), 0
+        while (numbered := f"{name}.{again}" if again else name) in names:
+            again += 1
+        names.append(numbered)
+    return names
+
+
+def _token(cell: Column) -> Column:
+    return F.when(~F.trim(cell).isin(*MISSING_TOKENS), F.trim(cell))
+
+
+class _Scan:
+    """One scan of all files by position, with the names that each layout gives to the positions."""
+
+    def __init__(self, spark: SparkSession, files: FileSet, layouts: list[list[str]], wanted: list[str] | None):
+        self.layouts = layouts
+        self.names = [c for c in dict.fromkeys(n for names in layouts for n in names) if wanted is None or c in wanted]
+        width = max(map(len, layouts))
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+        self.rows = files.scan(reader, "csv").select(*[f"_c{i}" for i in range(width)], decoded(F.col("_metadata.file_path")).alias("__path"))
+
+    def cell(self, name: str) -> Column:
+        """The column by name: its position in the row's layout, null where that has none."""
+        at = [names.index(name) if name in names else None for names in self.layouts]
+        if len(set(at)) == 1:
+            return F.col(f"_c{at[0]}")
+        return F.coalesce(*[F.when(F.col("__layout") == i, F.col(f"_c{k}")) for i, k in enumerate(at) if k is not None])
+
+    def cells(self, files: DataFrame | None) -> DataFrame:
+        """Cleaned cells with `__path`, and what the table of files says about it."""
+        rows = self.rows if files is None else self.rows.join(files, "__path")
+        more = [c for c in rows.columns if c.startswith("__")]
+        return rows.select(*[_token(self.cell(c)).alias(c) for c in self.names], *more)
+
+
+def _readings(spark: SparkSession, files: FileSet, ts: str, station: str | None, columns: Sequence[str] | None, formats: Sequence[str] | None) -> DataFrame:
+    try:
+        heads = first_lines(spark, files)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND" or files.exact:
+            raise
+        raise FileNotFoundError(f"no file matches {files.roots}") from None
+    # As many rows as there are different headers.
+    headers = sorted(r.header for r in heads.select("header").distinct().collect())
+    if not headers:
+        years = f" of the years {sorted(files.years)}" if files.years else ""
+        raise FileNotFoundError(f"no file{years} matches {files.name or '*'!r} in {', '.join(files.roots)}")
+    layouts = []
+    for header in headers:
+        names = _columns_of(header)
+        lowered = {n.lower(): n for n in names}
+        if ts.strip().lower() not in lowered:
+            raise KeyError(f"no column {ts!r} among {names}")
+        layouts.append([ts if n == lowered[ts.strip().lower()] else n for n in names])
+    scan = _Scan(spark, files, layouts, None if columns is None else [ts, *([station] if station else []), *columns])
+
+    table, form, numeric = None, None, {c for c in scan.names if c not in (ts, station)}
+    if len(layouts) > 1:
+        numbers = config_table(spark, [(h, i) for i, h in enumerate(headers)], "header string, __layout int")
+        table = heads.join(numbers, "header").select(F.col("path").alias("__path"), "__layout")
+    given = TIME_FORMATS if formats is None else formats
+    rivals = bool(time_forms.rivals(given))
+    if rivals or columns is None:
+        by_file = materialise(_evidence(scan.cells(table), ts, sorted(numeric) if columns is None else [], given))
+        if columns is None:
+            counts = [F.sum(f"bad{i}") for i in range(len(numeric))]
+            unparsed = by_file.agg(F.lit(0), *counts).first()[1:]
+            numeric = {c for c, n in zip(sorted(numeric), unparsed) if not n}
+        if rivals:
+            chosen = materialise(time_forms.decided(by_file, given, "__layout", formats is not None).select("__path", "__layout", "form", "stranger"))
+            _check_forms(chosen)
+            found = [r.form for r in chosen.select("form").distinct().collect()]
+            if len(found) == 1:
+                form = found[0]
+            else:
+                table, form = chosen.select("__path", "__layout", "form").withColumnRenamed("form", "__form"), F.col("__form")
+            if form is found[0]:
+                release(chosen)
+        release(by_file)
+    cells = scan.cells(table)
+    kinds = {c: q(c).try_cast("double") if c in numeric else q(c) for c in scan.names if c != ts}
+    kinds[ts] = time_forms.read_time(q(ts), given, form)
+    return cells.select(*[kinds[c].alias(c) for c in scan.names], "__path")
+
+
+def _evidence(cells: DataFrame, ts: str, numbers: Sequence[str], formats: Sequence[str]) -> DataFrame:
+    """Per file: the forms its times fit, and how many cells of each column are no numbers."""
+    layout = F.col("__layout") if "__layout" in cells.columns else F.lit(0)
+    told = time_forms.evidence(cells.withColumn("__layout", layout), q(ts), formats)
+    bad = [F.count_if(q(c).isNotNull() & q(c).try_cast("double").isNull()).alias(f"bad{i}") for i, c in enumerate(numbers)]
+    return told.withColumn("__text", q(ts)).groupBy("__path", "__layout").agg(*time_forms.gathered("__text"), *bad)
+
+
+def _check_forms(files: DataFrame) -> None:
+    """Every file has one form of time that all its rows fit."""
+    wrong = files.where("form IS NULL OR form < 0").orderBy("__path").first()
+    if wrong is None:
+        return
+    if wrong.stranger is not None:
+        raise ValueError(f"not a time: {wrong.stranger} in {wrong['__path']}")
+    if wrong.form is None:
+        raise ValueError(f"the times of {wrong['__path']} contradict each other: no form fits all of them")
+    raise ValueError(f"the times of {wrong['__path']} can be read month first or day first; name the form in `formats`")
 
 
 def read_station_csv(
@@ -193,33 +334,17 @@ def read_station_csv(
     ts: str = "ts",
     station: str | None = "station_id",
     columns: Sequence[str] | None = None,
-    formats: Sequence[str] = TIME_FORMATS,
+    formats: Sequence[str] | None = None,
 ) -> DataFrame:
     """Readings of the files with trimmed headers, the time column found in any case, and `__path`.
 
-    `columns`, where given, are the numeric columns to read; this avoids the pass that finds
-    out which columns are numeric.
+    `columns`, where given, are the numeric columns to read; this avoids the pass that finds out which
+    columns are numeric. All times of a file are read in one form: ISO 8601 or one of `formats`. Without
+    `formats` a file that is both month first and day first to read takes the form that all other files of
+    its layout allow, and is an error if that doesn't decide; with `formats` the first that fits counts.
     """
-    files = [paths] if isinstance(paths, str) else list(paths)
-    frames = []
-    for header, members in sorted(_headers(spark, files).items()):
-        names = _split_header(header)
-        lowered = {n.lower(): n for n in names}
-        if ts.strip().lower() not in lowered:
-            raise KeyError(f"no column {ts!r} among {names}")
-        actual = lowered[ts.strip().lower()]
-        renamed = [ts if n == actual else n for n in names]
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(members)
-        named = raw.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(renamed)], decoded(F.col("_metadata.file_path")).alias("__path"))
-        if columns is not None:
-            keep = [c for c in renamed if c in (ts, station) or c in columns]
-            named = named.select(*[q(c) for c in keep], "__path")
-        frames.append(named)
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame, allowMissingColumns=True)
-    return _typed(united, ts, [c for c in (station, "__path") if c], columns, formats)
+    files = FileSet(tuple([paths] if isinstance(paths, str) else paths), False)
+    return _readings(spark, files, ts, station, columns, formats)
 
 
 def read_station_folder(
@@ -233,14 +358,10 @@ def read_station_folder(
     station_regex: str | None = None,
     years: Iterable[int] | None = None,
     columns: Sequence[str] | None = None,
-    formats: Sequence[str] = TIME_FORMATS,
+    formats: Sequence[str] | None = None,
 ) -> DataFrame:
     """All matching files below a folder; a station column in a file wins over its path."""
-    files = prune_years(list_files(spark, folder, pattern, recursive="**" in pattern), years)
-    paths = [r.path for r in files.select("path").orderBy("path").collect()]
-    if not paths:
-        raise FileNotFoundError(f"no file matches {pattern!r} in {folder}")
-    df = read_station_csv(spark, paths, ts, station, columns, formats)
+    df = _readings(spark, file_set(folder, pattern, "**" in pattern, years), ts, station, columns, formats)
     if (sort_col or ts) not in df.columns:
         raise KeyError(f"sort column {sort_col!r} is not in the files")
     inferred = station_from_path(F.col("__path"), station_from, station_regex, folder)
@@ -256,9 +377,10 @@ def read_station_file(
     station_from: str = "auto",
     station_regex: str | None = None,
     years: Iterable[int] | None = None,
+    formats: Sequence[str] | None = None,
 ) -> DataFrame:
     """One file with a station column, or with its id taken from the path; years filter the rows."""
-    df = read_station_csv(spark, path, ts, station)
+    df = read_station_csv(spark, path, ts, station, formats=formats)
     root = path.replace("\\", "/").rpartition("/")[0] or None
     given = q(station).cast("string") if station in df.columns else F.lit(None).cast("string")
     out = df.withColumn(station, F.coalesce(given, station_from_path(F.col("__path"), station_from, station_regex, root)))
@@ -273,19 +395,19 @@ def read_station_mapping(
     station: str = "station_id",
     root: str | None = None,
     years: Iterable[int] | None = None,
+    formats: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Explicit file lists per station; the mapping's id replaces any station column."""
+    """Explicit file lists per station, as the caller's configuration has them; the mapping's id replaces any station column."""
     full = lambda p: p if root is None or p.startswith("/") or "://" in p else f"{root.rstrip('/')}/{p}"
     pairs = [(full(f), str(s)) for s, files in station_files.items() for f in files]
-    table = config_table(spark, pairs, "path string, mapped string")
-    table = prune_years(table, years)
-    kept = table.collect()
-    if not kept:
+    if not pairs:
         raise FileNotFoundError("the station mapping names no files")
-    df = read_station_csv(spark, [r.path for r in kept], ts, station)
+    # The scan leaves out files of other years by their paths.
+    named = replace(FileSet(tuple(dict.fromkeys(p for p, _ in pairs)), False), years=tuple(int(y) for y in years or []))
+    df = _readings(spark, named, ts, station, None, formats)
     # Paths come back as URIs; compare the part after the scheme.
     plain = lambda c: F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/{0,2}(?=/)", "")
-    mapping = table.select(plain(F.col("path")).alias("__plain"), "mapped")
+    mapping = config_table(spark, pairs, "path string, mapped string").select(plain(F.col("path")).alias("__plain"), "mapped")
     joined = df.withColumn("__plain", plain(F.col("__path"))).join(mapping, "__plain")
     return joined.withColumn(station, F.col("mapped")).drop("mapped", "__plain", "__path")
 

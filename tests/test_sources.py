@@ -38,13 +38,61 @@ def test_bad_time_fails(spark, tmp_path):
         files.read_station_csv(spark, path).collect()
 
 
-@pytest.mark.parametrize("text", ["2024-01-02 10:00:00", "2024-01-02T10:00", "01-02-2024 10:00", "1/2/2024 10:00", "2024/01/02 10:00:00", "2.1.2024 10:00"])
-def test_forms_of_time(spark, tmp_path, text):
-    path = write(tmp_path, "x.csv", f"ts,station_id,a\n{text},s,1\n13-02-2024,s,2\n")
-    rows = files.read_station_csv(spark, path).orderBy("ts").collect()
-    assert [str(r.ts) for r in rows] == ["2024-01-02 10:00:00", "2024-02-13 00:00:00"]
-    first = files.read_station_csv(spark, path, formats=("d-M-yyyy[ H:mm]", "d/M/yyyy H:mm", "yyyy/M/d H:mm:ss", "d.M.yyyy H:mm")).collect()
-    assert {str(r.ts)[:10] for r in first} <= {"2024-01-02", "2024-02-01", "2024-02-13"}
+@pytest.mark.parametrize(
+    "text, other, found",
+    [
+        ("2024-01-02 10:00:00", "2024-02-13", "2024-01-02 10:00:00"), ("2024-01-02T10:00", "2024-02-13T00:00", "2024-01-02 10:00:00"),
+        ("2/1/2024 10:00", "13/2/2024", "2024-01-02 10:00:00"), ("01/02/2024 10:00", "02/13/2024", "2024-01-02 10:00:00"),
+        ("02-01-2024 10:00", "13-02-2024", "2024-01-02 10:00:00"), ("2024/01/02 10:00:00", "2024/2/13", "2024-01-02 10:00:00"), ("2.1.2024 10:00", "13.2.2024 0:00", "2024-01-02 10:00:00"),
+    ],
+)
+def test_one_form_of_time_for_a_file(spark, tmp_path, text, other, found):
+    path = write(tmp_path, "x.csv", f"ts,station_id,a\n{text},s,1\n,s,2\n{other},s,3\nNA,s,4\n")
+    rows = files.read_station_csv(spark, path).orderBy("a").collect()
+    assert [str(r.ts) for r in rows] == [found, "None", "2024-02-13 00:00:00", "None"]
+
+
+def test_times_that_contradict_each_other(spark, tmp_path):
+    for i, pair in enumerate([("13/02/2024", "02/13/2024"), ("2024-01-02", "13-02-2024"), ("1/2/2024", "1-2-2024"), ("13/13/2024", "1/1/2024")]):
+        path = write(tmp_path, f"x{i}.csv", "ts,a\n" + "".join(f"{t},1\n" for t in pair))
+        with pytest.raises(ValueError, match="contradict" if i < 3 else "not a time: 13/13/2024"):
+            files.read_station_csv(spark, path)
+
+
+def test_times_that_nothing_decides(spark, tmp_path):
+    """Told by the other files of the layout, else by the caller, else an error; one reading in two forms is none."""
+    open_file = write(tmp_path, "open.csv", "ts,a\n02/03/2024,1\n04/04/2024,2\n")
+    with pytest.raises(ValueError, match="day first"):
+        files.read_station_csv(spark, open_file)
+    read = lambda paths, **kw: sorted(str(r.ts)[:10] for r in files.read_station_csv(spark, paths, **kw).collect())
+    assert read(open_file, formats=("d/M/yyyy",)) == read(open_file, formats=("d/M/yyyy", "M/d/yyyy")) == ["2024-03-02", "2024-04-04"]
+    assert read(open_file, formats=("M/d/yyyy", "d/M/yyyy")) == ["2024-02-03", "2024-04-04"]
+    late = write(tmp_path, "late.csv", "ts,a\n25/12/2023,1\n")
+    assert read([open_file, late]) == ["2023-12-25", "2024-03-02", "2024-04-04"]
+    other_layout = write(tmp_path, "other.csv", "a,ts\n1,12/25/2023\n")
+    assert read([open_file, late, other_layout]) == ["2023-12-25", "2023-12-25", "2024-03-02", "2024-04-04"]
+    with pytest.raises(ValueError, match="day first"):
+        read([open_file, late, write(tmp_path, "early.csv", "ts,a\n12/25/2023,1\n")])
+    same = write(tmp_path, "same.csv", "ts,a\n05/05/2024,1\n")
+    assert read(same) == ["2024-05-05"]
+    with pytest.raises(Exception, match="not a time: 13/25/2024"):
+        read(write(tmp_path, "bad.csv", "ts,a\n13/25/2024,1\n"), formats=("d/M/yyyy",), columns=["a"])
+
+
+def test_many_files_in_one_scan(spark, tmp_path):
+    """Three layouts and three forms, big and empty files: one scan of data, every header read without reading on."""
+    for i in range(12):
+        day = f"{i + 13}"
+        text = [f"ts,v\n2024-01-{day},{i}\n", f"v,TS ,w\n{i},{day}/01/2024,{-i}\n", f"w,v,ts\n{-i},{i},01/{day}/2024\n"][i % 3]
+        write(tmp_path, f"d{i % 4}/station_{i + 100}.csv", text + ("\n" * (i % 2)))
+    write(tmp_path, "d0/empty.csv", "")
+    write(tmp_path, "d0/station_999.csv", "ts,v\n" + "2024-03-01 00:00:00,7\n" * 60_000)
+    df = files.read_station_folder(spark, str(tmp_path), pattern="**/*.csv", station_from="filename")
+    assert df.columns == ["ts", "v", "w", "station_id"]
+    assert str(df._jdf.queryExecution().optimizedPlan()).count(" csv") == 1
+    small = {r.station_id: (str(r.ts)[:10], r.v, r.w) for r in df.where("station_id <> '999'").collect()}
+    assert small == {str(i + 100): (f"2024-01-{i + 13}", float(i), None if i % 3 == 0 else float(-i)) for i in range(12)}
+    assert df.where("station_id = '999'").count() == 60_000
 
 
 @pytest.mark.parametrize(
