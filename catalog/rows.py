@@ -250,7 +250,7 @@ def m4_linear_regression(spark, sf):
 
 def _forest(spark, sf, algorithm: str) -> DataFrame:
     train, test, t = _two(spark, sf)
-    model = models.fit_model(train, sv.feature_names(t), sv.target_names(t), algorithm, {"n_estimators": 20, "max_depth": 5})
+    model = models.fit_model(train, sv.feature_names(t), sv.target_names(t), algorithm)
     return model.evaluate(test).withColumn("algorithm", F.lit(algorithm))
 
 
@@ -273,10 +273,20 @@ def m5_fit_two_targets(spark, sf):
     return model.evaluate(rows).withColumn("features", F.lit(",".join(model.features)))
 
 
+@query()
+def m5_joint_forest(spark, sf):
+    """One forest of extra trees for two targets: every cut is judged by both."""
+    t = task(2, 1, (PM, NO2))
+    rows = materialise(sv.supervised_frame(lineitem_readings(spark, sf), t))
+    early = F.year("prediction_time") < 2001
+    model = models.fit_model(rows.where(early), sv.feature_names(t), sv.target_names(t), "extra_trees")
+    return model.evaluate(rows.where(~early))
+
+
 @query()
 def m6_predict(spark, sf):
     train, test, t = _two(spark, sf)
-    model = models.fit_model(train, sv.feature_names(t), sv.target_names(t), "random_forest", {"n_estimators": 10, "max_depth": 4})
+    model = models.fit_model(train, sv.feature_names(t), sv.target_names(t), "random_forest")
     return model.predict(test)
 
 
@@ -322,7 +332,7 @@ def m8_batch_scoring(spark, sf):
 def m12_tuning_trials(spark, sf):
     """Depth and seeds of a forest tried on the validation year."""
     df = lineitem_readings(spark, sf)
-    spec = ModelSpec("random_forest", {"n_estimators": 5, "random_state": [1, 2]}, search="grid", param_grid={"max_depth": [2, 4]})
+    spec = ModelSpec("random_forest", {"random_state": [1, 2]}, search="grid", param_grid={"max_depth": [10, None]})
     return evaluate.train(df, SPEC, spec).trials
 
 
@@ -330,7 +340,7 @@ def m12_tuning_trials(spark, sf):
 def m13_final_fit(spark, sf):
     """The best parameters refitted on all training rows; predictions of the training window."""
     df = lineitem_readings(spark, sf)
-    spec = ModelSpec("random_forest", {"n_estimators": 5}, search="random", max_trials=2, param_grid={"max_depth": [2, 3, 4]})
+    spec = ModelSpec("random_forest", search="random", max_trials=2, param_grid={"max_depth": [10, 20, None]})
     trained = evaluate.train(df, SPEC, spec)
     return trained.model.evaluate(trained.prepared.normalized)
 
@@ -355,16 +365,14 @@ def m14_cross_validation_fold(spark, sf):
 def m14_cross_validation(spark, sf):
     folds = [{"train_periods": [str(y)], "validation_periods": [str(y + 1)]} for y in (1996, 1997, 1998)]
     _, scored = evaluate.cross_validation(
-        lineitem_readings(spark, sf), SPEC, ModelSpec("random_forest", {"n_estimators": 5, "max_depth": 3}), folds
+        lineitem_readings(spark, sf), SPEC, ModelSpec("random_forest"), folds
     )
     return scored
 
 
-@query()
+@query(f"SELECT station_id, count(*) AS n, count(*) AS pm_present, count(*) AS no2_present FROM ({READINGS}) GROUP BY station_id")
 def m15_forest_imputation(spark, sf):
-    filled, _ = impute.impute_forest(
-        lineitem_readings(spark, sf), [PM, NO2], ("ts",), station="station_id", params={"n_estimators": 5, "max_depth": 4}
-    )
+    filled, _ = impute.impute_forest(lineitem_readings(spark, sf), [PM, NO2], ("ts",), station="station_id")
     return filled.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("n"), F.count(q(PM)).alias("pm_present"), F.count(NO2).alias("no2_present")
     )
@@ -375,10 +383,49 @@ def m15_forest_imputation(spark, sf):
     f"2 AS n_features FROM ({READINGS}) GROUP BY station_id"
 )
 def m15_forest_imputation_details(spark, sf):
-    _, details = impute.impute_forest(
-        lineitem_readings(spark, sf), [PM], ("ts",), station="station_id", params={"n_estimators": 2, "max_depth": 2}
+    _, details = impute.impute_forest(lineitem_readings(spark, sf), [PM], ("ts",), station="station_id")
+    return details.withColumn("n_features", F.size("selected_features")).drop("selected_features", "feature_correlations")
+
+
+@query(
+    f"""WITH r AS ({READINGS})
+    SELECT station_id, "column", feature, round(c, 5) + 0.0 AS corr FROM (
+      SELECT station_id, 'PM2.5' AS "column", 'NO2' AS feature, corr("PM2.5", "NO2") FILTER ("PM2.5" IS NOT NULL AND "NO2" IS NOT NULL) AS c FROM r GROUP BY 1
+      UNION ALL SELECT station_id, 'PM2.5', 'RH', corr("PM2.5", "RH") FILTER ("PM2.5" IS NOT NULL) FROM r GROUP BY 1)"""
+)
+def m15_feature_correlations(spark, sf):
+    """What each station's forest looks at, and how strongly it goes with the target."""
+    _, details = impute.impute_forest(lineitem_readings(spark, sf), [PM], ("ts",), station="station_id", params={"n_estimators": 10})
+    return rounded(details.select("station_id", "column", F.explode("feature_correlations").alias("feature", "corr")), 5)
+
+
+@query(
+    "WITH r AS (" + READINGS.replace("l_returnflag", "l_suppkey::VARCHAR") + """)
+    SELECT station_id, count(*) AS n, count(*) AS pm_present, count(*) FILTER ("PM2.5" IS NULL) AS filled, TRUE AS within FROM r GROUP BY station_id"""
+)
+def m15_many_stations(spark, sf):
+    """Every supplier's gaps filled by its own forest, in one plan; a forest stays between the values it has seen."""
+    df = lineitem_readings(spark, sf, "l_suppkey").withColumn("was", F.col(f"`{PM}`"))
+    filled, _ = impute.impute_forest(df, [PM], ("ts", "was"), station="station_id")
+    made = F.col("was").isNull()
+    value = F.col(f"`{PM}`")
+    found = filled.groupBy("station_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("pm_present"),
+        F.count_if(made).alias("filled"),
+        (F.coalesce(F.min(F.when(made, value)), F.min("was")) >= F.min("was")).alias("low"),
+        (F.coalesce(F.max(F.when(made, value)), F.max("was")) <= F.max("was")).alias("high"),
     )
-    return details.withColumn("n_features", F.size("selected_features")).drop("selected_features")
+    return found.select("station_id", "n", "pm_present", "filled", (F.col("low") & F.col("high")).alias("within"))
+
+
+@query(
+    f"""SELECT 'PM2.5' AS "column", count(DISTINCT station_id) AS stations, (count(*) FILTER ("PM2.5" IS NULL))::BIGINT AS missing_before, 0::BIGINT AS missing_after,
+    'per_station' AS method FROM ({READINGS})"""
+)
+def m15_imputation_totals(spark, sf):
+    _, details = impute.impute_forest(lineitem_readings(spark, sf), [PM], ("ts",), station="station_id", params={"n_estimators": 10})
+    return impute.imputation_totals(details)
 
 
 @query(

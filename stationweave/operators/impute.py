@@ -1,21 +1,23 @@
-"""Filling gaps in target columns with a forest on the best-correlated other columns."""
+"""Filling gaps in target columns with a forest on the best-correlated other columns, for all stations at once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationweave.functions.names import clean_double, q
 from stationweave.functions.quantiles import quantile_columns
 from stationweave.operators.clean import is_missing, missing_by_station
-from stationweave.operators.models import fit_model
+from stationweave.operators.forests import apply_forests, fit_forests
 from stationweave.operators.profile import correlation, numeric_columns
-from stationweave.operators.tuning import in_threads
+from stationweave.operators.trees import ForestSpec
 from stationweave.session import config_table, materialise, release
 
-PLAN_SCHEMA = "station_id string, column string, method string, selected_features array<string>, missing_before long"
-_ONE = "__one__"
+DETAILS = "station_id string, column string, method string, selected_features array<string>, feature_correlations map<string,double>, missing_before long"
+ONE = "__all__"  # the station of a frame that is filled as a whole
+_KEY = "__station"
 
 
 def impute_forest(
@@ -25,104 +27,94 @@ def impute_forest(
     top_k: int = 3,
     station: str | None = None,
     params: dict | None = None,
-    parallelism: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(filled frame, details): each (station, target) with gaps gets its own forest.
 
-    Feature gaps take the station's median over rows whose target is known. Without usable
-    features, or with fewer than two known values, the target's own median fills the gaps.
-    Targets are filled one after the other, so a later target sees the earlier ones filled.
-    Correlations, medians and counts of all stations come from shared passes; only the fits
-    are per station, each distributed over that station's rows.
+    Feature gaps take the station's median over rows whose target is known. Without usable features, or
+    with fewer than two known values, the target's own median fills the gaps. Targets are filled one after
+    the other, so a later target sees the earlier ones filled. What a station needs, its features, medians
+    and counts, is a row of a table; the stations' forests are fitted and applied in one plan per target.
     """
-    key = "__station"
-    current = df.withColumn(key, q(station).cast("string") if station else F.lit(_ONE))
-    skip = {*exclude, key, *( [station] if station else [] )}
+    spec = ForestSpec.of("random_forest", params)
+    current = materialise(df.withColumn(_KEY, q(station).cast("string") if station else F.lit(ONE)))
+    skip = {*exclude, _KEY, *([station] if station else [])}
     numeric = [c for c in numeric_columns(df) if c not in skip]
-    order = {c: i for i, c in enumerate(numeric)}
-    ranked: dict[tuple[str, str], list[str]] = {}
-    # One row per station and column pair.
-    for r in correlation(current, numeric, [key]).where(F.col("col_a") != F.col("col_b")).collect():
-        ranked.setdefault((r[key], r["col_a"]), []).append((-abs(r["corr"]), order[r["col_b"]], r["col_b"]))
-        ranked.setdefault((r[key], None), []).append(r["col_b"])
-
-    details: list[tuple] = []
-    stored: list[DataFrame] = []
+    related = materialise(correlation(current, numeric, [_KEY]))
+    done: list[tuple[str, DataFrame]] = []
     for target in [t for t in targets if t in df.columns]:
-        counts = {
-            r[key]: (r.known, r.gaps)
-            for r in current.groupBy(key)
-            .agg(F.count_if(~is_missing(current, target)).alias("known"), F.count_if(is_missing(current, target)).alias("gaps"))
-            .collect()
-        }
-        todo = [s for s, (_, gaps) in sorted(counts.items()) if gaps]
-        if not todo:
+        plan = materialise(_plan(current, related, target, numeric, top_k))
+        if plan.isEmpty():
+            release(plan)
             continue
-        chosen = {s: _features(ranked, s, target, order, top_k) for s in todo}
-        medians = _medians(current, target, numeric, key)
-        current = materialise(current)
-        stored.append(current)
-        forests = [s for s in todo if chosen[s] and counts[s][0] >= 2]
-
-        def inputs(rows: DataFrame, s: str) -> DataFrame:
-            return rows.withColumns({f"__i{i}": _filled(f, medians[s].get(f)) for i, f in enumerate(chosen[s])})
-
-        def train(s: str, source: DataFrame = current, target: str = target):
-            known = source.where((F.col(key) == s) & ~is_missing(source, target))
-            rows = inputs(known, s).withColumn("__y", clean_double(q(target)))
-            return fit_model(rows, [f"__i{i}" for i in range(len(chosen[s]))], ["__y"], "random_forest", params)
-
-        models = dict(zip(forests, in_threads(df.sparkSession, train, forests, parallelism))) if forests else {}
-
-        gaps = current.where(is_missing(current, target))
-        parts = [current.where(~is_missing(current, target))]
-        for s, model in models.items():
-            scored = model.predict(inputs(gaps.where(F.col(key) == s), s))
-            parts.append(scored.withColumn(target, F.col("prediction")).select(*[q(c) for c in current.columns]))
-        rest = gaps.where(~F.col(key).isin(*models)) if models else gaps
-        fallback = {s: medians.get(s, {}).get(target) for s in todo if s not in models}
-        for s, value in fallback.items():
-            if value is None and chosen[s]:
-                fallback[s] = 0.0
-        if fallback:
-            table = config_table(df.sparkSession, list(fallback.items()), f"{key} string, __fill double")
-            parts.append(
-                rest.join(table, key, "left").withColumn(target, F.col("__fill")).select(*[q(c) for c in current.columns])
-            )
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        current = merged
-        for s in todo:
-            details.append((s, target, "random_forest" if s in models else "median_fallback", chosen[s], counts[s][1]))
-    current = materialise(current)
-    for frame in stored:
-        release(frame)
-    done = list(dict.fromkeys(d[1] for d in details))
-    rows = config_table(df.sparkSession, details, PLAN_SCHEMA)
-    left = missing_by_station(current, done or list(numeric[:1]), key).select("station_id", "column", F.col("missing_before").alias("missing_after"))
-    counted = rows.join(left, ["station_id", "column"], "left").withColumn("station_id", F.col("station_id") if station else F.lit("__all__"))
-    return current.drop(key), counted.select("station_id", "column", "method", "selected_features", "missing_before", "missing_after")
-
-
-def _features(ranked: dict, station: str, target: str, order: dict[str, int], top_k: int) -> list[str]:
-    """Best-correlated columns first; a target without any correlation takes columns in frame order."""
-    if (station, target) in ranked:
-        names = [name for _, _, name in sorted(ranked[(station, target)])]
-    else:
-        names = sorted(set(ranked.get((station, None), [])) - {target}, key=order.__getitem__)
-    return names[: max(1, min(top_k, len(names)))]
-
-
-def _medians(df: DataFrame, target: str, numeric: Sequence[str], key: str) -> dict[str, dict[str, float]]:
-    """Medians per station over the rows whose target is known: one row per station and column."""
-    known = df.where(~is_missing(df, target))
-    names = list(dict.fromkeys([*numeric, target]))
-    out: dict[str, dict[str, float]] = {}
-    for r in quantile_columns(known, names, [0.5], [key]).collect():
-        out.setdefault(r[key], {})[r["column"]] = r["quantiles"][0]
+        filled = _filled(current, plan, target, numeric, spec)
+        release(current)
+        current = filled
+        done.append((target, plan))
+    release(related)
+
+    rows = [plan.select(F.col(_KEY).alias("station_id"), F.lit(t).alias("column"), "method", "selected_features", "feature_correlations", F.col("gaps").alias("missing_before")) for t, plan in done]
+    details = reduce(DataFrame.unionByName, rows, config_table(df.sparkSession, [], DETAILS))
+    names = [t for t, _ in done] or numeric[:1]
+    left = missing_by_station(current, names, _KEY).select("station_id", "column", F.col("missing_before").alias("missing_after"))
+    return current.drop(_KEY), details.join(left, ["station_id", "column"], "left") if done else details.withColumn("missing_after", F.lit(0).cast("long"))
+
+
+def imputation_totals(details: DataFrame) -> DataFrame:
+    """Per column over all stations that had gaps in it: stations, gaps before and after."""
+    totals = details.groupBy("column").agg(F.count("*").alias("stations"), F.sum("missing_before").alias("missing_before"), F.sum("missing_after").alias("missing_after"))
+    return totals.withColumn("method", F.lit("per_station"))
+
+
+def _plan(df: DataFrame, related: DataFrame, target: str, numeric: Sequence[str], top_k: int) -> DataFrame:
+    """One row per station with gaps: its features with their correlations, medians, and how its gaps are filled."""
+    gone = is_missing(df, target)
+    counts = df.groupBy(_KEY).agg(F.count_if(~gone).alias("known"), F.count_if(gone).alias("gaps")).where("gaps > 0")
+    # Best-correlated columns first; a target without any correlation takes columns in frame order.
+    others = related.where(F.col("col_a") != target).select(_KEY, F.col("col_a").alias("feature")).distinct()
+    own = related.where((F.col("col_a") == target) & (F.col("col_b") != target)).select(_KEY, F.col("col_b").alias("feature"), "corr")
+    place = F.array_position(F.array(*map(F.lit, numeric)), F.col("feature"))
+    entry = F.struct((-F.abs(F.coalesce("corr", F.lit(0.0)))).alias("worth"), place.alias("place"), "feature", F.coalesce("corr", F.lit(0.0)).alias("corr"))
+    ranked = others.join(own, [_KEY, "feature"], "left").groupBy(_KEY).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, max(1, top_k)).alias("best"))
+    known = df.where(~gone)
+    medians = quantile_columns(known, list(dict.fromkeys([*numeric, target])), [0.5], [_KEY])
+    mapped = medians.groupBy(_KEY).agg(F.map_from_entries(F.collect_list(F.struct("column", F.get("quantiles", F.lit(0))))).alias("medians"))
+    joined = counts.join(ranked, _KEY, "left").join(mapped, _KEY, "left")
+    best = F.coalesce("best", F.array().cast("array<struct<worth: double, place: bigint, feature: string, corr: double>>"))
+    features = F.transform(best, lambda b: b["feature"])
+    forest = (F.size(features) > 0) & (F.col("known") >= 2)
+    median = F.try_element_at("medians", F.lit(target))
+    return joined.select(
+        _KEY,
+        "gaps",
+        features.alias("selected_features"),
+        F.map_from_entries(F.transform(best, lambda b: F.struct(b["feature"], b["corr"]))).alias("feature_correlations"),
+        F.transform(features, lambda f: F.coalesce(F.try_element_at("medians", f), F.lit(0.0))).alias("fills"),
+        forest.alias("forest"),
+        F.when(forest, "random_forest").otherwise("median_fallback").alias("method"),
+        F.coalesce(median, F.when(F.size(features) > 0, 0.0)).alias("fallback"),
+    )
+
+
+def _value_of(feature: Column, numeric: Sequence[str]) -> Column:
+    return F.coalesce(*[F.when(feature == c, clean_double(q(c))) for c in numeric], F.lit(None).cast("double"))
+
+
+def _filled(df: DataFrame, plan: DataFrame, target: str, numeric: Sequence[str], spec: ForestSpec) -> DataFrame:
+    """df with the target's gaps filled by the plan of each row's station, stored."""
+    gone = is_missing(df, target)
+    # One row per station; joined by its size, not by hint.
+    joined = df.join(plan.select(_KEY, "selected_features", "fills", "forest", "fallback"), _KEY)
+    x = F.zip_with("selected_features", "fills", lambda f, fill: F.coalesce(_value_of(f, numeric), fill)).alias("x")
+    train = joined.where(F.col("forest") & ~gone)
+    rows = materialise(train.select(F.col(_KEY).alias("key"), x, F.array(clean_double(q(target))).alias("y")))
+    trees = fit_forests(rows, [spec])
+    release(rows)
+    columns = [q(c) for c in df.columns]
+    gaps = materialise(joined.where(gone).select(*columns, x.alias("__x"), "forest", "fallback"))
+    scored = apply_forests(gaps, trees, [spec], 1, _KEY, "__x", "__made")
+    value = F.when(F.col("forest"), F.get("__made", F.lit(0))).otherwise(F.col("fallback"))
+    filled = scored.withColumn(target, value).select(*columns)
+    out = materialise(df.where(~gone).withColumn(target, q(target).cast("double")).unionByName(filled))
+    release(gaps)
+    release(trees)
     return out
-
-
-def _filled(column: str, median: float | None) -> Column:
-    return F.coalesce(clean_double(q(column)), F.lit(median).cast("double"), F.lit(0.0))

@@ -1,8 +1,7 @@
-"""Regressors from a small registry, fitted per target on data that stays distributed."""
+"""Regressors by name, fitted on data that stays distributed: own forests, or any estimator of Spark ML."""
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from importlib import import_module
@@ -11,72 +10,21 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from stationweave.functions.names import q
+from stationweave.operators.forests import apply_forest, fit_forests, single_group
 from stationweave.operators.metrics import score
+from stationweave.operators.trees import KINDS, ForestSpec
+from stationweave.session import materialise, release
 from stationweave.specs import ModelSpec
 
-LOG = logging.getLogger("stationweave")
-
-# Default parameters of the two built-in forests.
-FOREST_DEFAULTS = {"n_estimators": 100, "random_state": 42}
-# The deepest tree that Spark ML can grow. Asking for more is an error; asking for none means this depth.
-DEEPEST = 30
-
-# Parameters that steer threads and logging only. Any other without a counterpart is an error.
-_WITHOUT_EFFECT = {"n_jobs", "verbose"}
-
-
-def _max_features(value: Any) -> str:
-    return {None: "all", "sqrt": "sqrt", "log2": "log2", "auto": "all"}.get(value, str(value))
-
-
-def _forest(params: dict[str, Any], **fixed: Any) -> Estimator:
-    """Random forest under the usual parameter names."""
-    p = {**FOREST_DEFAULTS, **params}
-    unknown = set(p) - _WITHOUT_EFFECT - {
-        "n_estimators", "random_state", "max_depth", "min_samples_leaf", "max_features", "max_samples", "bootstrap", "max_bins",
-    }
-    if unknown:
-        raise ValueError("unsupported forest parameters: " + ", ".join(sorted(unknown)))
-    seed = p["random_state"]
-    depth = DEEPEST if p.get("max_depth") is None else int(p["max_depth"])
-    if not 1 <= depth <= DEEPEST:
-        raise ValueError(f"max_depth is {depth}; trees here have 1 to {DEEPEST} levels")
-    options: dict[str, Any] = {
-        "numTrees": int(p["n_estimators"]),
-        "seed": int(seed[0] if isinstance(seed, (list, tuple)) else seed),
-        "maxDepth": depth,
-        "minInstancesPerNode": int(p.get("min_samples_leaf", 1)),
-        "featureSubsetStrategy": _max_features(p.get("max_features", fixed.pop("max_features", None))),
-        "subsamplingRate": float(p.get("max_samples") or 1.0),
-        "maxBins": int(p.get("max_bins", 64)),
-        "bootstrap": bool(p.get("bootstrap", fixed.pop("bootstrap", True))),
-    }
-    return RandomForestRegressor(**options, **fixed)
-
-
-def _random_forest(params: dict[str, Any]) -> Estimator:
-    return _forest(params)
-
-
-def _extra_trees(params: dict[str, Any]) -> Estimator:
-    """Approximation: every tree sees all rows once and random feature subsets, splits are best-of-bins."""
-    return _forest(params, bootstrap=False, max_features="onethird")
-
-
-REGISTRY = {"random_forest": _random_forest, "extra_trees": _extra_trees}
-
-
-def make_regressor(algorithm: str, params: dict[str, Any] | None = None) -> Estimator:
-    """Estimator by alias, or by the import path of any `pyspark.ml`-style estimator class."""
-    build = REGISTRY.get(algorithm.strip().lower())
-    if build is not None:
-        return build(dict(params or {}))
+def make_regressor(algorithm: str, params: dict[str, Any] | None = None) -> Estimator | ForestSpec:
+    """A built-in forest by alias, or an estimator by the import path of any `pyspark.ml`-style class."""
+    if algorithm.strip().lower() in KINDS:
+        return ForestSpec.of(algorithm.strip().lower(), params)
     if "." not in algorithm:
-        raise ValueError(f"unknown algorithm {algorithm!r}; use one of {sorted(REGISTRY)} or a class path")
+        raise ValueError(f"unknown algorithm {algorithm!r}; use one of {sorted(KINDS)} or a class path")
     module, _, name = algorithm.rpartition(".")
     estimator = getattr(import_module(module), name)(**(params or {}))
     if not (hasattr(estimator, "fit") and estimator.hasParam("featuresCol") and estimator.hasParam("predictionCol")):
@@ -97,17 +45,23 @@ def scalar_params(params: dict[str, Any] | None) -> dict[str, Any]:
 
 @dataclass
 class StationModel:
-    """One fitted model per target, remembering feature and target order."""
+    """What was fitted, with feature and target order: one forest for all targets, or one estimator's model for each."""
 
     features: list[str]
     targets: list[str]
     models: dict[str, Model] = field(default_factory=dict)
+    forest: DataFrame | None = None
+    spec: ForestSpec | None = None
 
     def _prediction(self, target: str) -> str:
         return "prediction" if len(self.targets) == 1 else f"prediction__{target}"
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Rows plus `prediction`, or `prediction__<target>` for several targets."""
+        if self.forest is not None:
+            aside = rows.withColumn(VECTOR, F.array(*[q(f).cast("double") for f in self.features]))
+            scored = apply_forest(aside, self.forest, [self.spec], len(self.targets), VECTOR, "__values")
+            return scored.withColumns({self._prediction(t): F.get("__values", F.lit(i)) for i, t in enumerate(self.targets)}).drop(VECTOR, "__values")
         out = assemble(rows, self.features)
         for target in self.targets:
             out = self.models[target].copy().setPredictionCol(self._prediction(target)).transform(out)
@@ -154,15 +108,29 @@ def fit_vectors(made: DataFrame, features: Sequence[str], targets: Sequence[str]
     return fitted
 
 
+def forest_rows(rows: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """What forests are fitted on, stored; rows with a gap are left out, as no tree can place them."""
+    made = single_group(rows, [q(f) for f in features], [q(t) for t in targets])
+    return materialise(made.where(F.forall(F.concat("x", "y"), lambda v: v.isNotNull() & ~F.isnan(v))))
+
+
 def fit_model(
     rows: DataFrame, features: Sequence[str], targets: Sequence[str], algorithm: str, params: dict[str, Any] | None = None
 ) -> StationModel:
-    """Fit one estimator per target on the rows."""
-    made = vectors(rows, features, targets)
+    """Fit on the rows: a forest's trees for all targets together, or one estimator per target."""
+    made = make_regressor(algorithm, scalar_params(params))
+    if isinstance(made, ForestSpec):
+        source = forest_rows(rows, features, targets)
+        forest = fit_forests(source, [made])
+        release(source)
+        if forest.isEmpty():
+            raise ValueError("there are no complete rows to fit on")
+        return StationModel(list(features), list(targets), forest=forest, spec=made)
+    shared = vectors(rows, features, targets)
     try:
-        return fit_vectors(made, features, targets, algorithm, params)
+        return fit_vectors(shared, features, targets, algorithm, params)
     finally:
-        made.unpersist()
+        shared.unpersist()
 
 
 def fit_spec(rows: DataFrame, features: Sequence[str], targets: Sequence[str], spec: ModelSpec) -> StationModel:

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stationweave.functions.choices import search_metric, search_name
 from stationweave.functions.names import q, render_params
 from stationweave.operators.metrics import HIGHER_IS_BETTER, long_metrics, score, trial_score
-from stationweave.operators.models import fit_model, fit_vectors, scalar_params, vectors
-from stationweave.session import config_table
+from stationweave.operators.forests import apply_forest, fit_forests
+from stationweave.operators.models import fit_model, fit_vectors, forest_rows, make_regressor, scalar_params, vectors
+from stationweave.operators.trees import ForestSpec
+from stationweave.session import config_table, release
 from stationweave.specs import ModelSpec
 
 def search_space(grid: dict[str, Any], params: dict[str, Any] | None = None) -> dict[str, list[Any]]:
@@ -80,8 +82,8 @@ def tune(
 ) -> tuple[dict[str, Any], DataFrame] | None:
     """(best parameters, trial table), or None when no search is configured.
 
-    Every trial is a Spark fit over the same vectors, assembled once; only scores come back to
-    the driver.
+    The forests of all trials are grown together and scored in one pass over the validation rows. Trials of
+    other estimators are Spark fits over the same vectors. Only scores come back to the driver.
     """
     search = search_name(spec.search)
     if search == "none":
@@ -94,21 +96,50 @@ def tune(
     if validation.isEmpty():
         raise ValueError("the validation periods hold no supervised rows")
 
-    made = vectors(train, features, targets)
+    made = [make_regressor(spec.algorithm, scalar_params({**base, **point})) for point in points]
+    if isinstance(made[0], ForestSpec):
+        scores = _score_forests(train, validation, features, targets, made, metric)
+    else:
+        scores = _score_fits(train, validation, features, targets, spec.algorithm, [{**base, **point} for point in points], metric, parallelism)
+    rows = [(i, len(points), float(s), render_params(p)) for i, (s, p) in enumerate(zip(scores, points), 1)]
+    trials = config_table(train.sparkSession, [(i, n, s, list(p.items())) for i, n, s, p in rows], TRIAL_SCHEMA)
+    best = best_trial(trials, metric).first().trial
+    return {**base, **points[best - 1]}, trials
+
+
+def _score_forests(train: DataFrame, validation: DataFrame, features: Sequence[str], targets: Sequence[str], specs: list[ForestSpec], metric: str) -> list[float]:
+    """One score for each spec, from one fit and one scoring job."""
+    source = forest_rows(train, features, targets)
+    trees = fit_forests(source, specs)
+    rows = validation.select(F.array(*[q(f).cast("double") for f in features]).alias("x"), F.array(*[q(t).cast("double") for t in targets]).alias("y"))
+    scored = apply_forest(rows.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))), trees, specs, len(targets))
+    cells = [
+        F.struct(F.lit(k).alias("trial"), F.lit(i).alias("target"), F.get("y", F.lit(i)).alias("actual"), F.get("predictions", F.lit(k * len(targets) + i)).alias("prediction"))
+        for k in range(len(specs))
+        for i in range(len(targets))
+    ]
+    long = scored.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    found = trial_score(long_metrics(score(long, ["trial", "target"]), [metric], ["trial", "target"]), metric, ["trial"]).collect()
+    release(source)
+    release(trees)
+    by_trial = {r.trial: r.score for r in found}
+    return [by_trial.get(k, float("nan")) for k in range(len(specs))]
+
+
+def _score_fits(
+    train: DataFrame, validation: DataFrame, features: Sequence[str], targets: Sequence[str], algorithm: str, points: list[dict[str, Any]], metric: str, parallelism: int
+) -> list[float]:
+    shared = vectors(train, features, targets)
 
     def run(point: dict[str, Any]) -> float:
-        model = fit_vectors(made, features, targets, spec.algorithm, {**base, **point})
+        model = fit_vectors(shared, features, targets, algorithm, point)
         metrics = long_metrics(model.evaluate(validation), [metric], ["target"])
         return trial_score(metrics, metric, []).first().score
 
     try:
-        scores = in_threads(train.sparkSession, run, points, parallelism)
+        return in_threads(train.sparkSession, run, points, parallelism)
     finally:
-        made.unpersist()
-    rows = [(i, len(points), float(s), render_params(p)) for i, (s, p) in enumerate(zip(scores, points), 1)]
-    trials = config_table(train.sparkSession, [(i, n, s, list(p.items())) for i, n, s, p in rows], TRIAL_SCHEMA)
-    best = best_trial(trials, metric).first().trial
-    return {**base, **points[best - 1]}, trials
+        shared.unpersist()
 
 
 def cross_validate(

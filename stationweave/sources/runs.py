@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from datetime import datetime
 from typing import Any
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stationweave.functions.names import render_params
 from stationweave.operators.models import StationModel
 from stationweave.operators.normalize import NormStats
+from stationweave.operators.trees import KINDS, ForestSpec
 from stationweave.session import config_table
 from stationweave.specs import ModelSpec, StationSpec
 
@@ -34,7 +37,11 @@ def save_run(
     created_at: datetime | None = None,
 ) -> None:
     """Store models and stats first and the run row last, so a listed run is complete."""
-    for i, target in enumerate(model.targets):
+    if model.forest is not None:
+        # One row a tree; the parameters stand beside them, so the forest is whole without its run row.
+        spec_text = json.dumps(asdict(model.spec))
+        model.forest.withColumn("spec", F.lit(spec_text)).write.mode("overwrite").parquet(f"{root}/models/{run_id}/forest")
+    for i, target in enumerate(model.targets if model.models else ()):
         PipelineModel([model.models[target]]).write().overwrite().save(f"{root}/models/{run_id}/{i}")
     if stats is not None:
         stats.to_frame(spark).write.mode("overwrite").parquet(f"{root}/normalization/{run_id}")
@@ -71,6 +78,11 @@ def load_model(spark: SparkSession, root: str, run_id: str) -> StationModel:
     if row is None:
         raise FileNotFoundError(f"no run {run_id!r} under {root}")
     model = StationModel(list(row.feature_names), list(row.target_names))
+    if row.algorithm.strip().lower() in KINDS:
+        stored = spark.read.parquet(f"{root}/models/{run_id}/forest")
+        model.spec = ForestSpec(**json.loads(stored.select("spec").first()[0]))
+        model.forest = stored.drop("spec")
+        return model
     for i, target in enumerate(model.targets):
         model.models[target] = PipelineModel.load(f"{root}/models/{run_id}/{i}").stages[0]
     return model

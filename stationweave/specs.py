@@ -75,9 +75,9 @@ class StationSpec:
 class ModelSpec:
     """Regressor alias or estimator class path, its parameters and the search over them.
 
-    The built-in forests take the usual names: n_estimators (100), random_state (42), max_depth (1 to
-    30, the deepest that Spark ML grows and the default), min_samples_leaf, max_features, max_samples,
-    bootstrap, max_bins. A deeper tree, or a parameter without a counterpart, is an error.
+    The built-in forests take the usual names: n_estimators (100), random_state (42), max_depth (as deep as
+    rows allow), min_samples_split, min_samples_leaf, max_features, max_samples, bootstrap, and max_rows, the
+    rows that one tree is fitted on at most (50,000). A parameter without a counterpart is an error.
     """
 
     algorithm: str = "random_forest"

@@ -336,6 +336,39 @@ def test_forest_imputation(readings):
     assert [(r.method, r.missing_before, r.missing_after) for r in found] == [("random_forest", 1, 0)]
 
 
+def test_forests_of_many_stations(spark, readings):
+    """Each station is filled as if it were alone, also with medians for feature gaps and features of its own."""
+    import numpy as np
+
+    from stationweave.operators.trees import ForestSpec, grow_forest
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in ("a", "b", "c", "d"):
+        for i in range(40):
+            no2, rh = rng.normal(30, 5), rng.normal(60, 9)
+            pm = 2 * no2 + rng.normal() if s in "ab" else -rh + rng.normal()
+            rows.append((f"2025-01-01 00:{i:02}:00", s, None if i % 5 == 0 and s != "d" else pm, None if i % 7 == 0 else no2, rh))
+    df = readings(rows, ("PM2.5", "NO2", "RH"))
+    filled, details = impute.impute_forest(df, ["PM2.5"], ("ts",), top_k=1, station="station_id", params={"n_estimators": 12})
+    found = {r.station_id: r for r in details.collect()}
+    assert {s: r.selected_features for s, r in found.items()} == {"a": ["NO2"], "b": ["NO2"], "c": ["RH"]}
+    assert all(abs(r.feature_correlations[r.selected_features[0]]) > 0.9 and (r.missing_before, r.missing_after) == (8, 0) for r in found.values())
+    assert impute.imputation_totals(details).first().asDict() == {"column": "PM2.5", "stations": 3, "missing_before": 24, "missing_after": 0, "method": "per_station"}
+    got = {(r.station_id, str(r.ts)): r["PM2.5"] for r in filled.collect()}
+    from zlib import crc32
+
+    for s, at in (("a", 3), ("b", 3), ("c", 4)):
+        own = [r for r in rows if r[1] == s]
+        known = [r for r in own if r[2] is not None]
+        middle = np.median([r[at] for r in known if r[at] is not None])
+        x = lambda some: np.array([[middle if r[at] is None else r[at]] for r in some])
+        trees = grow_forest(x(known), np.array([[r[2]] for r in known]), ForestSpec("random_forest", 12), range(12), crc32(s.encode()))
+        gaps = [r for r in own if r[2] is None]
+        want = np.mean([t.predict(x(gaps)) for t in trees], 0)[:, 0]
+        assert [got[s, r[0]] for r in gaps] == pytest.approx(list(want))
+
+
 def test_forest_imputation_falls_back_to_medians(readings):
     rows = [("2025-01-01", "s", 4.0, 1.0), ("2025-01-02", "s", None, 2.0), ("2025-01-01", "u", None, 3.0), ("2025-01-02", "u", None, 4.0)]
     filled, details = impute.impute_forest(readings(rows, ("PM2.5", "NO2")), ["PM2.5"], ("ts",), station="station_id")

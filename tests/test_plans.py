@@ -3,10 +3,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from stationweave.operators import models, report, tuning
+from stationweave.operators.trees import ForestSpec
 from stationweave.plans import evaluate, prepare
 from stationweave.sources import results, runs
 from stationweave.specs import ModelSpec, StationSpec
@@ -36,18 +37,17 @@ SPEC = StationSpec(
 
 
 def test_registry():
-    assert isinstance(models.make_regressor("random_forest"), RandomForestRegressor)
-    forest = models.make_regressor("Extra_Trees", {"n_estimators": 7, "max_depth": 30, "random_state": [5, 6], "n_jobs": -1})
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed(), forest.getBootstrap()) == (7, 30, 5, False)
+    assert models.make_regressor("random_forest") == ForestSpec("random_forest", 100, 42)
+    forest = models.make_regressor("Extra_Trees", {"n_estimators": 7, "max_depth": 50, "random_state": [5, 6], "n_jobs": -1, "min_samples_split": 10})
+    assert forest == ForestSpec("extra_trees", 7, 5, 50, 10) and not forest.draws
     linear = models.make_regressor(LINEAR.algorithm, {"fitIntercept": False})
     assert isinstance(linear, LinearRegression) and not linear.getFitIntercept()
     for bad, error in (("unknown", ValueError), ("collections.OrderedDict", TypeError)):
         with pytest.raises((error, AttributeError)):
             models.make_regressor(bad)
-    for bad in ({"depth": 3}, {"max_depth": 50}, {"max_depth": 0}, {"min_samples_split": 10}, {"criterion": "absolute_error"}):
+    for bad in ({"depth": 3}, {"max_depth": 0}, {"min_samples_split": 1}, {"criterion": "absolute_error"}, {"max_features": "many"}, {"kind": "x"}):
         with pytest.raises(ValueError):
             models.make_regressor("random_forest", bad)
-    assert models.make_regressor("random_forest").getMaxDepth() == 30
 
 
 @pytest.mark.parametrize("change, name", [(dict(target_station="nowhere"), "nowhere"), (dict(input_stations=("a", "gone")), "gone"), (dict(pollutants=("SO2",)), "SO2")])
@@ -119,6 +119,17 @@ def test_run_from_training_to_report(spark, hourly, tmp_path):
     assert runs.load_stats(spark, root, "absent", "none").method == "none"
 
 
+def test_saved_forest_for_two_targets(spark, hourly, tmp_path):
+    spec, model = SPEC.with_(pollutants=("PM2.5", "NO2")), ModelSpec("extra_trees", {"n_estimators": 20, "min_samples_leaf": 2})
+    trained = evaluate.train(hourly, spec, model)
+    runs.save_run(spark, str(tmp_path), "f", spec, model, trained.model, trained.stats)
+    loaded = runs.load_model(spark, str(tmp_path), "f")
+    rows = prepare.prepare_evaluation(hourly, spec, trained.stats).normalized
+    known, again = (sorted(map(tuple, m.evaluate(rows).collect())) for m in (trained.model, loaded))
+    assert known == again and [r[0] for r in known] == ["target_value__NO2", "target_value__PM2.5"]
+    assert all(r[3] > 0.9 for r in known), known  # the target is a mix of its neighbours
+
+
 def test_only_per_period_results(hourly):
     trained = evaluate.train(hourly, SPEC, LINEAR)
     result = evaluate.evaluate(hourly, SPEC, trained, only_per_period=True)
