@@ -47,6 +47,7 @@ def fit_forests(rows: DataFrame, specs: Sequence[ForestSpec]) -> DataFrame:
     parallel = -(-2 * spark.sparkContext.defaultParallelism // max(1, sizes.count()))
     shares = sizes.withColumn("shares", _shares(F.col("n"), units, parallel, specs))
     most = min(s.max_rows for s in specs)
+    work = shares.agg(F.sum("shares"), F.sum(F.least(F.col("n"), F.lit(most)) * units)).first()
     dealt = rows.withColumn("row", F.monotonically_increasing_id()).join(shares, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     luck = F.pmod(F.xxhash64("key", "row", "x", "y", "share"), F.lit(1 << 30)) / float(1 << 30)
     drawn = dealt.where((F.col("n") <= most) | (luck < most / F.col("n"))).select("key", "share", "shares", "x", "y")
@@ -64,7 +65,13 @@ def fit_forests(rows: DataFrame, specs: Sequence[ForestSpec]) -> DataFrame:
             first += spec.n_estimators
         return _trees_table(group, share, out)
 
-    return materialise(drawn.groupBy("key", "share").applyInArrow(grown, TREE_SCHEMA))
+    return materialise(_spread(drawn, ["key", "share"], *work).groupBy("key", "share").applyInArrow(grown, TREE_SCHEMA))
+
+
+def _spread(rows: DataFrame, keys: list[str], tasks: int | None, work: int | None) -> DataFrame:
+    """rows dealt by the keys into as many partitions as the work asks for; their bytes, by which partitions would be merged, say little."""
+    wanted = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-int(work or 0) // TASK_ROWS))
+    return rows.repartition(max(1, min(int(tasks or 0), wanted)), *keys)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -118,7 +125,7 @@ def apply_forest(rows: DataFrame, trees: DataFrame, specs: Sequence[ForestSpec],
         key = trees.select("key").first()[0]
         return apply_forests(rows.withColumn("__key", F.lit(key)), trees, specs, targets, "__key", x, out).drop("__key")
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(trees.orderBy("fit", "tree").toArrow())
+    shared = spark.sparkContext.broadcast(trees.drop("key", "share").toArrow().sort_by([("fit", "ascending"), ("tree", "ascending")]))
     counts = np.array([s.n_estimators for s in specs])[None, :, None]
 
     @F.arrow_udf("array<double>")
@@ -159,6 +166,9 @@ def apply_forests(rows: DataFrame, trees: DataFrame, specs: Sequence[ForestSpec]
         return pa.table({"__row": left.column("__row").combine_chunks(), "__sums": sums})
 
     keys = ["__group", "__share", "__block"]
+    per_group = sum(s.n_estimators for s in specs) * BLOCK_ROWS
+    total = plan.agg(F.sum(F.col("__blocks") * (F.col("__last") + 1)), F.sum(F.col("__blocks") * per_group)).first()
+    met, copies = (_spread(side, keys, *total) for side in (met, copies))
     parts = met.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(summed, "__row long, __sums array<double>")
     values = parts.groupBy("__row").agg(*[F.sum(F.get("__sums", F.lit(i))).alias(f"__s{i}") for i in range(width)])
     whole = values.select("__row", F.array(*[f"__s{i}" for i in range(width)]).alias(out))

@@ -70,12 +70,6 @@ def clean_readings(df: DataFrame, spec: StationSpec) -> DataFrame:
     return clean_with_details(df, spec)[0]
 
 
-def check_roles(df: DataFrame, spec: StationSpec) -> None:
-    """Columns and stations that the specification names must exist; the error names those that don't."""
-    project_required(df, spec)
-    check_stations(df, spec)
-
-
 def training_slice(df: DataFrame, spec: StationSpec) -> DataFrame:
     """Training windows when given; otherwise everything outside validation and testing."""
     train = normalize_periods(spec.train_periods)
@@ -85,11 +79,19 @@ def training_slice(df: DataFrame, spec: StationSpec) -> DataFrame:
     return drop_periods(pruned, q(spec.ts), [*validation_windows(spec), *testing_windows(spec)])
 
 
-def _frame(df: DataFrame, spec: StationSpec, store: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Cleaned readings and their supervised rows; stored rows are built once for all later jobs."""
-    cleaned = clean_readings(df, spec)
+def _frame(df: DataFrame, part: DataFrame, spec: StationSpec, store: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Cleaned readings of a part and their supervised rows; stored rows are built once for all later jobs.
+
+    Columns and stations that the specification names must exist in all readings; the error names those that
+    don't. Rows are complete only if every station reported, so stations are looked for where there are none.
+    """
+    project_required(df, spec)
+    cleaned = clean_readings(part, spec)
     rows = supervised_frame(cleaned, spec.task(), spec.ts, spec.station)
-    return cleaned, materialise(rows) if store else rows
+    rows = materialise(rows) if store else rows
+    if not store or rows.isEmpty():
+        check_stations(df, spec)
+    return cleaned, rows
 
 
 def _normalised(
@@ -104,8 +106,7 @@ def prepare_training(df: DataFrame, spec: StationSpec, store: bool = True) -> Pr
 
     The slice comes before the time axis, so lags step over excluded windows.
     """
-    check_roles(df, spec)
-    cleaned, rows = _frame(training_slice(df, spec), spec, store)
+    cleaned, rows = _frame(df, training_slice(df, spec), spec, store)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, stats = _normalised(rows, features, normalization_method(spec.normalization), None)
     return Prepared(spec, cleaned, rows, rows, scaled, stats, features, targets, "training_run")
@@ -118,8 +119,7 @@ def prepare_tuning(
     periods = validation_windows(spec)
     if not periods:
         return None
-    check_roles(df, spec)
-    cleaned, rows = _frame(keep_years(df, spec, period_years(periods)), spec, store)
+    cleaned, rows = _frame(df, keep_years(df, spec, period_years(periods)), spec, store)
     chosen = keep_periods(rows, F.col("prediction_time"), periods)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, _ = _normalised(chosen, features, "none", stats)
@@ -139,8 +139,7 @@ def prepare_evaluation(
     Without training statistics the rows are normalised with their own. With `fallback`,
     windows that match no row fall back to all rows.
     """
-    check_roles(df, spec)
-    cleaned, rows = _frame(keep_years(df, spec, period_years(testing_windows(spec))), spec, store)
+    cleaned, rows = _frame(df, keep_years(df, spec, period_years(testing_windows(spec))), spec, store)
     chosen = test_rows_or_all(rows, spec, strict) if fallback or strict else select_test_rows(rows, spec)
     features, targets = feature_names(spec.task()), target_names(spec.task())
     scaled, used = _normalised(chosen, features, normalization_method(spec.normalization), stats)
