@@ -93,16 +93,35 @@ def lookup(big: DataFrame, few: DataFrame, key: str, how: str = "left", salts: i
     return big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
-def attach(pairs: DataFrame, texts: DataFrame, side: str, other: str, name: str, share: int) -> DataFrame:
+HOT_ROWS = 50_000  # rows of one key that may meet in one task
+
+
+def hot_join(big: DataFrame, few: DataFrame, key: str, n: str, by: str) -> DataFrame:
+    """Inner join of `big` to `few`, which has a row for each key with the number `n` of its rows in `big`.
+
+    Keys of more than HOT_ROWS rows are dealt by column `by` over as many tasks as they need. There is at
+    most one such key for HOT_ROWS rows, so the table of them is small.
+    """
+    hot, _ = small(few.where(F.col(n) > HOT_ROWS).select(key, F.ceil(F.col(n) / HOT_ROWS).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0)).alias("_part")
+    dealt = big.join(hot, key, "left").select(*(f"`{c}`" for c in big.columns), part)
+    copies = F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / HOT_ROWS).cast("int") - 1)).alias("_part")
+    return dealt.join(few.select("*", copies).drop(n), [key, "_part"]).drop("_part")
+
+
+def attach(pairs: DataFrame, texts: DataFrame, side: str, other: str, name: str, share: int, tasks: int | None = None) -> DataFrame:
     """The pairs with the text of the id in column `side` as column `name`.
 
     texts is (id, text), one row per id. An id with many pairs is dealt over tasks by `other`, `share`
-    pairs each, and its text goes to just as many.
+    pairs each, and its text goes to just as many. `tasks`, where given, is how many tasks the pairs are
+    dealt to, for work that their bytes don't tell.
     """
     parts = F.ceil(F.col("count") / share).cast("int").alias("_parts")
     degree = settle(pairs.groupBy(side).count().select(side, parts))
     dealt = pairs.join(degree, side).withColumn("_part", F.pmod(F.xxhash64(other), F.col("_parts")).cast("int")).drop("_parts")
     copies = texts.toDF(side, name).join(degree, side).select(side, name, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    if tasks:
+        dealt, copies = (rows.repartition(tasks, side, "_part") for rows in (dealt, copies))
     return dealt.join(copies, [side, "_part"]).drop("_part")
 
 
