@@ -107,9 +107,12 @@ def w1_multi_pollutant_lags(spark, sf):
 def j9_many_stations(spark, sf):
     """Every supplier predicted one step ahead from the next supplier: as many tasks as suppliers."""
     df = lineitem_readings(spark, sf, "l_suppkey")
-    ids = [x.s_suppkey for x in table(spark, sf, "supplier").select("s_suppkey").collect()]
-    tasks = [Task(str(i), str(i), (str((i + 1) % len(ids)),), (PM,), 1, 1) for i in ids]
-    rows = sv.supervised_tasks(df, tasks)
+    suppliers = table(spark, sf, "supplier").select("s_suppkey")
+    many = suppliers.agg(F.count(F.lit(1)).alias("n")).scalar()
+    after = ((F.col("s_suppkey") + 1) % many).cast("string")
+    name = F.col("s_suppkey").cast("string")
+    links = suppliers.select(name.alias("task_id"), name.alias("target"), F.array(after).alias("inputs"))
+    rows = sv.supervised_links(df, links, [PM], 1, 1)
     return rounded(
         rows.groupBy(F.col("task_id").alias("target_station"))
         .agg(
@@ -117,7 +120,7 @@ def j9_many_stations(spark, sf):
             F.sum(F.get("targets", 0)).alias("label_sum"),
             F.sum(F.get("features", 0)).alias("feature_sum"),
         )
-        .withColumn("neighbour", ((F.col("target_station").cast("long") + 1) % len(ids)).cast("string")),
+        .withColumn("neighbour", ((F.col("target_station").cast("long") + 1) % many).cast("string")),
         4,
     )
 

@@ -19,29 +19,43 @@ PARTS = 1024  # parts that a range is cut into
 LAST = 10_000  # values of a range that are put in order together; any number gives the same result
 
 
+def value_counts(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, __v, __c): every present value with the rows that have it, stored. Quantiles, distinct values and moments all come from it."""
+    present = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    return materialise(present.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str], last: int = LAST) -> DataFrame:
     """One row per key with `n` and `quantiles ARRAY<DOUBLE>` in the order of `probs`.
 
     Counting and closing in run at once, as jobs of their own; only the pick is left to the caller.
     """
+    return quantiles_of(value_counts(df.withColumn(value, F.col(value).cast("double")), value, keys), probs, keys, last)
+
+
+def quantiles_of(counts: DataFrame, probs: Sequence[float], keys: Sequence[str], last: int = LAST) -> DataFrame:
+    """exact_quantiles from value_counts."""
     keys = list(keys)
     wanted = [float(p) for p in probs]
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    counts = materialise(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
     sizes = counts.groupBy(*keys).agg(
         F.sum("__c").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("__inside")
     )
     sides = F.array(*[F.expr(f"cast({side}({p!r}D * (n - 1)) as bigint)") for p in sorted(set(wanted)) for side in ("floor", "ceil")])
-    ranges = materialise(sizes.select("*", F.lit(0).cast("long").alias("__before"), F.explode(F.array_distinct(sides)).alias("__rank")))
+    # A range with all the ranks that lie in it: at first one for each key.
+    ranges = materialise(sizes.select("*", F.lit(0).cast("long").alias("__before"), F.array_distinct(sides).alias("__ranks")))
     wide = (F.col("__low") < F.col("__high")) & (F.col("__inside") > last)
     while not ranges.where(wide).isEmpty():
-        closer = materialise(ranges.where(~wide).unionByName(_closer(counts, ranges.where(wide), keys)))
+        closer = _closer(counts, ranges.where(wide).withColumn("__rank", F.explode("__ranks")).drop("__ranks"), keys)
+        together = [*keys, "n", "__low", "__high", "__inside", "__before"]
+        narrowed = closer.groupBy(*together).agg(F.collect_set("__rank").alias("__ranks"))
+        found = materialise(ranges.where(~wide).unionByName(narrowed))
         release(ranges)
-        ranges = closer
+        ranges = found
     near = _inside(counts, ranges, keys)
-    upto = F.sum("__c").over(Window.partitionBy(*keys, "__rank").orderBy("__v"))
-    placed = near.withColumn("__upto", F.col("__before") + upto).where("__upto > __rank")
-    picked = placed.groupBy(*keys, "n", "__rank").agg(F.min("__v").alias("__v"))
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__low").orderBy("__v"))
+    placed = near.withColumn("__upto", upto)
+    held = F.filter("__ranks", lambda k: (k < F.col("__upto")) & (k >= F.col("__upto") - F.col("__c")))
+    picked = placed.select(*keys, "n", "__v", F.explode(held).alias("__rank"))
     found = picked.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))
     at = lambda side, p: f"element_at(__at, cast({side}({p!r}D * (n - 1)) as bigint))"
     exact = [f"{at('floor', p)} + ({at('ceil', p)} - {at('floor', p)}) * ({p!r}D * (n - 1) - floor({p!r}D * (n - 1)))" for p in wanted]

@@ -77,6 +77,8 @@ def station_matrix(
 def _pivoted(df: DataFrame, pollutants: Sequence[str], stations: Sequence[str], ts: str, station: str) -> DataFrame:
     multi = len(pollutants) > 1
     cells = station_cells(df, pollutants, ts, station)
-    label = F.concat_ws("__", "pollutant", "station_id") if multi else F.col("station_id")
-    names = [matrix_column(p, s, multi) for p in pollutants for s in stations]
-    return cells.withColumn("__label", label).groupBy("ts").pivot("__label", names).agg(F.max("value"))
+    # The label keeps both parts apart, whatever they hold; columns get their names afterwards.
+    label = F.concat("pollutant", F.lit("\0"), "station_id")
+    names = {f"{p}\0{s}": matrix_column(p, s, multi) for p in pollutants for s in stations}
+    wide = cells.withColumn("__label", label).groupBy("ts").pivot("__label", list(names)).agg(F.max("value"))
+    return wide.toDF("ts", *names.values())

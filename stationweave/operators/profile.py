@@ -9,8 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stationweave.functions.names import clean_double, q
-from stationweave.functions.quantiles import quantile_columns, to_long
-from stationweave.operators.clean import is_missing
+from stationweave.functions.quantiles import quantiles_of, to_long, value_counts
+from stationweave.session import config_table
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -24,65 +24,49 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 def column_profile(df: DataFrame, exclude: Sequence[str] = (), stage: str | None = None) -> DataFrame:
     """One row per column: type, counts, shares, exact distinct values, mean, median, min, max.
 
-    Counts and moments come from one pass. Distinct values are grouped by (column, value)
-    across the cluster instead of being collected per column, and medians use the bracketed
-    exact quantile.
+    Values are counted once per (column, value) across the cluster; presence, distinct values, moments and
+    the exact median of all columns come from these counts, and the rows are read for nothing else.
     """
     columns = [c for c in df.columns if c not in exclude]
-    numeric = set(numeric_columns(df, exclude))
+    if not columns:
+        raise ValueError("there is no column to describe")
+    numeric = [c for c in columns if c in numeric_columns(df, exclude)]
+    texts = [c for c in columns if c not in numeric]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    value = {c: clean_double(q(c)) if c in numeric else q(c) for c in columns}
-
-    measures: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    for c in columns:
-        measures.append(F.count_if(~is_missing(df, c)).alias(f"present:{c}"))
-        if c in numeric:
-            measures += [
-                F.avg(value[c]).alias(f"mean:{c}"),
-                F.min(value[c]).alias(f"min:{c}"),
-                F.max(value[c]).alias(f"max:{c}"),
-            ]
-    number = lambda m, c: (q(f"{m}:{c}") if c in numeric else F.lit(None)).cast("double").alias(m)
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(kinds[c]).alias("dtype"),
-            F.col("__rows").alias("row_count"),
-            q(f"present:{c}").alias("present_count"),
-            *[number(m, c) for m in ("mean", "min", "max")],
-        )
-        for c in columns
-    ]
-    base = df.agg(*measures).select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
-
-    parts = []
+    nothing = F.lit(None).cast("double")
+    found = []
     if numeric:
         # Adding zero makes -0.0 and 0.0 one value.
-        long = to_long(df, [c for c in columns if c in numeric]).withColumn("value", F.col("value") + 0.0)
-        parts.append(long)
-    texts = [c for c in columns if c not in numeric]
+        counts = value_counts(to_long(df, numeric).withColumn("value", F.col("value") + 0.0), "value", ["column"])
+        sums = counts.groupBy("column").agg(
+            F.sum("__c").alias("present_count"),
+            F.count(F.lit(1)).alias("unique"),
+            (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean"),
+            F.min("__v").alias("min"),
+            F.max("__v").alias("max"),
+        )
+        medians = quantiles_of(counts, [0.5], ["column"]).select("column", F.element_at("quantiles", 1).alias("median"))
+        found.append(sums.join(medians, "column"))
     if texts:
         cells = F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in texts])
-        parts.append(df.select(F.explode(cells).alias("__c")).select("__c.*").where(F.col("value").isNotNull()))
-    counted = [p.groupBy("column", "value").agg(F.lit(1).alias("one")).select("column") for p in parts]
-    distinct = reduce(DataFrame.unionByName, counted).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
-    out = base.join(distinct, "column", "left")
-    if numeric:
-        medians = quantile_columns(df, [c for c in columns if c in numeric], [0.5]).select(
-            "column", F.element_at("quantiles", 1).alias("median")
-        )
-        out = out.join(medians, "column", "left")
-    else:
-        out = out.withColumn("median", F.lit(None).cast("double"))
-    share = lambda n: F.coalesce(F.try_divide(n * 100.0, F.col("row_count")), F.lit(0.0))
-    missing = F.col("row_count") - F.col("present_count")
-    final = out.select(
+        values = df.select(F.explode(cells).alias("__c")).select("__c.*").where(F.col("value").isNotNull())
+        counted = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        sums = counted.groupBy("column").agg(F.sum("n").alias("present_count"), F.count(F.lit(1)).alias("unique"))
+        found.append(sums.select("*", *[nothing.alias(m) for m in ("mean", "min", "max", "median")]))
+    described = config_table(df.sparkSession, [(c, kinds[c]) for c in columns], "column string, dtype string")
+    rows = df.select(F.lit(1)).agg(F.count(F.lit(1)).alias("row_count"))
+    # One row of the count beside one row a column.
+    base = described.join(reduce(DataFrame.unionByName, found), "column", "left").withColumn("row_count", rows.scalar())
+    present = F.coalesce("present_count", F.lit(0))
+    share = lambda n: F.coalesce(F.try_divide(n * 100.0, F.col("row_count")), F.lit(0.0))
+    missing = F.col("row_count") - present
+    final = base.select(
         "column",
         "dtype",
         "row_count",
-        "present_count",
+        present.alias("present_count"),
         missing.alias("missing_count"),
-        share(F.col("present_count")).alias("present_pct_of_all_rows"),
+        share(present).alias("present_pct_of_all_rows"),
         share(missing).alias("missing_pct_of_all_rows"),
         F.coalesce("unique", F.lit(0)).alias("unique"),
         "mean",

@@ -6,9 +6,8 @@ block also receives the few rows before and after it that its lags and its horiz
 Lags are then taken inside each block. Blocks hold the same number of rows whatever the data
 looks like, so there is no ordered pass over everything and no skew.
 
-With more stations than fit into wide rows the frame is built from single cells instead: the
-cell at position i is the lag-k feature of row i+k and the label of row i-h, so cells move to
-their row by adding a shift, and one grouping by (task, row) builds the frame.
+Tasks that are a table, such as every station of a large network from its neighbours, are built from
+single cells instead, see supervised_links.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from stationweave.functions.names import feature_name, target_name
+from stationweave.functions.positions import time_position
 from stationweave.operators.matrix import matrix_column, station_cells, station_matrix, time_axis
 from stationweave.session import config_table, materialise
 from stationweave.specs import Task
@@ -26,22 +26,8 @@ from stationweave.specs import Task
 # Consecutive positions handled together. Short blocks spread a short axis over many tasks;
 # a long reach makes them longer, so that few rows are repeated.
 BLOCK_ROWS = 1_024
-# Up to this many station columns, tasks are cut from wide rows.
-WIDE_COLUMNS = 512
-
-SLOT_SCHEMA = T.StructType(
-    [
-        T.StructField("task_id", T.StringType(), False),
-        T.StructField("pollutant", T.StringType(), False),
-        T.StructField("station_id", T.StringType(), False),
-        T.StructField("slot", T.IntegerType(), False),
-        T.StructField("slot_name", T.StringType(), False),
-        T.StructField("is_label", T.BooleanType(), False),
-        T.StructField("shift", T.IntegerType(), False),
-        T.StructField("n_slots", T.IntegerType(), False),
-    ]
-)
-
+# Cells of one station that meet its slots in one task.
+STATION_CELLS = 200_000
 
 def feature_names(task: Task) -> list[str]:
     """Pollutant-major, then station, then lag."""
@@ -57,24 +43,6 @@ def target_names(task: Task) -> list[str]:
     return [target_name(p if task.multi else None) for p in task.pollutants]
 
 
-def task_slots(task: Task) -> list[tuple]:
-    """Which cell fills which feature or label, and how far it moves on the axis."""
-    cells = [(p, s, k) for p in task.pollutants for s in task.input_stations for k in range(task.lags)]
-    total = len(cells) + len(task.pollutants)
-    features = [
-        (task.task_id, p, s, i, n, False, k, total) for i, ((p, s, k), n) in enumerate(zip(cells, feature_names(task)))
-    ]
-    labels = [
-        (task.task_id, p, task.target_station, len(cells) + i, n, True, -task.horizon, total)
-        for i, (p, n) in enumerate(zip(task.pollutants, target_names(task)))
-    ]
-    return features + labels
-
-
-def _aligned(task: Task) -> bool:
-    return task.lags == 1 and task.horizon == 0
-
-
 def _axis(df: DataFrame, pollutants: Sequence[str], ts: str, station: str) -> DataFrame:
     """Positions on the time axis, stored: two numbers per time, and a size Spark knows.
 
@@ -84,33 +52,6 @@ def _axis(df: DataFrame, pollutants: Sequence[str], ts: str, station: str) -> Da
     return materialise(time_axis(df, pollutants, ts, station))
 
 
-def shifted_cells(
-    df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id"
-) -> DataFrame:
-    """Every cell once per slot it fills, keyed by (task_id, row_idx).
-
-    The slot table is plain configuration; Spark broadcasts it when its size allows and
-    otherwise shuffles both sides by station with skew handling.
-    """
-    pollutants = list(dict.fromkeys(p for t in tasks for p in t.pollutants))
-    if any(set(t.pollutants) != set(pollutants) for t in tasks):
-        raise ValueError("tasks built together must share their pollutants, which define the time axis")
-    slots = config_table(df.sparkSession, [r for t in tasks for r in task_slots(t)], SLOT_SCHEMA)
-    cells = station_cells(df, pollutants, ts, station)
-    if all(_aligned(t) for t in tasks):
-        return cells.join(slots, ["station_id", "pollutant"]).withColumn("row_idx", F.col("ts"))
-    placed = cells.join(_axis(df, pollutants, ts, station), "ts")
-    return placed.join(slots, ["station_id", "pollutant"]).withColumn("row_idx", F.col("ts_idx") + F.col("shift"))
-
-
-def _times() -> list[Column]:
-    # Complete rows always hold a lag-0 feature and a label, which carry the two times.
-    return [
-        F.max(F.when(~F.col("is_label") & (F.col("shift") == 0), F.col("ts"))).alias("feature_time"),
-        F.max(F.when(F.col("is_label"), F.col("ts"))).alias("prediction_time"),
-    ]
-
-
 def block_windows(rows: DataFrame, index: str, back: int, ahead: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows with the block they are computed in, repeated into neighbour blocks that reach them.
 
@@ -173,17 +114,14 @@ def supervised_tasks(
         groups.setdefault(frozenset(task.pollutants), []).append(task)
     frames = []
     for group in groups.values():
-        stations = {s for t in group for s in (*t.input_stations, t.target_station)}
-        wide = len(stations) * len(group[0].pollutants) <= WIDE_COLUMNS
-        build = tasks_from_rows if wide else tasks_from_cells
-        frames.append(build(df, group, ts, station))
+        frames.append(_tasks_from_rows(df, group, ts, station))
     return reduce(DataFrame.unionByName, frames)
 
 
 TASK_SCHEMA = "task_id string, feature_at array<int>, target_at array<int>, horizon int"
 
 
-def tasks_from_rows(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id") -> DataFrame:
+def _tasks_from_rows(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id") -> DataFrame:
     """Wide rows are shuffled once; every task then picks its features from each row on the spot."""
     pollutants = list(tasks[0].pollutants)
     multi = len(pollutants) > 1
@@ -231,30 +169,59 @@ def tasks_from_rows(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", statio
     )
 
 
-# Up to here every slot gets its own fixed-width aggregate; beyond, slots are collected.
-_SLOT_COLUMNS = 256
+def task_slots(links: DataFrame, pollutants: Sequence[str], lags: int = 1, horizon: int = 0) -> DataFrame:
+    """(task_id, pollutant, station_id, slot, is_label, shift, n_slots): which cell fills which feature or label of a task, and how far it moves.
 
+    links (task_id, target, inputs array<string>) has one row a task; features are pollutant-major, then
+    station, then lag, as feature_names has them, and labels follow.
+    """
+    known = F.array(*map(F.lit, pollutants))
+    n_labels, width = len(pollutants), F.size("inputs")
+    total = width * n_labels * lags + n_labels
+    by_pollutant = links.select("task_id", "target", "inputs", total.alias("n_slots"), F.posexplode(known).alias("p", "pollutant"))
+    feature = by_pollutant.select("*", F.posexplode("inputs").alias("i", "station_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("shift"))
+    features = feature.select("task_id", "pollutant", "station_id", ((F.col("p") * width + F.col("i")) * lags + F.col("shift")).alias("slot"), F.lit(False).alias("is_label"), "shift", "n_slots")
+    labels = by_pollutant.select(
+        "task_id", "pollutant", F.col("target").alias("station_id"), (F.col("n_slots") - n_labels + F.col("p")).alias("slot"), F.lit(True).alias("is_label"), F.lit(-horizon).alias("shift"), "n_slots"
+    )
+    return features.union(labels)
 
-def tasks_from_cells(df: DataFrame, tasks: Sequence[Task], ts: str = "ts", station: str = "station_id") -> DataFrame:
-    """Cells move to the rows they fill; a group is one row of one task, as wide as its slots."""
-    n_labels = len(tasks[0].pollutants)
-    widest = max(len(task_slots(t)) for t in tasks)
-    if widest <= _SLOT_COLUMNS:
-        slots = [F.expr(f"max(CASE WHEN slot = {i} THEN value END)").alias(f"__v{i}") for i in range(widest)]
-        values = F.expr(f"array({', '.join(f'__v{i}' for i in range(widest))})")
-    else:
-        entries = F.array_sort(F.collect_list(F.struct("slot", "value")))
-        slots, values = [F.transform(entries, lambda e: e["value"]).alias("__v")], F.col("__v")
-    rows = shifted_cells(df, tasks, ts, station).groupBy("task_id", "row_idx").agg(
-        *_times(), *slots, F.count(F.lit(1)).alias("__filled"), F.max("n_slots").alias("__slots")
+
+def supervised_links(
+    df: DataFrame, links: DataFrame, pollutants: Sequence[str], lags: int = 1, horizon: int = 0, ts: str = "ts", station: str = "station_id"
+) -> DataFrame:
+    """The rows of supervised_tasks for tasks that are a table: links (task_id, target, inputs array<string>), of any number.
+
+    A cell at position i is the lag-k feature of row i + k and the label of row i - h of every task that
+    names its station, so cells move to their rows by one join and meet there by one grouping. A group is one row of one task. A
+    station with many cells meets its slots in as many tasks as it needs, dealt by time.
+    """
+    if lags < 1 or horizon < 0 or not pollutants:
+        raise ValueError("tasks need a lag of one at least, no negative horizon and a pollutant")
+    cells = materialise(station_cells(df, pollutants, ts, station))
+    times = cells.select("ts").distinct()
+    placed = cells.join(materialise(time_position(times, "ts", "ts_idx")), "ts")
+    # One row a station.
+    parts = cells.groupBy("station_id").agg(F.ceil(F.count("*") / STATION_CELLS).cast("int").alias("__parts"))
+    dealt = placed.join(parts, "station_id").withColumn("__part", F.pmod(F.xxhash64("ts"), F.col("__parts")).cast("int")).drop("__parts")
+    slots = task_slots(links.where("task_id IS NOT NULL"), pollutants, lags, horizon).join(parts, "station_id")
+    copies = slots.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    moved = dealt.join(copies, ["station_id", "pollutant", "__part"]).withColumn("row_idx", F.col("ts_idx") + F.col("shift"))
+    # Complete rows always hold a lag-0 feature and a label, which carry the two times.
+    rows = moved.groupBy("task_id", "row_idx").agg(
+        F.max(F.when(~F.col("is_label") & (F.col("shift") == 0), F.col("ts"))).alias("feature_time"),
+        F.max(F.when(F.col("is_label"), F.col("ts"))).alias("prediction_time"),
+        F.collect_list(F.struct("slot", "value")).alias("__cells"),
+        F.max("n_slots").alias("__slots"),
     )
-    n_features = F.col("__slots") - n_labels
-    return rows.where(F.col("__filled") == F.col("__slots")).select(
+    values = F.transform(F.array_sort("__cells"), lambda e: e["value"])
+    n_features = F.col("__slots") - len(pollutants)
+    return rows.where(F.size("__cells") == F.col("__slots")).select(
         "task_id",
         "feature_time",
         "prediction_time",
         F.slice(values, F.lit(1), n_features).alias("features"),
-        F.slice(values, n_features + 1, F.lit(n_labels)).alias("targets"),
+        F.slice(values, n_features + 1, F.lit(len(pollutants))).alias("targets"),
     )
 
 

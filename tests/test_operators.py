@@ -62,13 +62,37 @@ def test_rows_equal_pandas_for_any_block_length(spark, readings, monkeypatch, la
     assert np.allclose(got[names], want[names])
 
 
-def test_row_and_cell_plans_agree(readings):
+@pytest.mark.parametrize("names, lags, horizon, most", [(("PM2.5",), 3, 2, 7), (("PM2.5",), 1, 0, 10_000), (("PM2.5", "NO2"), 2, 1, 20)])
+def test_listed_tasks_and_tasks_of_a_table_agree(spark, readings, monkeypatch, names, lags, horizon, most):
+    """Also where a station's cells meet its slots in several tasks, and with tasks that no row fits."""
     rng = np.random.default_rng(3)
-    df = readings(hours(*[(s, [None if rng.random() < 0.1 else float(rng.integers(90)) for _ in range(60)]) for s in "abcd"]))
-    tasks = sv.leave_one_out("abcd", ["PM2.5"], 3, 2) + [Task("odd", "a", ("c",), ("PM2.5",), 1, 0)]
-    as_rows = sv.tasks_from_rows(df, tasks).orderBy("task_id", "feature_time").collect()
-    as_cells = sv.tasks_from_cells(df, tasks).orderBy("task_id", "feature_time").collect()
-    assert as_rows == as_cells and len(as_rows) > 100
+    rows = [
+        (f"2025-01-{1 + i // 20:02} {i % 20:02}:00:00", s, *[None if rng.random() < 0.1 else float(rng.integers(90)) for _ in names]) for s in "abcd" for i in range(60)
+    ]
+    df = readings(rows, names)
+    tasks = [*sv.leave_one_out("abcd", names, lags, horizon), Task("odd", "a", ("c",), names, lags, horizon), Task("gone", "a", ("nowhere",), names, lags, horizon)]
+    monkeypatch.setattr(sv, "STATION_CELLS", most)
+    links = spark.createDataFrame([(t.task_id, t.target_station, list(t.input_stations)) for t in tasks] + [(None, "a", ["b"])], "task_id string, target string, inputs array<string>")
+    listed = sv.supervised_tasks(df, tasks).orderBy("task_id", "feature_time").collect()
+    linked = sv.supervised_links(df, links, names, lags, horizon).orderBy("task_id", "feature_time").collect()
+    assert listed == linked and len(listed) > 50
+    with pytest.raises(ValueError):
+        sv.supervised_links(df, links, names, 0)
+
+
+def test_columns_whose_names_run_together(readings):
+    """A wide matrix tells `a__b` at station `c` from `a` at `b__c`."""
+    pollutants, stations = ("a", "a__b"), ("b__c", "c", *(f"s{i}" for i in range(20)))
+    df = readings([("2025-01-01", "c", None, 1.0), ("2025-01-01", "b__c", 2.0, None), ("2025-01-01", "c", 3.0, None)], pollutants)
+    wide = matrix.station_matrix(df, pollutants, stations)
+    assert len(wide.columns) == 45 and wide.columns.count("a__b__c") == 2
+    row = wide.collect()[0]
+    assert (row[1], row[2], row[23], row[24]) == (2.0, 3.0, None, 1.0)
+
+
+def test_profile_of_an_empty_frame(readings):
+    got = profile.column_profile(readings([]), ("ts",)).orderBy("column").collect()
+    assert [(r.column, r.row_count, r.present_count, r.unique, r["median"]) for r in got] == [("PM2.5", 0, 0, 0, None), ("station_id", 0, 0, 0, None)]
 
 
 def test_tasks_over_different_pollutants(readings):
