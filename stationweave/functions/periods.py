@@ -3,70 +3,90 @@
 from __future__ import annotations
 
 import re
-from calendar import monthrange
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
+from functools import reduce, singledispatch
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stationweave.session import config_table
 
 
+@dataclass(frozen=True)
+class Step:
+    """A length of calendar time that a boundary can name: how its texts look, and what makes them a date."""
+
+    unit: str
+    pattern: str
+    rest: str
+
+    def first(self, text: str) -> np.datetime64:
+        """The named step, on the calendar of such steps."""
+        return np.datetime64(pd.Timestamp(text + self.rest).to_datetime64(), self.unit[0].upper())
+
+
+# A text that is none of these is a moment.
+STEPS = (Step("year", r"\d{4}", "-01-01"), Step("month", r"\d{4}-\d{2}", "-01"), Step("day", r".{10}", ""))
+
+
 @dataclass(frozen=True)
 class Period:
+    """All seconds from start to end, both included."""
+
     start: datetime
     end: datetime
 
+    def __post_init__(self) -> None:
+        if self.start > self.end:
+            raise ValueError(f"a period can't end ({self.end}) before it starts ({self.start})")
+
     @property
     def iso(self) -> tuple[str, str]:
         return self.start.isoformat(), self.end.isoformat()
 
 
-def _bounds(value: Any) -> tuple[datetime, datetime]:
-    """First and last second named by one boundary text."""
-    text = str(value).strip()
-    if not text:
-        raise ValueError("a period boundary is empty")
-    if re.fullmatch(r"\d{4}", text):
-        year = int(text)
-        return datetime(year, 1, 1), datetime(year, 12, 31, 23, 59, 59)
-    if len(text) == 7 and text[4] == "-":
-        year, month = int(text[:4]), int(text[5:])
-        last = monthrange(year, month)[1]
-        return datetime(year, month, 1), datetime(year, month, last, 23, 59, 59)
-    stamp = pd.Timestamp(text).to_pydatetime()
-    if len(text) == 10:
-        return stamp.replace(hour=0, minute=0, second=0), stamp.replace(hour=23, minute=59, second=59)
-    return stamp, stamp
+@singledispatch
+def as_period(item: Any) -> Period:
+    """What one entry of a configuration covers: a text the step or moment it names, a mapping from its first side to its last."""
+    raise TypeError(f"neither a text nor a mapping: {type(item).__name__}")
+
+
+@as_period.register
+def _(item: Period) -> Period:
+    return item
+
+
+@as_period.register
+def _(item: str) -> Period:
+    text = item.strip()
+    step = next((s for s in STEPS if re.fullmatch(s.pattern, text)), None)
+    if step is None:
+        moment = pd.Timestamp(text).to_pydatetime() if text else None
+        if moment is None:
+            raise ValueError("no time is named")
+        return Period(moment, moment)
+    named = step.first(text)
+    # The last second is the one before the next step begins.
+    begin, following = (t.astype("datetime64[s]") for t in (named, named + 1))
+    return Period(begin.item(), (following - 1).item())
+
+
+@as_period.register
+def _(item: Mapping) -> Period:
+    sides = [as_period(str(item[side])) for side in ("start", "end") if side in item]
+    if not sides:
+        raise ValueError("a mapping names a start, an end or both")
+    return Period(sides[0].start, sides[-1].end)
 
 
 def normalize_periods(raw: Any) -> list[Period]:
-    """List of inclusive windows; a missing side of a pair takes the other side's text."""
-    if raw is None:
-        return []
-    if isinstance(raw, (str, Mapping, Period)):
-        raw = [raw]
-    out: list[Period] = []
-    for item in raw:
-        if isinstance(item, Period):
-            period = item
-        elif isinstance(item, str):
-            period = Period(*_bounds(item))
-        elif isinstance(item, Mapping):
-            sides = [item[k] for k in ("start", "end") if k in item]
-            if not sides:
-                raise ValueError("a period mapping needs a start or an end")
-            period = Period(_bounds(sides[0])[0], _bounds(sides[-1])[1])
-        else:
-            raise TypeError(f"a period must be text or a mapping, got {type(item).__name__}")
-        if period.end < period.start:
-            raise ValueError(f"period ends before it starts: {item}")
-        out.append(period)
-    return out
+    """The windows of a configuration, which has none, one or a list of them."""
+    alone = isinstance(raw, (str, Mapping, Period))
+    return [as_period(item) for item in ([raw] if alone else raw or ())]
 
 
 def validation_windows(spec: Any) -> list[Period]:
@@ -110,29 +130,22 @@ def drop_periods(df: DataFrame, ts: Column, raw: Any) -> DataFrame:
     return df.where(~in_periods(ts, raw)) if normalize_periods(raw) else df
 
 
+def _step_of(text: Column, found) -> Column:
+    """found(step) of the step that a text names, null for a moment."""
+    return F.coalesce(*[F.when(text.rlike(f"^(?:{s.pattern})$"), found(s)) for s in STEPS])
+
+
 def boundary_start(text: Column) -> Column:
     """Column form of the first second named by a boundary text."""
     t = F.trim(text)
-    full = (
-        F.when(F.length(t) == 4, F.concat(t, F.lit("-01-01 00:00:00")))
-        .when(F.length(t) == 7, F.concat(t, F.lit("-01 00:00:00")))
-        .when(F.length(t) == 10, F.concat(t, F.lit(" 00:00:00")))
-        .otherwise(t)
-    )
-    return full.cast("timestamp_ntz")
+    return F.concat(t, F.coalesce(_step_of(t, lambda s: F.lit(s.rest)), F.lit(""))).cast("timestamp_ntz")
 
 
 def boundary_end(text: Column) -> Column:
-    """Column form of the last second named by a boundary text."""
-    t = F.trim(text)
-    month_end = F.last_day(F.when(F.length(t) == 7, F.concat(t, F.lit("-01"))).cast("date")).cast("string")
-    full = (
-        F.when(F.length(t) == 4, F.concat(t, F.lit("-12-31 23:59:59")))
-        .when(F.length(t) == 7, F.concat(month_end, F.lit(" 23:59:59")))
-        .when(F.length(t) == 10, F.concat(t, F.lit(" 23:59:59")))
-        .otherwise(t)
-    )
-    return full.cast("timestamp_ntz")
+    """Column form of the last second named by a boundary text: the one before the next step begins."""
+    start = boundary_start(text)
+    last = _step_of(F.trim(text), lambda s: start + F.expr(f"INTERVAL 1 {s.unit}") - F.expr("INTERVAL 1 SECOND"))
+    return F.coalesce(last, start)
 
 
 def years_touched(df: DataFrame, start: str, end: str, out: str = "year") -> DataFrame:
