@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import as_bytes, lists, modest_batches
 
 # Pieces and token pairs that a worker remembers; a full memory starts anew. Longer pieces are not kept.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 REMEMBERED_LENGTH = 32
 
 
