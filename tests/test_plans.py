@@ -36,7 +36,7 @@ SPEC = StationSpec(
 )
 
 
-def test_registry():
+def test_registry(spark):
     assert models.make_regressor("random_forest") == ForestSpec("random_forest", 100, 42)
     forest = models.make_regressor("Extra_Trees", {"n_estimators": 7, "max_depth": 50, "random_state": [5, 6], "n_jobs": -1, "min_samples_split": 10})
     assert forest == ForestSpec("extra_trees", 7, 5, 50, 10) and not forest.draws
