@@ -3,6 +3,9 @@
 Every page scores its containers and votes for the tag-class path of the best. Votes are summed per
 host; each page is then read again and gives the text below the path its host agreed on. A page
 that lacks that path gives the text of its own best container.
+
+What a page's tags say is left out at once. What only a word in a class or id says, and forms, which
+some sites put around a whole page, are decided once all of their text is known.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ from .common import as_bytes, lookup, modest_batches
 from .url_filters import host
 
 # Elements by their role in a page.
-CONTAINERS = frozenset("html body main article section div td th center details fieldset figure".split())
+CONTAINERS = frozenset("html body main article section div td th center details fieldset figure form".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr blockquote pre address hr hgroup summary figcaption".split())
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea label legend option menu dialog iframe object embed svg canvas audio video map math".split())
+DROPPED = frozenset("head title nav footer aside legend menu dialog".split())
+# Those that stand inside a sentence without ending it.
+SILENT = frozenset("script style noscript template button select textarea label option iframe object embed svg canvas audio video map annotation annotation-xml".split())
+CONTROLS = frozenset("button select textarea input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("main", "article"))
 CLOSES_P = BLOCKS - {"html", "body"}
+SCOPES = SILENT - {"label", "option"}  # what inside them closes an element outside is not markup of the page
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
@@ -33,6 +40,8 @@ NOISE = frozenset(
     "notice notices notification banner banners alert popup modal overlay ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted "
     "comment comments disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login signin form search widget widgets skip hidden copyright".split()
 )
+# Those of them that also name parts of an article.
+UNSURE = frozenset("notice notices notification alert search form widget widgets header".split())
 # Elements whose content is not markup, and the forms of markup.
 RAW = frozenset("script style title textarea noscript iframe".split())
 _TOKEN = re.compile(
@@ -47,15 +56,24 @@ DECAY = 0.7
 MAIN_BONUS = 2.0
 # The most links that the text beside a container may hold to be of the same article.
 LINKED = 0.3
+# The least characters outside links that what an unsure class word names, and a form for itself and each of its controls, hold as part of an article.
+PROSE = 200
 
 
 class _Node:
-    """A container: where it stands, and whether the agreed path leads to it (matches) or past it (inside)."""
+    """A container: where it stands, and whether the agreed path leads to it (matches) or past it (inside).
+
+    doubt is the nearest node around it, or itself, that is only known to be noise or not once all of its
+    text is read; controls counts what a form asks for.
+    """
 
-    __slots__ = ("tag", "label", "parent", "noise", "depth", "matches", "inside")
+    __slots__ = ("tag", "label", "parent", "noise", "depth", "matches", "inside", "doubt", "controls")
 
-    def __init__(self, tag: str, label: str, parent: "_Node | None", noise: bool, path: list[str]):
-        self.tag, self.label, self.parent, self.noise = tag, label, parent, noise
+    def __init__(self, tag: str, label: str, parent: "_Node | None", noise: bool, path: list[str], unsure: bool = False):
+        self.tag, self.label, self.parent, self.noise, self.controls = tag, label, parent, noise, 0
+        self.doubt = self if unsure else parent.doubt if parent else None
+        if tag in MAIN and not unsure and self.doubt is not None and self.doubt.tag == "form":
+            self.doubt = self.doubt.parent.doubt  # an article in a form is no part of what the form asks
         self.depth = parent.depth + 1 if parent else 0
         self.matches = parent is None or parent.matches and self.depth <= len(path) and label == path[self.depth - 1]
         self.inside = parent is not None and (parent.inside or self.matches and self.depth == len(path))
@@ -75,6 +93,7 @@ class _Page:
         self.by_class = by_class
         self.stack: list[tuple[str, _Node]] = [("", _Node("", "", None, False, self.path))]
         self.words: list[str] = []
+        self.at = self.stack[0][1]
         self.linked = 0
         self.in_link = 0
         self.blocks: list[tuple[_Node, str, int]] = []
@@ -84,12 +103,12 @@ class _Page:
             return
         text = " ".join("".join(self.words).split())
         if text:
-            node = self.stack[-1][1]
-            self.blocks.append((node, text, self.linked))
+            self.blocks.append((self.at, text, self.linked))
         self.words, self.linked = [], 0
 
-    def _noise(self, tag: str, attrs: dict[str, str], parent: _Node) -> bool:
-        if tag in DROPPED:
+    def _noise(self, tag: str, attrs: dict[str, str], parent: _Node) -> bool | None:
+        """Whether an element is noise; None if its text must decide."""
+        if tag in DROPPED or tag in SILENT:
             return True
         if tag in ("html", "body") or tag in MAIN and not (attrs.get("class") or attrs.get("id")):
             return False
@@ -103,41 +122,46 @@ class _Page:
             return True
         if attrs.get("role", "").lower() in ROLES:
             return True
+        sure: bool | None = None if tag == "form" else False
         if not self.by_class or tag == "header":  # of the article, as others are gone
-            return False
+            return sure
         for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
             words = _WORDS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-            if words[0] in NOISE or words[-1] in NOISE:
+            said = {words[0], words[-1]} & NOISE
+            if said - UNSURE:
+                return True
+            if said and tag in BLOCKS:
+                sure = None
+            elif said:
                 return True
-        return False
+        return sure
 
     def start(self, tag: str, attrs: str) -> None:
+        parent = self.stack[-1][1]
+        if tag in CONTROLS and not parent.noise and parent.doubt is not None and not re.search(r"type\s*=\s*[\"']?hidden", attrs, re.I):
+            parent.doubt.controls += 1
         if tag == "br":
             self.words.append(" ")
         if tag in VOID:
-            if tag in BLOCKS:
+            if tag in BLOCKS and not parent.noise:
                 self.flush()
             return
         if tag in BLOCKS or tag in DROPPED or tag == "header":
-            self.flush()
+            if not parent.noise:
+                self.flush()
             if tag in CLOSES_P:
                 self._close("p", CONTAINERS)
             if tag in SIBLINGS:
                 for open_tag in SIBLINGS[tag]:
                     self._close(open_tag, LIMITS[tag])
-        parent = self.stack[-1][1]
+        parent = node = self.stack[-1][1]
         if tag == "a":
             self.in_link += 1
-        if parent.noise:
-            node = parent
-        elif tag in CONTAINERS or tag in DROPPED or tag == "header" or attrs and not attrs.isspace() and tag != "a":
+        if not parent.noise and (tag in CONTAINERS or tag in DROPPED or tag in SILENT or tag == "header" or attrs and not attrs.isspace() and tag != "a"):
             named = {name.lower(): unescape(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attrs)}
             noise = self._noise(tag, named, parent)
-            node = parent
-            if noise or tag in CONTAINERS:
-                node = _Node(tag, _label(tag, named.get("class", "")), parent, noise, self.path)
-        else:
-            node = parent
+            if noise is not False or tag in CONTAINERS:
+                node = _Node(tag, _label(tag, named.get("class", "")), parent, noise is True, self.path, noise is None)
         self.stack.append((tag, node))
 
     def _close(self, tag: str, limits) -> None:
@@ -146,11 +170,12 @@ class _Page:
             if self.stack[i][0] == tag:
                 self._drop_to(i)
                 return
-            if self.stack[i][0] in limits or i == 1:
+            if self.stack[i][0] in limits or self.stack[i][0] in SCOPES or i == 1:
                 return
 
     def _drop_to(self, i: int) -> None:
-        self.flush()
+        if not self.stack[i][1].noise:
+            self.flush()
         if self.in_link:
             self.in_link -= sum(t == "a" for t, _ in self.stack[i:])
         del self.stack[i:]
@@ -158,7 +183,7 @@ class _Page:
     def end(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                if tag in BLOCKS or tag in DROPPED or tag == "header":
+                if tag in BLOCKS or tag in DROPPED or tag in SILENT or tag == "header":
                     self._drop_to(i)
                 else:
                     # An inline element never closes the blocks around it.
@@ -170,6 +195,8 @@ class _Page:
 
     def text(self, data: str) -> None:
         if not self.stack[-1][1].noise:
+            if not self.words:
+                self.at = self.stack[-1][1]
             self.words.append(unescape(data) if "&" in data else data)
             if self.in_link:
                 self.linked += len(data)
@@ -192,7 +219,32 @@ class _Page:
                 at = close.start() if close else len(html)
         self.text(html[at:])
         self.flush()
-        return self.blocks
+        return self._sure()
+
+    def _sure(self) -> list[tuple[_Node, str, int]]:
+        """The blocks without those in forms that ask more than they tell, and without parts of unsure name that are short or links."""
+        sums: dict[_Node, list[int]] = {}
+        for node, text, linked in self.blocks:
+            at = node.doubt
+            while at is not None and at not in sums:
+                sums[at] = [0, 0]
+                at = at.parent.doubt
+            if node.doubt is not None:
+                sums[node.doubt][0] += len(text)
+                sums[node.doubt][1] += linked
+        gone = set()
+        for node in sorted(sums, key=lambda n: -n.depth):
+            length, linked = sums[node]
+            above = node.parent.doubt
+            if linked > LINKED * length or length - linked < PROSE * (1 + (node.controls if node.tag == "form" else 0)):
+                gone.add(node)
+            elif above is not None:
+                sums[above][0] += length
+                sums[above][1] += linked
+        for node in sorted(sums, key=lambda n: n.depth):
+            if node.parent.doubt in gone:
+                gone.add(node)
+        return [block for block in self.blocks if block[0].doubt not in gone] if gone else self.blocks
 
 
 def _blocks(html: str, agreed: str | None = None) -> list[tuple[_Node, str, int]]:
@@ -305,7 +357,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """All columns, with text, n_chars (long) and path added or replaced: the main text of each page.
 
     Left out are menus, headers of the page, footers, sidebars, notices, adverts, forms, scripts,
-    styles and reader comments. White space inside a block becomes one space, blocks are joined in
+    styles and reader comments. A form stays if it holds an article or much more prose than controls;
+    a block that an unsure word names (a notice, a header, search) stays if it is mostly prose. White space inside a block becomes one space, blocks are joined in
     page order by an empty line. Null and empty pages give an empty text; a page without host, or
     whose host has no agreed path, speaks for itself. Repeated rows are extracted alike.
     """

@@ -118,3 +118,53 @@ def test_lists_of_links_beside_the_article_stay_out():
     html = f"<body><div class=page><div class=box>{links}</div><div class=body>{paragraphs(8, 20)}</div></div>"
     text, _ = html_extraction.extract_text(html, html_extraction.vote(html)[0])
     assert "headline" not in text and text.endswith("word 7")
+
+
+BODY = paragraphs(8, 20)
+
+
+def main_text(html):
+    return html_extraction.extract_text(html, html_extraction.vote(html)[0])[0]
+
+
+def plain(n, size):
+    return "\n\n".join(f"{('word ' * size).strip()} {i}" for i in range(n))
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<body><form id=aspnetForm action=/><input type=hidden name=a><input name=q><div class=content>", "</div></form>"),
+    ("<body><form><input name=q><button>Go</button><select><option>x</select><article>", "</article></form>"),
+    ("<body><div class=search-results>", "</div>"),
+    ("<body><article>", "<form><p>Write to us<input name=a><textarea></textarea></form></article>"),
+    ("<body><article>", "<p class=notice>Short notice</p><div class='search box'>Search here</div></article>"),
+])
+def test_forms_and_unsure_names(before, after):
+    assert main_text(before + BODY + after) == plain(8, 20)
+
+
+def test_prose_of_an_unsure_name_stays_in_the_article():
+    said = "This long passage tells of the rules that hold for all readers of the place. " * 4
+    got = main_text(f"<article>{BODY}<p class=notice>{said}</p><div class=search-results><p>{said}</div><div class=ad><p>{said}</div></article>")
+    assert got == plain(8, 20) + ("\n\n" + said.strip()) * 2
+
+
+def test_what_stands_inside_a_sentence_does_not_cut_it():
+    line = "<p>So <math xmlns=m><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding=t>x=1</annotation></semantics></math> holds<svg><title>i</title><g/></svg>, <script>a()</script>always <button><div>no</div></button>so.</p>"
+    assert main_text(f"<article>{line}{BODY}</article>") == "So x=1 holds, always so.\n\n" + plain(8, 20)
+
+
+def test_generated_pages_give_their_article():
+    rng = random.Random(5)
+    noise = ["<nav><ul><li><a href=/>Home</a></ul></nav>", "<aside><p>Side</p></aside>", "<div class=ad>Buy</div>", "<script>x('<p>')</script>", "<footer><p>Foot</p></footer>",
+             "<form><label>Name</label><input name=n><p>Write</p></form>", "<section class=comments><p>First!</p></section>", "<style>p{}</style>", "<div hidden>Gone</div>"]
+    for _ in range(200):
+        blocks, parts = [], []
+        for _ in range(rng.randint(3, 12)):
+            w = " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(5, 60)))
+            tag = rng.choice(["p", "h2", "blockquote", "li", "div"])
+            shown = w.replace(" w1 ", " <b>w1</b> ").replace(" w2 ", "\n<a href=/2>w2</a>\t").replace(" w3 ", " <svg><title>no</title></svg>w3<br>")
+            parts.append(f"<{tag}>{shown}</{tag}>")
+            blocks.append(w)
+            parts += rng.sample(noise[2:], rng.randint(0, 1))
+        html = "<html><body>" + "".join(rng.sample(noise[:2] + noise[4:5], 2)) + "<article>" + "".join(parts) + "</article>" + "".join(rng.sample(noise, 3)) + "</body></html>"
+        assert main_text(html) == "\n\n".join(blocks), html
