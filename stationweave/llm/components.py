@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import release, settle
 
 
+SHARES = 64  # tasks that the edges of one node are dealt over
+
+
 def _least(pairs: DataFrame) -> DataFrame:
-    """Every (u, v) with the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return pairs.join(least, "u")
+    """Every (u, v) with the least of u and all its v; the edges of a node never meet in one task."""
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("v"), F.lit(SHARES)).cast("int"))
+    each = dealt.groupBy("u", "share").agg(F.min("v").alias("m"))
+    least = each.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_list("share").alias("shares"))
+    return dealt.join(least.select("u", "m", F.explode("shares").alias("share")), ["u", "share"]).drop("share")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,9 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge to another; component is its least node.
 
     edges has two columns of one ordered type; direction, repeats, loops and rows with nulls don't
-    matter. Alternating large and small stars: each step is an aggregation and a join on a node, so
-    no component ever meets in one task, and steps grow with the logarithm of the size. Every step
-    is written to the shared folder; the one before it is deleted.
+    matter. Alternating large and small stars: each step is an aggregation and a join on a node and a share
+    of its edges, so no component ever meets in one task, and steps grow with the logarithm of the size. Every
+    step is written to the shared folder; the one before it is deleted.
     """
     a, b = edges.columns
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")

@@ -5,9 +5,10 @@ is on classes. Bands of MinHash values bring candidates together. An odd sketch,
 of a one-permutation MinHash sample, rules most of them out: the ones in the XOR of two sketches
 say how far the samples differ. What is left is decided on the full sets.
 
-No group is ever expanded into all its pairs: members of a band are first held against one of
-them, which joins true copies into components, and only members of different components are then
-compared with each other.
+No group of copies is ever expanded into all its pairs: members of a band are first held against
+one of them, which joins true copies into components. What is outside of a band's largest component
+is then held against one of its own, until that finds nothing more or little is left; and only the rest, for as long
+as it lies in different components, meets the members of the band one by one.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, attach, lists, lookup, mixed, modest_batches, settle, small, texts_of
+from .common import as_bytes, attach, hot_join, lists, lookup, mixed, modest_batches, settle, small, texts_of
 from .components import connected_components
 
 BANDS, ROWS = 25, 4  # a pair at similarity 0.85 shares no band in 1 of 10^8 cases, at 0.8 in 2 of 10^6
 BINS, BITS = 8192, 4096  # samples and bits of an odd sketch
 DEVIATIONS = 4.0  # by which the difference of two sketches may exceed what the threshold makes one expect
 SHARE = 250  # pairs of one text that meet in one task
+LOOKS = 4  # pairs of sketches for each member of a torn band, above which its parts are first held against hubs
 
 _SEEDS = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _FACTORS, _SHIFTS = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
@@ -146,6 +148,43 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return settle(met.where(similar("x_text", "y_text")).select("x", "y"))
 
 
+def _parts(within: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (band, cls) with the component of each class as `part`."""
+    found = connected_components(links).toDF("cls", "component")
+    return within.join(found, "cls", "left").select("band", "cls", F.coalesce("component", "cls").alias("part"))
+
+
+def _torn(labelled: DataFrame) -> DataFrame:
+    """(band, n, main, rest): bands of several components, with their members, the largest component and the members outside of it."""
+    sizes = labelled.groupBy("band", "part").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
+    return bands.where("top.n < n").select("band", "n", F.col("top.part").alias("main"), (F.col("n") - F.col("top.n")).alias("rest"))
+
+
+def _looks(torn: DataFrame) -> tuple[float, int]:
+    """How many pairs of members _crossing() looks at, and the members of all torn bands."""
+    row = torn.agg(F.sum(F.col("n") * F.col("rest").cast("double")), F.sum("n")).first()
+    return row[0] or 0.0, row[1] or 0
+
+
+def _crossing(torn: DataFrame, labelled: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
+    """(x, y): pairs of classes in different components of a band whose sketches allow the threshold.
+
+    Every member is dealt to one share of its band, and the few outside of the largest component to all of
+    them. Two members meet in many bands; the first one they share has the pair.
+    """
+    shares = F.ceil(F.col("n") / SHARE).cast("int").alias("shares")
+    rows = hot_join(labelled, torn.select("band", "n", "main", shares), "band", "n", "cls").withColumn("other", F.col("part") != F.col("main"))
+    rows = settle(rows.drop("main").join(sketched, "cls"))
+    left = rows.select("band", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int").alias("share"), F.col("cls").alias("x_cls"), F.col("part").alias("x_part"), F.col("other").alias("x_other"), F.col("sketch").alias("x"))
+    right = rows.where("other").select("band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("cls").alias("y_cls"), F.col("part").alias("y_part"), F.col("sketch").alias("y"))
+    common = F.zip_with("x.bands", "y.bands", lambda a, b: F.when(a == b, a))
+    here = F.get(F.filter(common, lambda b: b.isNotNull()), F.lit(0)) == F.col("band")
+    apart = (F.col("x_part") < F.col("y_part")) | (~F.col("x_other") & (F.col("x_part") > F.col("y_part")))
+    met = left.join(right, ["band", "share"]).where(apart & _alike(threshold) & here)
+    return met.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
     """All columns, with n_shingles (long), component_id (type of key) and kept (boolean) added or replaced.
 
@@ -166,37 +205,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # Each band has a hub of its own, so that a large group is held against many of its members.
     hub = F.min(F.struct(F.xxhash64("cls", "band").alias("order"), "cls")).getField("cls").alias("hub")
     bands = settle(members.groupBy("band").agg(hub, F.count("*").alias("n")).where("n > 1"))
-    within = settle(members.join(bands, "band"))
+    within = settle(hot_join(members, bands, "band", "n", "cls"))
 
     def sketch(name: str, of: DataFrame) -> DataFrame:
         return classes.join(of, "cls", "left_semi").select(F.col("cls").alias(f"{name}_cls"), F.struct("odd", "samples", "n_shingles").alias(name))
 
+    def starred(rows: DataFrame) -> DataFrame:
+        """The confirmed links among (hub, cls): each class against the hub of its row."""
+        pairs = rows.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"), F.col("hub").alias("x_cls"), F.col("cls").alias("y_cls"))
+        stars = settle(pairs.dropDuplicates(["a", "b"]).select("x_cls", "y_cls"))
+        hubs = sketch("x", stars.select(F.col("x_cls").alias("cls")).distinct())
+        spokes = sketch("y", stars.select(F.col("y_cls").alias("cls")).distinct())
+        met = lookup(stars, hubs, "x_cls", "inner").join(spokes, "y_cls")
+        return _confirmed(met.where(_alike(threshold)).select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
+
     # One member against all others of its band.
-    stars = within.where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b"), F.col("hub").alias("x_cls"), F.col("cls").alias("y_cls"))
-    stars = stars.dropDuplicates(["a", "b"]).select("x_cls", "y_cls")
-    hubs = sketch("x", within.select(F.col("hub").alias("cls")).distinct())
-    spokes = sketch("y", within.select("cls").distinct())
-    met = lookup(stars, hubs, "x_cls", "inner").join(spokes, "y_cls")
-    linked = _confirmed(met.where(_alike(threshold)).select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
+    linked = starred(within)
+    within = within.select("band", "cls")
+    labelled = settle(_parts(within, linked))
+    torn = settle(_torn(labelled))
+    # What the hub left over, as long as that halves the work: again one of them against the others.
+    looks, rows = _looks(torn)
+    turn, before = 0, 2 * looks
+    while looks > LOOKS * rows and 2 * looks <= before:
+        turn, before = turn + 1, looks
+        wide = torn.where(F.col("rest") > LOOKS).select("band", "n", "main")
+        rest = settle(hot_join(labelled, wide, "band", "n", "cls").where("part <> main").select("band", "cls", "part"))
+        first = F.min(F.struct(F.xxhash64("cls", "band", F.lit(turn)).alias("order"), "cls", "part")).alias("hub")
+        hubs = settle(rest.groupBy("band").agg(first, F.count("*").alias("n")))
+        held = hot_join(rest, hubs, "band", "n", "cls").where("part <> hub.part").select("cls", F.col("hub.cls").alias("hub"))
+        linked = linked.union(starred(held))
+        labelled = settle(_parts(within, linked))
+        torn = settle(_torn(labelled))
+        looks, rows = _looks(torn)
 
     # Members of different components that share a band.
-    parts = settle(connected_components(linked))
-    labelled = within.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("component", "cls").alias("part"))
-    # Two members meet in many bands; the first one they share has the pair.
-    torn = labelled.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b").select("band", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
     sketched = classes.select("cls", F.struct("odd", "samples", "n_shingles", "bands").alias("sketch"))
-    crossing = settle(labelled.join(torn, "band").join(sketched, "cls"))
-    common = F.zip_with("x.bands", "y.bands", lambda a, b: F.when(a == b, a))
-    here = F.get(F.filter(common, lambda b: b.isNotNull()), F.lit(0)) == F.col("band")
-    left = crossing.select("band", F.pmod(F.xxhash64("cls"), F.col("shares")).cast("int").alias("share"), F.col("cls").alias("x_cls"), F.col("part").alias("x_part"), F.col("sketch").alias("x"))
-    right = crossing.select("band", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("cls").alias("y_cls"), F.col("part").alias("y_part"), F.col("sketch").alias("y"))
-    met = left.join(right, ["band", "share"]).where((F.col("x_part") < F.col("y_part")) & _alike(threshold) & here)
-    across = _confirmed(met.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
+    across = _confirmed(_crossing(torn, labelled, sketched, threshold), classes, docs, text, size, threshold)
 
     whole = connected_components(linked.union(across))
     named = classes.select("cls", "key").join(whole.withColumnRenamed("node", "cls"), "cls")
     least = named.groupBy("component").agg(F.min("key").alias("least"))
-    ids = settle(named.join(least, "component").select(F.col("cls").alias("_cls"), "least").union(
+    ids = settle(lookup(named, least, "component", "inner").select(F.col("cls").alias("_cls"), "least").union(
         classes.join(whole.withColumnRenamed("node", "cls"), "cls", "left_anti").select("cls", "key")))
 
     # Back to the rows: every text by its digest.

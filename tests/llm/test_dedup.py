@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationweave.llm import common, near_dedup, substring_dedup
+from stationweave.llm.components import connected_components as components_of
 
 
 def words(rng, n, vocabulary=4000):
@@ -94,6 +95,46 @@ def test_same_result_without_broadcast(docs, monkeypatch):
     assert sorted((r.component_id or -1) for r in got) == sorted((c or -1) for _, _, c in components(rows, 3, 85))
 
 
+@pytest.mark.parametrize("looks", [0, 10**9])
+def test_torn_bands_give_all_links(docs, monkeypatch, looks):
+    """Several groups that share most words: their bands hold many components, some of them linked by one pair only."""
+    monkeypatch.setattr(near_dedup, "LOOKS", looks)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = random.Random(11)
+    base, rows = words(rng, 60), []
+    for group in range(6):
+        own = list(base)
+        for i in range(2 + group * 2):
+            own[(i * 7) % 60] = f"g{group}x{i}"
+        for copy in range(8):
+            text = list(own)
+            for i in rng.sample(range(60), copy % 4):
+                text[i] = f"c{group}x{copy}x{i}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(100 + i, " ".join(words(rng, 30))) for i in range(10)]
+    want = components(rows, 3, 80)
+    got = near_dedup.near_duplicates(docs(rows), size=3, threshold=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: least for k, _, least in want}
+
+
+def test_one_stray_among_near_copies_is_compared_once_with_each(spark):
+    member = F.concat(F.lit("c"), F.col("id")).cast("binary").alias("cls")
+    labelled = spark.range(5001).select(F.lit(7).cast("long").alias("band"), member, F.when(F.col("id") == 9, F.lit(b"s")).otherwise(F.lit(b"p")).alias("part"))
+    torn = near_dedup._torn(labelled)
+    assert near_dedup._looks(torn) == (5001, 5001)
+    odd = F.array(*[F.lit(0).cast("long")] * (near_dedup.BITS // 64))
+    sketch = F.struct(odd.alias("odd"), F.lit(9).alias("samples"), F.lit(9).cast("long").alias("n_shingles"), F.array(F.lit(7).cast("long")).alias("bands"))
+    sketched = labelled.select("cls", sketch.alias("sketch"))
+    pairs = near_dedup._crossing(torn, labelled, sketched, 80).collect()
+    assert len(pairs) == 5000 and all(b"c9" in (bytes(x), bytes(y)) for x, y in pairs)
+
+
+def test_components_of_a_hub_with_many_edges(spark):
+    edges = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    got = components_of(edges)
+    assert got.count() == 3000 and got.select("component").distinct().collect()[0][0] == 0
+
+
 def test_deduplicate_keeps_one(docs):
     rows = corpus()
     kept = near_dedup.deduplicate(docs(rows)).collect()
