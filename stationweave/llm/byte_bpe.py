@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, lists, modest_batches
+from .common import any_names, as_bytes, lists, modest_batches
 
 # Pieces and token pairs that a worker remembers; a full memory starts anew. Longer pieces are not kept.
 REMEMBERED = 150_000
@@ -137,6 +137,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+@any_names
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns, and `ids` (array<int>, added or replaced): the token ids of each text.
 
@@ -167,6 +168,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return df.withColumn("_coded", encoded(as_bytes(text))).select(*kept, *(F.col(at).alias(c) for c, at in names.items()))
 
 
+@any_names
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns, and `out` (binary, added or replaced): the bytes of the token ids. Null ids give empty bytes."""
     modest_batches(df.sparkSession)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import os
 import tempfile
 import uuid
 import zipfile
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,29 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 200_000
 
 
+def any_names(operator):
+    """The operator for rows that have columns of any names.
+
+    Internal names begin with an underscore; columns of the first argument that do so too are renamed while the
+    operator works, also where its parameters key, text, lang, url, html or ids name them.
+    """
+    kind = inspect.signature(operator)
+
+    @wraps(operator)
+    def apart(rows: DataFrame, *args, **kwargs) -> DataFrame:
+        prefix = "own"
+        while any(c.lower().startswith(f"{prefix}_") for c in rows.columns):
+            prefix += "n"
+        other = {c: prefix + c for c in rows.columns if c.startswith("_")}
+        if not other:
+            return operator(rows, *args, **kwargs)
+        call = kind.bind(rows.withColumnsRenamed(other), *args, **kwargs)
+        call.arguments.update({k: other.get(v, v) for k, v in call.arguments.items() if k in ("key", "text", "lang", "url", "html", "ids")})
+        return operator(*call.args, **call.kwargs).withColumnsRenamed({new: old for old, new in other.items()})
+
+    return apart
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers once, for clusters on which it isn't installed."""
     context = spark.sparkContext

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, modest_batches, settle
+from .common import any_names, as_bytes, modest_batches, settle
 
 CELL = 3  # bytes of context by which the work on deep contexts is dealt
 
@@ -320,6 +320,7 @@ def _part(df: DataFrame, frame: DataFrame, i: int, n: int) -> tuple[np.ndarray,
     return rows.column("key").to_numpy().astype(np.int64), rows.column("value").to_numpy().astype(np.float32)
 
 
+@any_names
 def score(docs: DataFrame, train: "F.Column", text: str = "text", rules: ContextTree = ContextTree()) -> DataFrame:
     """All columns, with n_tokens, n_known, train_tokens (long), base_score and score (double) added or replaced.
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, UPPER, let, lookup, settle, texts_of
+from .common import any_names, LOWER, UPPER, let, lookup, settle, texts_of
 
 # What separates words, before and after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,6 +61,7 @@ def _windows(items: DataFrame, text: str, window: int) -> DataFrame:
     return listed.select("*", size.alias("size"), start).withColumn("window", F.array_join(F.slice("_words", F.col("_start"), F.col("size")), " ")).drop("_words", "_n", "_start")
 
 
+@any_names
 def contaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All columns of docs, with n_words, n_hit, n_items (long) and item_ids (array<string>, sorted) added or replaced.
 

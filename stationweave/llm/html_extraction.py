@@ -17,7 +17,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, lookup, modest_batches
+from .common import any_names, as_bytes, lookup, modest_batches
 from .url_filters import host
 
 # Elements by their role in a page.
@@ -353,6 +353,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return sums.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "path")).alias("best")).select("host", "best.path")
 
 
+@any_names
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """All columns, with text, n_chars (long) and path added or replaced: the main text of each page.
 

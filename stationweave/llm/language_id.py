@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import as_bytes, lists, modest_batches, settle, small
+from .common import any_names, as_bytes, lists, modest_batches, settle, small
 
 # Families of common languages by code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -167,6 +167,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Language
     return Predictor([row["lang"] for row in rows], x, rules)
 
 
+@any_names
 def predict(docs: DataFrame, model: Predictor, text: str = "text") -> DataFrame:
     """All columns, with lang_pred (string) and score (double, 0 to 1) added or replaced.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import as_bytes, attach, hot_join, lists, lookup, mixed, modest_batches, settle, small, texts_of
+from .common import any_names, as_bytes, attach, hot_join, lists, lookup, mixed, modest_batches, settle, small, texts_of
 from .components import connected_components
 
 BANDS, ROWS = 25, 4  # a pair at similarity 0.85 shares no band in 1 of 10^8 cases, at 0.8 in 2 of 10^6
@@ -185,6 +185,7 @@ def _crossing(torn: DataFrame, labelled: DataFrame, sketched: DataFrame, thresho
     return met.select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y"))
 
 
+@any_names
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
     """All columns, with n_shingles (long), component_id (type of key) and kept (boolean) added or replaced.
 
@@ -258,6 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return rows.join(result, "_digest", "left").select(*kept, "n_shingles", component).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+@any_names
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
     """The documents without near duplicates, with their columns as they are: of each group the one
     with the least key stays, of rows that repeat a key and its text one."""

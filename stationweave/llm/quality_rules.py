@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, modest_batches, settle
+from .common import any_names, as_bytes, modest_batches, settle
 
 # Deletions that leave what a figure counts.
 _SPACES_AND_TAILS = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
@@ -175,6 +175,7 @@ class _Judge:
         return n, len(value.translate(None, _SPACES_AND_TAILS)), len(value) - len(value.translate(None, _SYMBOLS)), duplicate_lines(value), repeat, *nearest, failed, good
 
 
+@any_names
 def judge(df: DataFrame, rules: QualityRules = QualityRules(), known: list[dict] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns, with statistics, distances and verdict added or replaced.
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, modest_batches
+from .common import any_names, as_bytes, modest_batches
 
 # Words whose counts a worker remembers between texts; a full memory starts anew.
 REMEMBERED = 200_000
@@ -105,6 +105,7 @@ def _memory(pieces: tuple[bytes, ...]) -> _Memory:
     return _COUNTERS[key]
 
 
+@any_names
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """All columns, with n_words and n_tokens (long) added or replaced.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stationweave.session import config_table
 
-from .common import LOWER, UPPER, settle, small
+from .common import any_names, LOWER, UPPER, settle, small
 from .components import connected_components
 
 # How a page names its canonical address, and where it sends the reader.
@@ -62,6 +62,7 @@ def _longest_rule(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Dat
     return fitting.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.rule_verdict")
 
 
+@any_names
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
     """All columns, with host, path, rule, verdict and component added or replaced.
 
