@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,14 @@ def test_grams_are_equal_for_equal_stretches():
     x, y = (substring_dedup.grams(substring_dedup.word_hashes(" ".join(w).encode()), 50) for w in (a, b))
     assert len(x) == 41 and len(y) == 21
     assert {(int(i), int(j)) for i in range(41) for j in range(21) if x[i] == y[j]} == {(31 + k, 10 + k) for k in range(6)}
+
+
+def test_bound_of_a_step_is_never_below_its_score():
+    rng = random.Random(8)
+    spared = 0
+    for size in (3, 8, 30, 500) * 200:
+        a, b = (np.array([rng.randrange(size) for _ in range(rng.randrange(1, 25))], np.uint64) for _ in range(2))
+        score, most = substring_dedup._step(a.tobytes(), b.tobytes())[2], substring_dedup._at_most(a.tolist(), b.tolist())
+        assert score <= most
+        spared += most < 3
+    assert spared > 300
