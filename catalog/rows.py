@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from catalog.bindings import (
     FLAGS,
     KINDS,
+    MONTHS,
     NO2,
     PM,
     RH,
@@ -19,7 +20,7 @@ from catalog.bindings import (
     task,
 )
 from catalog.registry import query
-from catalog.sql import EVENTS, READINGS, matrix, r, sup, supervised
+from catalog.sql import EVENTS, ISO, MONTH_WINDOWS, R2, READINGS, RMSE, least_squares, matrix, r, sup, supervised
 from stationweave.functions.names import feature_name, q
 from stationweave.operators import impute, models, normalize, profile, scoring, supervised as sv, tuning
 from stationweave.plans import evaluate, prepare
@@ -181,11 +182,16 @@ def m16_training_by_exclusion(spark, sf):
     return rounded(prepare.prepare_training(lineitem_readings(spark, sf), spec).normalized)
 
 
-def _held_out_sql(year: int) -> str:
+def _held_out(year: int) -> str:
+    """CTE list giving training rows `t` and the rows `v` of a year."""
     train = sup(2, 1, TRAIN_SLICE, clean=True).replace("rows_ AS", "t AS")
     own = sup(2, 1, f"year(ts) = {year}", clean=True).replace("r AS (", "r2 AS (", 1).replace("m AS (", "m2 AS (", 1)
     own = own.replace("FROM r ", "FROM r2 ").replace("FROM m)", "FROM m2)").replace("rows_ AS", "v AS")
-    return f"""WITH {train}, {own} SELECT feature_time, {', '.join(r(f'(v."{c}" - (SELECT avg("{c}") FROM t)) / (SELECT stddev_pop("{c}") FROM t)', c) for c in PREP)},
+    return f"{train}, {own}"
+
+
+def _held_out_sql(year: int) -> str:
+    return f"""WITH {_held_out(year)} SELECT feature_time, {', '.join(r(f'(v."{c}" - (SELECT avg("{c}") FROM t)) / (SELECT stddev_pop("{c}") FROM t)', c) for c in PREP)},
     {r('target_value', 'target_value')}, prediction_time FROM v WHERE year(prediction_time) = {year}"""
 
 
@@ -227,6 +233,42 @@ def m16_all_tasks_normalised(spark, sf):
 
 # Models --------------------------------------------------------------------------------
 
+_BOTH = ", ".join(f"avg(CASE WHEN station_id = '{s}' THEN \"{p}\" END) AS \"{p}__{s}\"" for p in (PM, NO2) for s in FLAGS)
+_BOTH_TARGETS = [f"{p}__A" for p in (PM, NO2)]
+_BOTH_FEATURES = [f"{p}__{s}" for p in (PM, NO2) for s in ("N", "R")]
+_SCORES = f"count(*) AS row_count, {r(RMSE, 'RMSE', 4)}, {r(R2, 'R2', 4)}"
+TWO_TARGETS = f"""both_ AS (SELECT ts, {_BOTH} FROM ({READINGS}) GROUP BY ts),
+    whole AS (SELECT * FROM both_ WHERE {' AND '.join(f'"{c}" IS NOT NULL' for c in [*_BOTH_FEATURES, *_BOTH_TARGETS])}),
+    {least_squares('whole', _BOTH_FEATURES, _BOTH_TARGETS)}"""
+# The linear model of SPEC on its training rows and on the rows of 2001.
+LINEAR_RUN = f"""{_held_out(2001)}, every AS (SELECT *, TRUE AS learnt FROM t UNION ALL SELECT *, FALSE FROM v),
+    {least_squares('every', PREP, ['target_value'], 'learnt')}"""
+_MADE = {
+    "model": "fit0",
+    "Baseline: Average of Other Stations": '("neighbor__N" + "neighbor__R") / 2',
+    "Baseline: Replace with Station N": '"neighbor__N"',
+    "Baseline: Replace with Station R": '"neighbor__R"',
+}
+SCORED_RUN = f"""{LINEAR_RUN}, made AS ({' UNION ALL '.join(
+    f"SELECT '{'model' if name == 'model' else 'baseline'}' AS source, '{name}' AS algorithm, prediction_time, target_value AS actual, {value} AS prediction FROM fit WHERE NOT learnt"
+    for name, value in _MADE.items())})"""
+
+
+def _run_sql(windows: str, overall: bool) -> str:
+    """Long metrics of the run, per window and, if asked for, of all rows of 2001."""
+    sums = f"count(*) AS row_count, {RMSE} AS rmse, {R2} AS r2"
+    parts = [f"""SELECT source, algorithm, period_name AS name, strftime(period_start, {ISO}) AS first, strftime(period_end, {ISO}) AS last, {sums}
+      FROM made JOIN {windows} ON prediction_time BETWEEN period_start AND period_end GROUP BY ALL"""]
+    if overall:
+        parts.append(f"SELECT source, algorithm, 'overall', '', '', {sums} FROM made WHERE year(prediction_time) = 2001 GROUP BY ALL")
+    longer = " UNION ALL ".join(
+        f"""SELECT 'run_a' AS run_id, source, algorithm, name AS validation_period_name, first AS validation_period_start, last AS validation_period_end,
+      row_count, '{label}' AS metric, {r(column, 'value', 4)} FROM scored""" for label, column in (("RMSE", "rmse"), ("R2", "r2")))
+    return f"WITH {SCORED_RUN}, scored AS ({' UNION ALL '.join(parts)}) {longer}"
+
+
+YEAR_WINDOW = "(VALUES ('period_01', TIMESTAMP '2001-01-01 00:00:00', TIMESTAMP '2001-12-31 23:59:59')) AS w(period_name, period_start, period_end)"
+
 
 def _two(spark, sf) -> tuple[DataFrame, DataFrame, Task]:
     t = task(1, 1)
@@ -251,6 +293,21 @@ def m4_linear_regression(spark, sf):
     return rounded(model.predictions(test), 4)
 
 
+@query(
+    f"""WITH {sup(1, 1)}, {least_squares('rows_', ['neighbor__N', 'neighbor__R'], ['target_value'], 'year(prediction_time) < 2001')}
+    SELECT algorithm, prediction_time, {r('target_value', 'actual', 4)}, {r('fit0', 'prediction', 4)}
+    FROM fit, (VALUES ('LinearRegression'), ('GeneralizedLinearRegression')) AS a(algorithm) WHERE year(prediction_time) >= 2001"""
+)
+def m1_class_paths(spark, sf):
+    """Estimators named by the path of their class, with parameters of their own."""
+    train, test, t = _two(spark, sf)
+    made = []
+    for name, params in (("LinearRegression", {"solver": "normal"}), ("GeneralizedLinearRegression", {"family": "gaussian"})):
+        model = models.fit_model(train, sv.feature_names(t), sv.target_names(t), f"pyspark.ml.regression.{name}", params)
+        made.append(model.predictions(test).select(F.lit(name).alias("algorithm"), "prediction_time", "actual", "prediction"))
+    return rounded(made[0].unionByName(made[1]), 4)
+
+
 def _forest(spark, sf, algorithm: str) -> DataFrame:
     train, test, t = _two(spark, sf)
     model = models.fit_model(train, sv.feature_names(t), sv.target_names(t), algorithm)
@@ -267,13 +324,19 @@ def m3_extra_trees(spark, sf):
     return _forest(spark, sf, "extra_trees")
 
 
-@query()
+_FEATURE_LIST = ",".join(feature_name(s, 0, p) for p in (PM, NO2) for s in ("N", "R"))
+
+
+@query(
+    f"""WITH {TWO_TARGETS}, made AS ({' UNION ALL '.join(f"SELECT 'target_value__{p}' AS target, \"{c}\" AS actual, fit{i} AS prediction FROM fit" for i, (p, c) in enumerate(zip((PM, NO2), _BOTH_TARGETS)))})
+    SELECT target, {_SCORES}, '{_FEATURE_LIST}' AS features FROM made GROUP BY target"""
+)
 def m5_fit_two_targets(spark, sf):
     """One model per target; the result names the features each was fitted on."""
     t = task(1, 0, (PM, NO2))
     rows = sv.supervised_frame(lineitem_readings(spark, sf), t)
     model = models.fit_model(rows, sv.feature_names(t), sv.target_names(t), LINEAR, {"solver": "normal"})
-    return model.evaluate(rows).withColumn("features", F.lit(",".join(model.features)))
+    return rounded(model.evaluate(rows).withColumn("features", F.lit(",".join(model.features))), 4)
 
 
 @query()
@@ -293,13 +356,22 @@ def m6_predict(spark, sf):
     return model.predict(test)
 
 
-@query()
+@query(_run_sql(YEAR_WINDOW, True))
 def m7_evaluate_run(spark, sf):
     """Model and baselines scored on the same rows of the testing window, per period."""
     df = lineitem_readings(spark, sf)
     trained = evaluate.train(df, SPEC, ModelSpec(LINEAR, {"solver": "normal"}))
     result = evaluate.evaluate(df, SPEC, trained, per_period=True)
-    return evaluate.run_metrics(result, "run_a")
+    return rounded(evaluate.run_metrics(result, "run_a"), 4)
+
+
+@query(_run_sql(MONTH_WINDOWS, False))
+def c8_per_period_only(spark, sf):
+    """A run that keeps the results of its months alone, without any over all of them."""
+    df = lineitem_readings(spark, sf)
+    spec = SPEC.with_(testing_periods=MONTHS)
+    trained = evaluate.train(df, spec, ModelSpec(LINEAR, {"solver": "normal"}))
+    return rounded(evaluate.run_metrics(evaluate.evaluate(df, spec, trained, only_per_period=True), "run_a"), 4)
 
 
 @query(
@@ -443,7 +515,10 @@ def m20_latest_runs(spark, sf):
     return runs.latest_runs(table_of_runs)
 
 
-@query()
+@query(
+    f"""WITH {LINEAR_RUN}, made AS (SELECT 'target_value' AS target, target_value AS actual, fit0 AS prediction FROM fit WHERE NOT learnt AND year(prediction_time) = 2001)
+    SELECT target, {_SCORES} FROM made GROUP BY target"""
+)
 def m19_saved_model(spark, sf):
     """A model stored, loaded again and scored with its stored statistics."""
     root = scratch(spark)
@@ -454,7 +529,7 @@ def m19_saved_model(spark, sf):
     runs.check_alignment(spark, root, "run_a", SPEC, spec)
     loaded = runs.load_model(spark, root, "run_a")
     stats = runs.load_stats(spark, root, "run_a")
-    return loaded.evaluate(prepare.prepare_evaluation(df, SPEC, stats).normalized)
+    return rounded(loaded.evaluate(prepare.prepare_evaluation(df, SPEC, stats).normalized), 4)
 
 
 @query(
@@ -467,18 +542,21 @@ def a10_training_dump(spark, sf):
     return results.read_run_table(spark, root, "dump_summary").select("run_id", "row_count", "feature_count", "horizon", "normalization")
 
 
-@query()
+@query(_run_sql(YEAR_WINDOW, True))
 def a11_evaluation_sink(spark, sf):
     root = scratch(spark)
     df = lineitem_readings(spark, sf)
     trained = evaluate.train(df, SPEC, ModelSpec(LINEAR, {"solver": "normal"}))
     evaluate.write_evaluation(evaluate.evaluate(df, SPEC, trained, per_period=True), root, "run_a")
-    return results.read_run_table(spark, root, "metrics")
+    return rounded(results.read_run_table(spark, root, "metrics"), 4)
 
 
-@query()
+@query(
+    f"""WITH {LINEAR_RUN} SELECT prediction_time, 'target_value' AS target, {r('target_value', 'actual', 4)}, {r('fit0', 'prediction', 4)}, 'training' AS split
+    FROM fit WHERE learnt"""
+)
 def c7_training_predictions(spark, sf):
     df = lineitem_readings(spark, sf)
     trained = evaluate.train(df, SPEC, ModelSpec(LINEAR, {"solver": "normal"}))
     result = evaluate.evaluate(df, SPEC, trained)
-    return result.training_predictions.withColumn("split", F.lit("training"))
+    return rounded(result.training_predictions.withColumn("split", F.lit("training")), 4)

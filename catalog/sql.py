@@ -77,6 +77,21 @@ def predictions() -> str:
     )
 
 
+def least_squares(source: str, features: Sequence[str], targets: Sequence[str], train: str = "TRUE") -> str:
+    """CTE list giving `fit`: the source with fit0, fit1, … for the targets, by least squares over the rows of `train`.
+
+    One feature after the other is taken out of all later columns; what stays of a target is its error.
+    """
+    columns = [*features, *targets]
+    over = f"FILTER (WHERE {train}) OVER ()"
+    steps = [f"""s0 AS (SELECT *, {', '.join(f'"{c}" - avg("{c}") {over} AS d{i}' for i, c in enumerate(columns))} FROM {source})"""]
+    for i in range(len(features)):
+        left = ", ".join(f"d{j} - d{i} * (sum(d{i} * d{j}) {over} / sum(d{i} * d{i}) {over}) AS d{j}" for j in range(i + 1, len(columns)))
+        steps.append(f"s{i + 1} AS (SELECT * REPLACE ({left}) FROM s{i})")
+    made = ", ".join(f'"{t}" - d{len(features) + i} AS fit{i}' for i, t in enumerate(targets))
+    return ", ".join([*steps, f"fit AS (SELECT *, {made} FROM s{len(features)})"])
+
+
 RMSE = "sqrt(avg((actual - prediction) * (actual - prediction)))"
 R2 = (
     "CASE WHEN var_pop(actual) * count(*) = 0 THEN "
