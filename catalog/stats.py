@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog.bindings import (
     FLAGS,
+    KINDS,
     MONTHS,
     NO2,
     PM,
@@ -334,16 +335,19 @@ def s2_denormalize(spark, sf):
     return out
 
 
+_KIND_MEANS = ", ".join(f"avg(CASE WHEN station_id = '{k}' THEN value END) AS m{i}" for i, k in enumerate(KINDS))
+_MEANS = [f"m{i}" for i in range(len(KINDS))]
+
+
 @query(
-    f"""WITH m AS (SELECT ts, avg(CASE WHEN station_id = 'click' THEN value END) AS a, avg(CASE WHEN station_id = 'error' THEN value END) AS b,
-      avg(CASE WHEN station_id = 'signup' THEN value END) AS c FROM ({EVENTS}) WHERE value IS NOT NULL GROUP BY ts)
-    SELECT ts, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0), 6) + 0.0 AS row_mean FROM m"""
+    f"""WITH m AS (SELECT ts, {_KIND_MEANS} FROM ({EVENTS}) WHERE value IS NOT NULL GROUP BY ts)
+    SELECT ts, round(({' + '.join(f'coalesce({c}, 0)' for c in _MEANS)}) / nullif({' + '.join(f'({c} IS NOT NULL)::INT' for c in _MEANS)}, 0), 9) + 0.0 AS row_mean FROM m"""
 )
 def s3_row_mean(spark, sf):
     from stationweave.operators.matrix import station_matrix
 
-    m = station_matrix(event_readings(spark, sf), ["value"], ["click", "error", "signup"])
-    return rounded(m.select("ts", baselines.row_mean([F.col(c) for c in ("click", "error", "signup")]).alias("row_mean")))
+    m = station_matrix(event_readings(spark, sf), ["value"], list(KINDS))
+    return rounded(m.select("ts", baselines.row_mean([F.col(c) for c in KINDS]).alias("row_mean")), 9)
 
 
 @query(
