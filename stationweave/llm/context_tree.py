@@ -279,7 +279,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(2 * len(keys) + 1).bit_length()))
         size = 1 << (64 - int(self.shift))
-        self.keys, self.values, self.full = np.zeros(size, np.int64), np.zeros(size, np.float32), np.zeros(size, bool)
+        self.keys, self.values, self.full = np.zeros(size, np.int64), np.zeros(size, values.dtype), np.zeros(size, bool)
         slot, left = self._slots(keys), np.arange(len(keys))
         while len(left):
             free = ~self.full[slot]
@@ -297,7 +297,7 @@ class Table:
         """(value or 0, whether there) of each key."""
         slot = self._slots(keys)
         same = (self.keys[slot] == keys) & self.full[slot]
-        values = np.where(same, self.values[slot], np.float32(0))
+        values = np.where(same, self.values[slot], self.values.dtype.type(0))
         todo = np.flatnonzero(~same & self.full[slot])
         at = slot[todo]
         while len(todo):
@@ -315,9 +315,9 @@ def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return total[starts + sizes] - total[starts]
 
 
-def _part(df: DataFrame, frame: DataFrame, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _part(frame: DataFrame, i: int, n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     rows = frame.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow()
-    return rows.column("key").to_numpy().astype(np.int64), rows.column("value").to_numpy().astype(np.float32)
+    return rows.column("key").to_numpy().astype(np.int64), rows.column("value").to_numpy().astype(kind)
 
 
 @any_names
@@ -348,7 +348,7 @@ def score(docs: DataFrame, train: "F.Column", text: str = "text", rules: Context
     least = np.log10(0.1) - np.log10(n + 0.1 * (v + 1))
 
     def scored(i: int):
-        shared = spark.sparkContext.broadcast((Table(*_part(docs, seen, i, parts)), Table(*_part(docs, known, i, parts))))
+        shared = spark.sparkContext.broadcast((Table(*_part(seen, i, parts, np.float32)), Table(*_part(known, i, parts, np.float64))))
 
         @F.arrow_udf(T.StructType([T.StructField(c, k) for c, k in zip(("n_tokens", "n_known", "base", "score"), (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))]))
         def of(texts: pa.Array) -> pa.Array:
@@ -381,12 +381,13 @@ def score(docs: DataFrame, train: "F.Column", text: str = "text", rules: Context
     if parts == 1:
         found = rows.withColumn("_s", scored(0)("_text"))
     else:
-        # A text's parts add up, whatever rows share it.
+        # A text's parts add up, each once: rows of the same text may differ in the last digits of a part, which depend on what is summed before them.
         each = None
         for i in range(parts):
-            one = settle(rows.select(F.md5("_text").alias("_digest"), scored(i)("_text").alias("s")).distinct())
+            part = rows.select(F.md5("_text").alias("_digest"), scored(i)("_text").alias("s"))
+            one = settle(part.groupBy("_digest").agg(*[F.max(f"s.{c}").alias(c) for c in ("n_tokens", "n_known", "base", "score")]))
             each = one if each is None else each.union(one)
-        whole = each.groupBy("_digest").agg(F.struct(F.max("s.n_tokens").alias("n_tokens"), F.sum("s.n_known").alias("n_known"), F.sum("s.base").alias("base"), F.sum("s.score").alias("score")).alias("_s"))
+        whole = each.groupBy("_digest").agg(F.struct(F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score")).alias("_s"))
         found = rows.withColumn("_digest", F.md5("_text")).join(whole, "_digest")
     end = np.log10((ends + 0.1) / 0.1)
     return found.select(

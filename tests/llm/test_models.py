@@ -91,6 +91,22 @@ def test_scores_equal_definition(docs, depth, block):
         assert r.score == pytest.approx(tree.log10(raw), rel=1e-5)
 
 
+def test_copies_of_a_text_are_alike_over_several_blocks(docs):
+    """A text's sums differ in their last digits with the rows before it; it still counts once for each block."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice(['cat', 'Dog', 'bird'])}{rng.randint(0, 200)}" for _ in range(rng.randint(20, 120))) for _ in range(15)]
+    rows = [(i, texts[i % 15]) for i in range(120)]
+    got = context_tree.score(docs(rows).repartition(4), F.col("doc_id") % 10 != 0, rules=context_tree.ContextTree(block=1000)).collect()
+    learnt = [t.lower().split() for k, t in rows if k % 10]
+    words = Counter(w for t in learnt for w in t)
+    n, v = sum(words.values()) + len(learnt), len(words) + 1
+    assert sorted(r.doc_id for r in got) == list(range(120))
+    for r in got:
+        counts = [words[w] for w in r.text.lower().split()]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(counts) + 1, sum(c > 0 for c in counts) + 1, n)
+        assert r.base_score == pytest.approx(sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*counts, len(learnt)]), rel=1e-9)
+
+
 def test_probabilities_add_up_to_one(docs):
     """Over all bytes that can follow a context."""
     every = [(i, "the ca" + chr(i)) for i in range(1, 128) if not 65 <= i <= 90] + [(0, "the ca"), (500, "the cat the cab"), (501, "a cat can")]
