@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationweave.operators import forests, trees
-from stationweave.operators.forests import apply_forest, apply_forests, fit_forests
+from stationweave.operators.forests import apply_forest, apply_forests, fill_forests, fit_forests
 from stationweave.operators.trees import ForestSpec, grow, grow_forest
 
 
@@ -150,3 +150,30 @@ def test_nothing_to_fit(spark):
     empty = spark.createDataFrame([], "key string, x array<double>, y array<double>")
     found = fit_forests(empty, [ForestSpec("extra_trees")])
     assert found.count() == 0 and apply_forests(empty, found, [ForestSpec("extra_trees")], 1).count() == 0
+
+
+def test_filling_equals_fitting_and_applying(spark, monkeypatch):
+    """Small groups meet their rows without a stored model, large ones by packs of trees; the values are the same."""
+    rng = np.random.default_rng(8)
+    groups = {k: (rng.normal(size=(n, 2)), rng.normal(size=(n, 2))) for k, n in (("a", 150), ("b", 1), ("ü", 400), ("unasked", 30))}
+    specs = [ForestSpec("random_forest", 9), ForestSpec("extra_trees", 5, 7, max_depth=4)]
+    known = rows_of(spark, groups)
+    asked = known.where("key <> 'unasked'").unionByName(spark.createDataFrame([("none", [1.0, 2.0], [2.0, 3.0])], known.schema)).persist()
+    monkeypatch.setattr(forests, "TASK_ROWS", 200 * 14)
+    want = {(r.key, *r.x): r.predictions for r in apply_forests(asked, fit_forests(known, specs), specs, 2).collect()}
+    for least in (1000, 0):  # two of three groups, then none of them in one task
+        monkeypatch.setattr(forests, "LEAST_ROWS", least or 1)
+        monkeypatch.setattr(forests, "BLOCK_ROWS", least or 25)
+        monkeypatch.setattr(forests, "PACK_BYTES", 20_000)
+        filled, stored = fill_forests(known, asked, specs, 2)
+        got = {(r.key, *r.x): r.predictions for r in filled.collect()}
+        assert got.keys() == want.keys() and len(got) == 552 and got["none", 1.0, 2.0] is None
+        assert all(v is None or v == pytest.approx(want[k]) for k, v in got.items())
+        assert len(stored) == 2
+
+
+def test_no_model_is_stored_for_small_groups(spark):
+    x = np.arange(40, dtype=float)[:, None]
+    known = rows_of(spark, {f"s{i}": (x, x) for i in range(5)})
+    filled, stored = fill_forests(known, known, [ForestSpec("random_forest", 3)], 1)
+    assert filled.count() == 200 and len(stored) == 1 and "feature" not in stored[0].columns
