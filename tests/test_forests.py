@@ -177,3 +177,19 @@ def test_no_model_is_stored_for_small_groups(spark):
     known = rows_of(spark, {f"s{i}": (x, x) for i in range(5)})
     filled, stored = fill_forests(known, known, [ForestSpec("random_forest", 3)], 1)
     assert filled.count() == 200 and len(stored) == 1 and "feature" not in stored[0].columns
+
+
+def test_rows_go_to_few_packs_of_trees(spark, monkeypatch):
+    """A row of a group with many shares goes to as many tasks as the model has packs, not to one for each share."""
+    x = np.arange(2000, dtype=float)[:, None]
+    rows = rows_of(spark, {"hot": (x, x)})
+    spec = ForestSpec("extra_trees", 20, max_rows=300)
+    found = fit_forests(rows, [spec])
+    assert found.select("share").distinct().count() == 20
+    dealt, spread = [], forests._spread
+    monkeypatch.setattr(forests, "_spread", lambda side, *args: dealt.append(side) or spread(side, *args))
+    for size, packs in ((forests.PACK_BYTES, 1), (50_000, 7)):
+        monkeypatch.setattr(forests, "PACK_BYTES", size)
+        dealt.clear()
+        assert apply_forests(rows, found, [spec], 1).where("predictions is not null").count() == 2000
+        assert dealt[0].count() <= 2000 * packs
