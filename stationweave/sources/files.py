@@ -292,8 +292,8 @@ def _readings(spark: SparkSession, files: FileSet, ts: str, station: str | None,
             unparsed = by_file.agg(F.lit(0), *counts).first()[1:]
             numeric = {c for c, n in zip(sorted(numeric), unparsed) if not n}
         if rivals:
-            chosen = materialise(time_forms.decided(by_file, given, "__layout", formats is not None).select("__path", "__layout", "form", "stranger"))
-            _check_forms(chosen)
+            chosen = materialise(time_forms.decided(by_file, given, "__layout", formats is not None).select("__path", "__layout", "form", "strangers"))
+            _check_forms(chosen, scan.cells(table), ts, given)
             found = [r.form for r in chosen.select("form").distinct().collect()]
             if len(found) == 1:
                 form = found[0]
@@ -313,16 +313,18 @@ def _evidence(cells: DataFrame, ts: str, numbers: Sequence[str], formats: Sequen
     layout = F.col("__layout") if "__layout" in cells.columns else F.lit(0)
     told = time_forms.evidence(cells.withColumn("__layout", layout), q(ts), formats)
     bad = [F.count_if(q(c).isNotNull() & q(c).try_cast("double").isNull()).alias(f"bad{i}") for i, c in enumerate(numbers)]
-    return told.withColumn("__text", q(ts)).groupBy("__path", "__layout").agg(*time_forms.gathered("__text"), *bad)
+    return told.groupBy("__path", "__layout").agg(*time_forms.gathered(), *bad)
 
 
-def _check_forms(files: DataFrame) -> None:
-    """Every file has one form of time that all its rows fit."""
+def _check_forms(files: DataFrame, cells: DataFrame, ts: str, formats: Sequence[str]) -> None:
+    """Every file has one form of time that all its rows fit. The text that none fits is looked up only for the error."""
     wrong = files.where("form IS NULL OR form < 0").orderBy("__path").first()
     if wrong is None:
         return
-    if wrong.stranger is not None:
-        raise ValueError(f"not a time: {wrong.stranger} in {wrong['__path']}")
+    if wrong.strangers:
+        read = time_forms.evidence(cells.where(F.col("__path") == wrong["__path"]), q(ts), formats)
+        stranger = read.where("fits = 0").agg(F.min(q(ts))).first()[0]
+        raise ValueError(f"not a time: {stranger} in {wrong['__path']}")
     if wrong.form is None:
         raise ValueError(f"the times of {wrong['__path']} contradict each other: no form fits all of them")
     raise ValueError(f"the times of {wrong['__path']} can be read month first or day first; name the form in `formats`")

@@ -254,3 +254,16 @@ def test_release(spark, tmp_path, monkeypatch):
     assert stored.count() == 5 and len(list(tmp_path.iterdir())) == 1
     session.release(stored)
     assert list(tmp_path.iterdir()) == []
+
+
+def test_evidence_of_files_is_gathered_without_sorting(spark, tmp_path):
+    """A task must not hold and sort its rows to find out a file's form; the text that no form fits is looked up for the error."""
+    for name, ending in (("a", "2020-01-02"), ("b", "nope")):
+        (tmp_path / f"{name}.csv").write_text(f"ts,station_id,v\n2020-01-01,{name},1\n{ending},{name},x\n")
+    scan = files._Scan(spark, files.file_set(str(tmp_path)), [["ts", "station_id", "v"]], None)
+    told = files._evidence(scan.cells(None), "ts", ["v"], files.TIME_FORMATS)
+    assert sorted((r["__path"][-5:], r.strangers, r.bad0) for r in told.collect()) == [("a.csv", 0, 1), ("b.csv", 1, 1)]
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    with pytest.raises(ValueError, match="not a time: nope in .*b.csv"):
+        files.read_station_csv(spark, str(tmp_path))
