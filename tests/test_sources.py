@@ -267,3 +267,16 @@ def test_evidence_of_files_is_gathered_without_sorting(spark, tmp_path):
     assert "HashAggregate" in plan and "Sort" not in plan
     with pytest.raises(ValueError, match="not a time: nope in .*b.csv"):
         files.read_station_csv(spark, str(tmp_path))
+
+
+def test_folders_of_sites_are_written_side_by_side(spark, tmp_path):
+    """The session's own setting comes back, and unsorted sites land in one file each."""
+    from catalog.sources import _write_by_site
+
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    df = spark.range(300).coalesce(1).select("id", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("id") % 3 + 1).cast("int")).alias("site"))
+    _write_by_site(df, str(tmp_path / "out"))
+    assert spark.conf.get(key) == before
+    assert sorted(f.parent.name for f in (tmp_path / "out").glob("site=*/*.csv")) == ["site=A", "site=N", "site=R"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).groupBy("site").count().where("count = 100").count() == 3
