@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import any_names, as_bytes, attach, hot_join, lists, lookup, mixed, modest_batches, settle, small, texts_of
+from .common import any_names, as_bytes, attach, hot_join, lists, lookup, mixed, modest_batches, release, settle, small, texts_of
 from .components import connected_components
 
 BANDS, ROWS = 25, 4  # a pair at similarity 0.85 shares no band in 1 of 10^8 cases, at 0.8 in 2 of 10^6
@@ -124,7 +124,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     pairs = settle(pairs)
     members = pairs.select(F.col("x").alias("cls")).union(pairs.select("y")).distinct()
     needed = classes.select("cls", "digest").join(members, "cls", "left_semi")
-    texts = texts_of(docs, text, needed.select("digest").distinct(), F.md5).join(needed, "digest").select("cls", "text")
+    whole = texts_of(docs, text, needed.select("digest").distinct(), F.md5)
+    texts = whole.join(needed, "digest").select("cls", "text")
     met = attach(attach(pairs, texts, "x", "y", "x_text", SHARE), texts, "y", "x", "y_text", SHARE)
 
     @F.arrow_udf("boolean")
@@ -145,7 +146,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
             answers.append(100 * shared >= threshold * (len(a) + len(b) - shared))
         return pa.array(answers, pa.bool_())
 
-    return settle(met.where(similar("x_text", "y_text")).select("x", "y"))
+    confirmed = settle(met.where(similar("x_text", "y_text")).select("x", "y"))
+    release(pairs)
+    release(whole)
+    return confirmed
 
 
 def _parts(within: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,10 +222,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         hubs = sketch("x", stars.select(F.col("x_cls").alias("cls")).distinct())
         spokes = sketch("y", stars.select(F.col("y_cls").alias("cls")).distinct())
         met = lookup(stars, hubs, "x_cls", "inner").join(spokes, "y_cls")
-        return _confirmed(met.where(_alike(threshold)).select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
+        found = _confirmed(met.where(_alike(threshold)).select(F.col("x_cls").alias("x"), F.col("y_cls").alias("y")), classes, docs, text, size, threshold)
+        release(stars)
+        return found
 
     # One member against all others of its band.
     linked = starred(within)
+    release(bands)
     within = within.select("band", "cls")
     labelled = settle(_parts(within, linked))
     torn = settle(_torn(labelled))
@@ -236,6 +243,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         hubs = settle(rest.groupBy("band").agg(first, F.count("*").alias("n")))
         held = hot_join(rest, hubs, "band", "n", "cls").where("part <> hub.part").select("cls", F.col("hub.cls").alias("hub"))
         linked = linked.union(starred(held))
+        for done in (rest, hubs, torn, labelled):
+            release(done)
         labelled = settle(_parts(within, linked))
         torn = settle(_torn(labelled))
         looks, rows = _looks(torn)
@@ -243,12 +252,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # Members of different components that share a band.
     sketched = classes.select("cls", F.struct("odd", "samples", "n_shingles", "bands").alias("sketch"))
     across = _confirmed(_crossing(torn, labelled, sketched, threshold), classes, docs, text, size, threshold)
+    for done in (within, labelled, torn):
+        release(done)
 
     whole = connected_components(linked.union(across))
     named = classes.select("cls", "key").join(whole.withColumnRenamed("node", "cls"), "cls")
     least = named.groupBy("component").agg(F.min("key").alias("least"))
     ids = settle(lookup(named, least, "component", "inner").select(F.col("cls").alias("_cls"), "least").union(
         classes.join(whole.withColumnRenamed("node", "cls"), "cls", "left_anti").select("cls", "key")))
+    release(classes)
 
     # Back to the rows: every text by its digest.
     result = known.select("digest", "cls", "n_shingles").distinct().join(ids.withColumnRenamed("_cls", "cls"), "cls", "left")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationweave.llm import common, near_dedup, substring_dedup
+from stationweave.llm import common, components as components_module, near_dedup, substring_dedup
 from stationweave.llm.components import connected_components as components_of
 
 
@@ -136,6 +137,37 @@ def test_components_of_a_hub_with_many_edges(spark):
     assert got.count() == 3000 and got.select("component").distinct().collect()[0][0] == 0
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_by_broadcast_and_by_shares(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(500, 540)] + [(3, i) for i in range(600, 640)]
+    edges = [(a, b) for a, b in edges if a != b]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components_of(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == least
+
+
+def test_a_step_of_few_edges_shuffles_little(spark, tmp_path):
+    """Every shuffle leaves files of each of its tasks; with the nodes broadcast, only aggregations shuffle."""
+    spark.range(1, 50).selectExpr("id + 1 as u", "id as v").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    steps = [components_module._small_star(components_module._large_star(edges, few), few) for few in (True, False)]
+    broadcast, dealt = (step._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for step in steps)
+    assert 2 * broadcast < dealt
+
+
+def test_near_duplicates_leave_no_texts_in_the_shared_folder(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "settle", lambda df, f=common.settle: made.append(f(df)) or made[-1])
+    near_dedup.near_duplicates(docs(corpus()), size=3, threshold=85).count()
+    texts = [df for df in made if "text" in df.columns]
+    assert texts and not any(os.path.exists(f.removeprefix("file:")) for df in texts for f in df.inputFiles())
+
+
 def test_deduplicate_keeps_one(docs):
     rows = corpus()
     kept = near_dedup.deduplicate(docs(rows)).collect()
