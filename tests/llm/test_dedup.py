@@ -251,6 +251,19 @@ def test_cut_repeats(docs):
     assert all(r.n_chars == len(r.text) for r in left if r.text is not None)
 
 
+def test_no_plan_runs_python_twice(docs, monkeypatch):
+    """A filter on a function's result was pushed below it and ran it again, in workers of its own."""
+    plans = []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(substring_dedup, "settle", lambda df, f=common.settle: f(plan(df)))
+    plan(substring_dedup.cut_repeats(docs(planted()[0])))
+    assert any("ArrowEvalPython" in p for p in plans) and max(p.count("ArrowEvalPython") for p in plans) == 1
+
+
 def test_chains_equal_trying_all(spark):
     rng = random.Random(6)
     for _ in range(150):
