@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -352,6 +353,54 @@ def test_passage_whose_seeds_stand_in_earlier_texts(spark, docs):
     assert sum(not set(p) & set(t.split()) for t in left.values()) == 1
 
 
+@pytest.mark.parametrize("framed", [False, True])
+def test_changed_passage_whose_seeds_stand_in_earlier_texts(spark, docs, framed):
+    """As above, with changed words, so that no long stretch is equal; framed: earlier texts have any two of its seeds near each other."""
+    rng = random.Random(34)
+    p = words(rng, 70, 10**9)
+    q = [w if i % 12 != 11 else f"e{i}" for i, w in enumerate(p)]
+
+    def make(own):
+        gap = words(own, 30, 10**9)
+        parts = [p[:40], p[30:]] + [p[:20] + gap + p[50:], p[18:62], p[20:32] + gap + p[60:]] * framed + [p, q]
+        return [" ".join(words(own, 30, 10**9) + part + words(own, 40, 10**9)) for part in parts]
+
+    n = 5 if framed else 2
+    texts = arranged(spark, make, [[*first, *last] for first in permutations(range(n)) for last in ((n, n + 1), (n + 1, n))])
+    got = substring_dedup.repeated_passages(docs(list(enumerate(texts)))).collect()
+    assert [{r.doc_id, r.other_id} for r in got] == [{n, n + 1}]
+    assert got[0].start <= 30 and got[0].end >= 97
+    left = {r.doc_id: r.text for r in substring_dedup.cut_repeats(docs(list(enumerate(texts)))).collect()}
+    assert sum(len(left[i].split()) <= 73 for i in (n, n + 1)) == 1
+
+
+def test_changed_passage_at_places_that_seeds_have_again(spark, docs):
+    """The first text has all seeds of the passage before it, in another order."""
+    rng = random.Random(35)
+    p = words(rng, 70, 10**9)
+    q = [w if i % 12 != 11 else f"e{i}" for i, w in enumerate(p)]
+    pieces = [p[i : i + 14] for i in range(0, 70, 5)]
+
+    def make(own):
+        before = [w for piece in reversed(pieces) for w in piece + words(own, 2, 10**9)]
+        return [" ".join(before + words(own, 120, 10**9) + p + words(own, 30, 10**9)), " ".join(words(own, 30, 10**9) + q + words(own, 40, 10**9))]
+
+    texts = arranged(spark, make, ([0, 1],))
+    got = substring_dedup.repeated_passages(docs(list(enumerate(texts)))).collect()
+    assert [(r.doc_id, r.other_id) for r in got] == [(1, 0)] and got[0].start <= 30 and got[0].end >= 97
+
+
+def test_neighbours_equal_trying_all():
+    rng = random.Random(36)
+    rules = substring_dedup.Passages()
+    for size in (0, 1, 5, 60) * 20:
+        place = np.array(sorted(rng.randrange(400) for _ in range(size)), np.int32)
+        fit, open_ = (np.array([rng.random() < 0.3 for _ in range(size)], bool) for _ in range(2))
+        i, j = substring_dedup.neighbours(place, fit, open_, rules)
+        want = [(a, b) for a in range(size) for b in range(a, size) if 13 <= place[b] - place[a] <= 126 and (fit[a] or fit[b]) and open_[a : b + 1].any()]
+        assert list(zip(i.tolist(), j.tolist())) == want
+
+
 def test_grams_are_equal_for_equal_stretches():
     rng = random.Random(34)
     a, b = words(rng, 90), words(rng, 70)
