@@ -390,6 +390,34 @@ def test_changed_passage_at_places_that_seeds_have_again(spark, docs):
     assert [(r.doc_id, r.other_id) for r in got] == [(1, 0)] and got[0].start <= 30 and got[0].end >= 97
 
 
+def test_texts_that_only_share_a_run_of_a_word_do_not_meet(spark, docs, monkeypatch):
+    """Each of them would meet every earlier one; the two that go on alike beside the run still do."""
+    rng = random.Random(37)
+    p = words(rng, 30, 10**9)
+    rows = [(i, " ".join(words(rng, 40, 10**9) + ["that"] * 30 + words(rng, 40, 10**9))) for i in range(40)]
+    rows += [(i, " ".join(words(rng, 40, 10**9) + ["that"] * 30 + [*p[:12], f"e{i}", *p[13:]] + words(rng, 40, 10**9))) for i in (50, 51)]
+    settle, met = substring_dedup.settle, []
+
+    def counted(df):
+        out = settle(df)
+        if out.columns == ["x", "y"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "settle", counted)
+    got = substring_dedup.repeated_passages(docs(rows)).collect()
+    assert [{r.doc_id, r.other_id} for r in got] == [{50, 51}] and got[0].start <= 40 and got[0].end >= 100
+    assert sum(met) <= 50
+
+
+def test_thinned_runs():
+    value, place = np.array([7, 5, 5, 5, 5, 5, 5, 5, 9, 5], np.uint64), np.array([1, 3, 4, 5, 6, 7, 8, 9, 12, 20])
+    assert place[substring_dedup.thinned(value, place)].tolist() == [1, 3, 7, 9, 12, 20]
+    hashes = np.array([1, 2, 3, 3, 3, 4], np.uint64)
+    assert [x.tolist() for x in substring_dedup.runs(hashes)] == [[0, 1, 2, 2, 2, 5], [1, 2, 5, 5, 5, 6]]
+    assert len(substring_dedup.beside(hashes, 2, 5, 24)) == 3 and substring_dedup.beside(np.array([3, 3, 3, 3, 1, 3, 3, 3], np.uint64), 5, 8, 24) is None
+
+
 def test_neighbours_equal_trying_all():
     rng = random.Random(36)
     rules = substring_dedup.Passages()
