@@ -310,6 +310,18 @@ class Table:
         return values, same
 
 
+class Block:
+    """Tables of a block of the model, built where they are first used: only keys and values travel."""
+
+    def __init__(self, *parts: tuple[np.ndarray, np.ndarray]):
+        self.parts, self.tables = parts, ()
+
+    def get(self) -> tuple[Table, ...]:
+        if self.parts:
+            self.tables, self.parts = tuple(Table(*p) for p in self.parts), ()
+        return self.tables
+
+
 def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
     return total[starts + sizes] - total[starts]
@@ -348,11 +360,11 @@ def score(docs: DataFrame, train: "F.Column", text: str = "text", rules: Context
     least = np.log10(0.1) - np.log10(n + 0.1 * (v + 1))
 
     def scored(i: int):
-        shared = spark.sparkContext.broadcast((Table(*_part(seen, i, parts, np.float32)), Table(*_part(known, i, parts, np.float64))))
+        shared = spark.sparkContext.broadcast(Block(_part(seen, i, parts, np.float32), _part(known, i, parts, np.float64)))
 
         @F.arrow_udf(T.StructType([T.StructField(c, k) for c, k in zip(("n_tokens", "n_known", "base", "score"), (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()))]))
         def of(texts: pa.Array) -> pa.Array:
-            grams, counted = shared.value
+            grams, counted = shared.value.get()
             columns: list[list[np.ndarray]] = [[], [], [], []]
             values = [t.lower() for t in texts.to_pylist()]
             at = 0
@@ -375,20 +387,19 @@ def score(docs: DataFrame, train: "F.Column", text: str = "text", rules: Context
             whole = [np.concatenate([np.zeros(0), *x]) for x in columns]
             return pa.StructArray.from_arrays([pa.array(whole[0].astype(np.int64) + 1), pa.array(whole[1].astype(np.int64)), *map(pa.array, whole[2:])], names=["n_tokens", "n_known", "base", "score"])
 
-        return of
+        return of, shared
 
     rows = docs.select(*kept, as_bytes(text).alias("_text"))
-    if parts == 1:
-        found = rows.withColumn("_s", scored(0)("_text"))
-    else:
-        # A text's parts add up, each once: rows of the same text may differ in the last digits of a part, which depend on what is summed before them.
-        each = None
-        for i in range(parts):
-            part = rows.select(F.md5("_text").alias("_digest"), scored(i)("_text").alias("s"))
-            one = settle(part.groupBy("_digest").agg(*[F.max(f"s.{c}").alias(c) for c in ("n_tokens", "n_known", "base", "score")]))
-            each = one if each is None else each.union(one)
-        whole = each.groupBy("_digest").agg(F.struct(F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score")).alias("_s"))
-        found = rows.withColumn("_digest", F.md5("_text")).join(whole, "_digest")
+    # A text's parts add up, each once: rows of the same text may differ in the last digits of a part, which depend on what is summed before them.
+    each = None
+    for i in range(parts):
+        of, shared = scored(i)
+        part = rows.select(F.md5("_text").alias("_digest"), of("_text").alias("s"))
+        one = settle(part.groupBy("_digest").agg(*[F.max(f"s.{c}").alias(c) for c in ("n_tokens", "n_known", "base", "score")]))
+        shared.destroy()  # the driver holds one block at a time
+        each = one if each is None else each.union(one)
+    whole = each.groupBy("_digest").agg(F.struct(F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score")).alias("_s"))
+    found = rows.withColumn("_digest", F.md5("_text")).join(whole, "_digest")
     end = np.log10((ends + 0.1) / 0.1)
     return found.select(
         *kept,

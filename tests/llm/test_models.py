@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from stationweave.llm import context_tree, language_id
@@ -107,6 +109,26 @@ def test_copies_of_a_text_are_alike_over_several_blocks(docs):
         assert r.base_score == pytest.approx(sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*counts, len(learnt)]), rel=1e-9)
 
 
+@pytest.mark.parametrize("block", [2_000_000, 500])
+def test_driver_holds_one_block_of_the_model_at_a_time(docs, monkeypatch, block):
+    """Keys and values travel, not tables; nothing of a block stays when its scores are written."""
+    share, made = SparkContext.broadcast, []
+
+    def counted(self, value):
+        assert not any(os.path.exists(b._path) for b, _ in made)
+        made.append((share(self, value), sum(len(keys) for keys, _ in value.parts)))
+        assert os.path.getsize(made[-1][0]._path) <= 16 * made[-1][1] + 2_000
+        return made[-1][0]
+
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    rng = random.Random(38)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(60))) for i in range(40)]
+    df = docs(rows)
+    got = context_tree.score(df, F.lit(True), rules=context_tree.ContextTree(block=block))
+    assert (len(made) > 1) == (block < 10_000) and not any(os.path.exists(b._path) for b, _ in made)
+    assert got.count() == 40
+
+
 def test_probabilities_add_up_to_one(docs):
     """Over all bytes that can follow a context."""
     every = [(i, "the ca" + chr(i)) for i in range(1, 128) if not 65 <= i <= 90] + [(0, "the ca"), (500, "the cat the cab"), (501, "a cat can")]
