@@ -77,7 +77,7 @@ class ModelSpec:
 
     The built-in forests take the usual names: n_estimators (100), random_state (42), max_depth (as deep as
     rows allow), min_samples_split, min_samples_leaf, max_features, max_samples, bootstrap, and max_rows, the
-    rows that one tree is fitted on at most (50,000). A parameter without a counterpart is an error.
+    rows that one tree is fitted on at most (all of its group). A parameter without a counterpart is an error.
     """
 
     algorithm: str = "random_forest"

@@ -193,3 +193,26 @@ def test_rows_go_to_few_packs_of_trees(spark, monkeypatch):
         dealt.clear()
         assert apply_forests(rows, found, [spec], 1).where("predictions is not null").count() == 2000
         assert dealt[0].count() <= 2000 * packs
+
+
+def test_trees_see_all_rows_of_a_large_group(spark):
+    """Without max_rows a tree is fitted on every row of its group, however many there are, also where it is applied at once."""
+    n = 60_000
+    row = F.col("id").cast("double")
+    rows = spark.range(n).select(F.lit("hot").alias("key"), F.array(row).alias("x"), F.array(row * 2).alias("y")).persist()
+    spec = ForestSpec("extra_trees", 2)
+    found = fit_forests(rows, [spec])
+    assert [sum(f < 0 for f in r.feature) for r in found.collect()] == [n, n]
+    filled, _ = fill_forests(rows, rows.where("x[0] >= 100 and x[0] < 400"), [spec], 1)
+    got = {r.x[0]: r.predictions for r in filled.collect()}
+    assert got == {float(k): [2.0 * k] for k in range(100, 400)}
+
+
+def test_a_bound_holds_for_its_own_spec(spark):
+    n = 2000
+    x = np.arange(n, dtype=float)[:, None]
+    rows = rows_of(spark, {"hot": (x, x), "small": (x[:50], x[:50])})
+    found = fit_forests(rows, [ForestSpec("extra_trees", 3, max_rows=200), ForestSpec("extra_trees", 2), ForestSpec("extra_trees", 1, max_rows=200)])
+    leaves = {(r.key, r.fit, r.tree): sum(f < 0 for f in r.feature) for r in found.collect()}
+    assert len(leaves) == 12 and {k[1] for k, v in leaves.items() if v == n} == {1}
+    assert all(v == 50 for k, v in leaves.items() if k[0] == "small") and all(100 < v < 300 for k, v in leaves.items() if k[0] == "hot" and k[1] != 1)
