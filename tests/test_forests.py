@@ -216,3 +216,40 @@ def test_a_bound_holds_for_its_own_spec(spark):
     leaves = {(r.key, r.fit, r.tree): sum(f < 0 for f in r.feature) for r in found.collect()}
     assert len(leaves) == 12 and {k[1] for k, v in leaves.items() if v == n} == {1}
     assert all(v == 50 for k, v in leaves.items() if k[0] == "small") and all(100 < v < 300 for k, v in leaves.items() if k[0] == "hot" and k[1] != 1)
+
+
+def test_cuts_by_values_and_by_places_are_equal():
+    """Nodes with fewer values than copies are cut by counts of values, others by sorted copies; a feature's values don't change the tree."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 4, 300), rng.normal(size=300).round(1), rng.integers(0, 40, 300)]).astype(float)
+    y = rng.normal(size=(300, 2)).round(1)
+    for spec in (ForestSpec("random_forest", 6), ForestSpec("random_forest", 6, min_samples_leaf=4), ForestSpec("random_forest", 6, max_features=2)):
+        by_both = grow_forest(x, y, spec, range(6))
+        rows = [trees._Level._best_of_values, trees._Level._best_of_places]
+        for one in rows:
+            trees._Level._best_of_values = trees._Level._best_of_places = one
+            try:
+                alone = grow_forest(x, y, spec, range(6))
+            finally:
+                trees._Level._best_of_values, trees._Level._best_of_places = rows
+            assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() and a.value == pytest.approx(b.value) for a, b in zip(by_both, alone))
+
+
+def test_many_trees_take_few_passes(monkeypatch):
+    """A level of all trees is sorted once for its children and once for each feature with many values, not once a feature and more."""
+    sorts = []
+    one = trees._Copies.sorted
+    monkeypatch.setattr(trees._Copies, "sorted", lambda self, node, copy: sorts.append(len(copy)) or one(self, node, copy))
+    rng = np.random.default_rng(6)
+    x, y = np.column_stack([rng.normal(size=500), rng.integers(0, 9, 500)]), rng.normal(size=(500, 1))
+    grown = grow_forest(x, y, ForestSpec("random_forest", 40), range(40))
+    most = max(sum(1 for _ in _depths(t)) for t in grown)
+    assert sum(sorts) < 1.6 * 40 * 320 * most and len(sorts) < 3 * most
+
+
+def _depths(tree):
+    """The levels of a tree."""
+    nodes = [0]
+    while nodes:
+        yield len(nodes)
+        nodes = [c for n in nodes if tree.feature[n] >= 0 for c in (tree.left[n], tree.left[n] + 1)]
