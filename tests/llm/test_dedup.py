@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 from itertools import permutations
 
 import numpy as np
@@ -447,3 +448,36 @@ def test_bound_of_a_step_is_never_below_its_score():
         assert score <= most
         spared += most < 3
     assert spared > 300
+
+
+def test_pairs_are_dealt_in_waves(spark, docs, monkeypatch):
+    """What a step shuffles at once doesn't grow with its pairs, and the rows are the same."""
+    rng = random.Random(41)
+    p, line = words(rng, 70, 10**9), words(rng, 30, 10**9)
+    rows = [(i, " ".join(words(rng, 30, 10**9) + line + words(rng, 40, 10**9) + p[:60] + words(rng, 10, 10**9))) for i in range(12)]
+    rows += [(i, " ".join(words(rng, 30, 10**9) + p + words(rng, 20, 10**9))) for i in range(12, 15)]
+    want = sorted(map(tuple, substring_dedup.repeated_passages(docs(rows)).collect()))
+    dealt = []
+    attach = substring_dedup.attach
+    monkeypatch.setattr(substring_dedup, "attach", lambda pairs, *args: dealt.append(pairs.count()) or attach(pairs, *args))
+    monkeypatch.setattr(substring_dedup, "WAVE_PAIRS", 30)
+    monkeypatch.setattr(substring_dedup, "WAVE_CHAINED", 30)
+    assert sorted(map(tuple, substring_dedup.repeated_passages(docs(rows)).collect())) == want and len(want) >= 14
+    assert max(dealt) <= 60 and sum(dealt) > 80  # a text's pairs stay together
+
+
+def test_shuffle_files_go_when_their_plan_is_done(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    common.settle(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count())
+    assert shuffled() > 0
+    common.sweep(spark)
+    until = time.time() + 30
+    while shuffled() and time.time() < until:
+        common.sweep(spark)
+        time.sleep(0.5)
+    assert shuffled() <= 4  # other tests may hold some
